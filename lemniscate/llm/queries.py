@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, imatch, line_dedup, pieces, simhash, substring_dedup, url_filter
+from . import common, decontaminate, imatch, language, line_dedup, pieces, ppm, simhash, substring_dedup, toxicity, url_filter
+from .common import fold
 from .url_filter import Rule
 
 #: The rules of the url query: action, host, path.
@@ -28,6 +29,16 @@ def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.with_edits(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return toxicity.scored(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.scores(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", sha256(F.col("text")).alias("kept_sha256"))
@@ -39,6 +50,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), sha256(F.array_join("items", ",")).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(fold("doc_id", 4) != 2))
+    found = language.identified(docs, model)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"))
 
@@ -54,7 +72,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_imatch, op5_line_dedup, op6_decontaminate, op8_pieces, op9_simhash, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_url_filter, op2_imatch, op3_toxicity, op4_ppm, op5_line_dedup, op6_decontaminate, op7_language, op8_pieces, op9_simhash, op10_substring_dedup)}
 
 
 def quoted(text: str) -> str:
