@@ -1,9 +1,520 @@
-"""The named queries and their SQL."""
+"""The named queries, each over its whole tables, and the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import mathml, paths
+from ..functions.normalize import clean, sql, text_hash, was_changed
+from ..functions.normalize import DELIMITERS, SQUEEZE
+from ..operators import audit, index, metrics, ranking, search
+from ..sources.sinks import trec_lines
+from . import views as v
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, text: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if text:
+            SQL[name] = text
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
+
+
+def big(*columns: str) -> list:
+    return [F.col(c).cast("bigint").alias(c) for c in columns]
+
+
+def six(*columns: str) -> list:
+    return [F.round(F.col(c).cast("double"), 6).alias(c) for c in columns]
+
+
+@query("q01_bigram_tfidf_top10", f"""WITH {v.bigram_sql("c", "documents", "doc_id", "text")}, {v.bigram_sql("b", "benchmark", "item_id", "text")},
+    c_p AS (SELECT DISTINCT id, path FROM c_g), c_idf AS (SELECT path, log10((SELECT count(*) FROM c_t) / (count(*) + 1)) AS idf FROM c_p GROUP BY path),
+    q AS (SELECT id AS qid, path, count(*) AS times FROM b_g GROUP BY ALL),
+    h AS (SELECT qid, c_p.id AS doc_id, sum(times * idf) AS s FROM q JOIN c_idf USING (path) JOIN c_p USING (path) GROUP BY ALL),
+    s AS (SELECT qid, doc_id, s / sqrt(len(t) - 1) AS score FROM h JOIN c_t ON c_t.id = doc_id)
+    SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10""")
+def q01(spark, d):
+    own = index.bigram_index(v.table(spark, d, "documents"), "doc_id", F.col("text"))
+    return search.bigram_search(v.table(spark, d, "benchmark"), "item_id", F.col("text"), own, 10).select("qid", "doc_id", *big("rank"), *six("score"))
+
+
+@query("q02_stackpath_index", f"""WITH {v.FORMULAS}, {v.STACK_INDEX} SELECT path, df, sum(tf)::BIGINT AS tf, round(idf, 6) AS idf FROM s_p JOIN s_idf USING (path) GROUP BY ALL""")
+def q02(spark, d):
+    own = index.stack_index(v.formulas(spark, d), "fid", F.col("latex"))
+    return own.postings.groupBy("path").agg(F.sum("tf").alias("tf")).join(own.idf, "path").select("path", "df", "tf", *six("idf"))
+
+
+@query("q03_stackpath_search", f"WITH {v.FORMULAS}, {v.STACK_RUN} SELECT qid, doc_id, rank, round(score, 6) AS score FROM s_run WHERE rank <= 10")
+def q03(spark, d):
+    return v.stack_run(spark, d, 10).select("qid", "doc_id", *big("rank"), *six("score"))
+
+
+@query("q04_depth_paths", f"""WITH {v.FORMULAS}, t AS (SELECT fid, regexp_extract_all(replace(replace(replace(latex, '{{', ' {{ '), '}}', ' }} '), '\\', ' \\'), '[^ \\t\\n\\r\\f\\x0B]+') AS t FROM formulas)
+    SELECT fid, array_to_string(list_reduce(list_transform(t, lambda x: {{'d': 0, 'p': []::VARCHAR[], 't': x}}), lambda s, x: {{
+        'd': CASE WHEN x.t = '{{' THEN s.d + 1 WHEN x.t = '}}' THEN greatest(s.d - 1, 0) ELSE s.d END,
+        'p': CASE WHEN x.t NOT IN ('{{', '}}') AND (length(x.t) > 1 OR regexp_full_match(x.t, '[a-zA-Z]')) THEN list_append(s.p, repeat('sub_', s.d) || x.t) ELSE s.p END,
+        't': x.t}}, {{'d': 0, 'p': []::VARCHAR[], 't': ''}}).p, ' ') AS paths FROM t""")
+def q04(spark, d):
+    return v.formulas(spark, d).select("fid", F.array_join(paths.depth_paths(F.col("latex")), " ").alias("paths"))
+
+
+@query("q05_clean_default", f"""WITH {v.FORMULAS}, n AS (SELECT fid, {sql("latex")} AS latex_norm, {sql("latex", steps=(DELIMITERS, SQUEEZE))} AS plain FROM formulas)
+    SELECT fid, latex_norm, latex_norm <> plain AS changed, CASE WHEN latex_norm = '' THEN '' ELSE md5(latex_norm) END AS hash FROM n""")
+def q05(spark, d):
+    rows = v.formulas(spark, d).select("fid", clean("latex").alias("latex_norm"), was_changed("latex").alias("changed"))
+    return rows.withColumn("hash", text_hash(F.col("latex_norm")))
+
+
+@query("q06_clean_forum", f"WITH {v.FORMULAS} SELECT fid, {sql('latex', 'forum')} AS latex_norm FROM formulas")
+def q06(spark, d):
+    return v.formulas(spark, d).select("fid", clean("latex", "forum").alias("latex_norm"))
+
+
+OTHER = ("lower", "cased", "spaces", "plain", "raw", "html", "matching", "aggressive", "preprocess", "basic")
+
+
+@query("q07_clean_profiles", f"WITH {v.FORMULAS} SELECT fid, {', '.join(f'{sql("latex", p)} AS by_{p}' for p in OTHER)} FROM formulas")
+def q07(spark, d):
+    return v.formulas(spark, d).select("fid", *[clean("latex", p).alias(f"by_{p}") for p in OTHER])
+
+
+@query("q08_skeleton_hash", f"""WITH {v.FORMULAS}, t AS (SELECT fid, regexp_extract_all(regexp_replace(latex, '{v.WS}', '', 'g'), '\\\\[a-zA-Z]+|(?s:.)') AS t FROM formulas),
+    s AS (SELECT fid, array_to_string(list_transform(t, lambda x: CASE WHEN regexp_full_match(x, '[a-zA-Z]') THEN 'V' WHEN regexp_full_match(x, '[0-9]') THEN 'N' ELSE x END), '') AS skeleton FROM t)
+    SELECT fid, skeleton, md5(skeleton) AS hash FROM s""")
+def q08(spark, d):
+    return v.formulas(spark, d).select("fid", paths.skeleton(F.col("latex")).alias("skeleton")).withColumn("hash", text_hash(F.col("skeleton")))
+
+
+@query("q09_hash_buckets", "SELECT md5(text) AS hash, count(*) AS n, array_to_string(list_sort(list(doc_id)), ',') AS ids FROM documents WHERE text <> '' GROUP BY 1")
+def q09(spark, d):
+    rows = v.table(spark, d, "documents").where("text <> ''").select("doc_id", F.md5("text").alias("h"))
+    return index.hash_buckets(rows, "doc_id", "h").select("hash", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query("q09b_bucket_stats", """SELECT count(*) AS n_buckets, round(avg(n), 6) AS avg_size, max(n) AS max_size, round(avg((n = 1)::INT), 6) AS single_share, round(1 - count(*) / sum(n), 6) AS collision_rate
+    FROM (SELECT count(*) AS n FROM documents GROUP BY md5(text))""")
+def q09b(spark, d):
+    rows = v.table(spark, d, "documents").select(F.md5("text").alias("h"))
+    return index.bucket_stats(rows, "h").select("n_buckets", *six("avg_size"), "max_size", *six("single_share", "collision_rate"))
+
+
+@query("q10_exact_hash_lookup", f"""WITH h AS (SELECT doc_id, md5({sql("text", "lower")}) AS hash FROM documents)
+    SELECT q.doc_id AS qid, h.doc_id FROM h q JOIN h USING (hash) WHERE q.doc_id % 100 = 0""")
+def q10(spark, d):
+    h = v.table(spark, d, "documents").select("doc_id", text_hash(clean("text", "lower")).alias("hash"))
+    return search.exact_lookup(h.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "qid"), h).select("qid", "doc_id")
+
+
+@query("q11_dual_lookup", """WITH h AS (SELECT doc_id, md5(text) AS a, md5(concat(source, lang, n_chars)) AS b FROM documents)
+    SELECT DISTINCT q.doc_id AS qid, h.doc_id FROM h q JOIN h ON q.a = h.a OR q.b = h.b WHERE q.doc_id % 100 = 0""")
+def q11(spark, d):
+    h = v.table(spark, d, "documents").select("doc_id", F.md5("text").alias("a"), F.md5(F.concat("source", "lang", F.col("n_chars").cast("string"))).alias("b"))
+    return search.dual_lookup(h.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "qid"), h, ("a", "b"))
+
+
+@query("q12_first_wins_dedup", f"""WITH {v.FORMULAS}, k AS (SELECT *, row_number() OVER (PARTITION BY visual_id ORDER BY fid) AS nth FROM formulas WHERE issue <> 'd')
+    SELECT visual_id, fid, latex FROM k WHERE nth = 1""")
+def q12(spark, d):
+    return index.first_wins(index.without_flagged(v.formulas(spark, d)), ["visual_id"], "fid").select("visual_id", "fid", "latex")
+
+
+@query("q12b_build_stats", f"""WITH {v.FORMULAS} SELECT count(*) AS total, count(*) FILTER (issue = 'd') AS skipped, count(*) FILTER (issue <> 'd') - count(DISTINCT visual_id) FILTER (issue <> 'd') AS duplicates,
+    count(DISTINCT visual_id) FILTER (issue <> 'd') AS kept, count(*) FILTER ({sql("latex")} <> {sql("latex", steps=(DELIMITERS, SQUEEZE))}) AS normalised FROM formulas""")
+def q12b(spark, d):
+    ok = F.col("issue") != "d"
+    distinct = F.count_distinct(F.when(ok, F.col("visual_id")))
+    return v.formulas(spark, d).agg(F.count("*").alias("total"), F.count_if(~ok).alias("skipped"), (F.count_if(ok) - distinct).alias("duplicates"), distinct.alias("kept"), F.count_if(was_changed("latex")).alias("normalised"))
+
+
+@query("q13_vector_top10", f"WITH {v.VECTOR_RUN} SELECT qid, doc_id, rank, round(score, 6) AS score FROM v_run WHERE rank <= 10")
+def q13(spark, d):
+    return v.vector_run(spark, d, 10).select("qid", "doc_id", *big("rank"), *six("score"))
+
+
+@query("q14_cascade_vector", """WITH s AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id, list_inner_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings d ON q.label = d.label OR q.label >= 8 WHERE q.vec_id % 100 = 0)
+    SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10""")
+def q14(spark, d):
+    q, own = v.vector_queries(spark, d), v.vectors(spark, d)
+    stage1 = q.where("label < 8").select("qid", "label").join(own.select(F.col("id").alias("doc_id"), "label"), "label").select("qid", "doc_id")
+    return search.cascade_top_k(stage1, q, own, 10).select("qid", "doc_id", *big("rank"), *six("score"))
+
+
+@query("q15_hamming_fuzzy", """WITH h AS (SELECT DISTINCT md5(text) AS hash FROM documents), q AS (SELECT doc_id AS qid, md5(text) AS q_hash FROM documents WHERE doc_id % 100 = 0),
+    x AS (SELECT qid, hash, list_sum([bit_count(xor(('0x' || q_hash[i:i + 7])::BIGINT, ('0x' || hash[i:i + 7])::BIGINT)) for i in [1, 9, 17, 25]])::BIGINT AS distance FROM q, h)
+    SELECT qid, hash, distance FROM x WHERE distance <= 2""")
+def q15(spark, d):
+    h = v.table(spark, d, "documents").select("doc_id", F.md5("text").alias("hash"))
+    return search.hamming_lookup(h.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "qid"), h.select("hash").distinct()).select("qid", "hash", *big("distance"))
+
+
+@query("q16_rrf", f"""WITH {v.BIGRAM_RUN}, {v.STACK_RUN}, f AS (SELECT qid, doc_id, sum(1 / (60 + rank)) AS score FROM (SELECT qid, doc_id, rank FROM b_run UNION ALL SELECT qid, doc_id, rank FROM s_run) GROUP BY ALL)
+    SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank, round(score, 6) AS score FROM f QUALIFY rank <= 20""")
+def q16(spark, d):
+    return ranking.rrf([(v.bigram_run(spark, d), 1.0), (v.stack_run(spark, d), 1.0)], 60, 20).select("qid", "doc_id", *big("rank"), *six("score"))
+
+
+def both_sql(setting: str, part: str) -> str:
+    return f"""WITH {v.BIGRAM_RUN}, {v.STACK_RUN}, s AS ({setting}),
+        f AS (SELECT s, qid, doc_id, sum({part}) AS score FROM (SELECT qid, doc_id, rank, false AS second FROM b_run UNION ALL SELECT qid, doc_id, rank, true FROM s_run), s GROUP BY ALL)
+        SELECT s AS setting, qid, doc_id, round(score, 6) AS score FROM f"""
+
+
+@query("q17_weighted_rrf_sweep", both_sql("SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])::DOUBLE AS s", "CASE WHEN second THEN s ELSE 1 END / (60 + rank)"))
+def q17(spark, d):
+    weights = spark.createDataFrame([(i / 10,) for i in range(1, 11)], "w double")
+    return ranking.rrf_grid(v.bigram_run(spark, d), v.stack_run(spark, d), weights).select(F.col("w").alias("setting"), "qid", "doc_id", *six("score"))
+
+
+@query("q18_k_sweep", both_sql("SELECT unnest([10, 20, 40, 60, 80, 100])::BIGINT AS s", "1 / (s + rank)"))
+def q18(spark, d):
+    ks = spark.createDataFrame([(k,) for k in (10, 20, 40, 60, 80, 100)], "k bigint")
+    return ranking.rrf_grid(v.bigram_run(spark, d), v.stack_run(spark, d), ks).select(F.col("k").alias("setting"), "qid", "doc_id", *six("score"))
+
+
+@query("q19_linear_fusion", f"""WITH {v.BIGRAM_RUN}, {v.STACK_RUN}, f AS (SELECT coalesce(b.qid, s.qid) AS qid, coalesce(b.doc_id, s.doc_id) AS doc_id, 0.5 * coalesce(b.score, 0) + 0.5 * coalesce(s.score, 0) AS score FROM b_run b FULL JOIN s_run s ON b.qid = s.qid AND b.doc_id = s.doc_id)
+    SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank, round(score, 6) AS score FROM f QUALIFY rank <= 20""")
+def q19(spark, d):
+    return ranking.linear(v.bigram_run(spark, d), v.stack_run(spark, d), 0.5, 20).select("qid", "doc_id", *big("rank"), *six("score"))
+
+
+CONCAT = """f AS (SELECT qid, doc_id, min(struct_pack(source := source, pos := rank)) AS place FROM (SELECT qid, doc_id, rank, 0 AS source FROM {} UNION ALL SELECT qid, doc_id, rank, 1 FROM {}) GROUP BY ALL)
+    SELECT qid, doc_id, place.source AS source, row_number() OVER (PARTITION BY qid ORDER BY place, doc_id) AS rank FROM f QUALIFY rank <= {}"""
+
+
+@query("q20_priority_concat", f"WITH {v.BIGRAM_RUN}, {v.STACK_RUN}, " + CONCAT.format("(SELECT * FROM b_run WHERE rank <= 5)", "s_run", 30))
+def q20(spark, d):
+    return ranking.priority_concat([v.bigram_run(spark, d, 5), v.stack_run(spark, d)], 30).select("qid", "doc_id", "source", *big("rank"))
+
+
+def vector_judged(spark, d):
+    run = v.vector_run(spark, d)
+    return run, v.vector_qrels(spark, d, run)
+
+
+JV = f"WITH {v.VECTOR_RUN}, {v.JUDGED.format(run='v_run')}"
+
+
+@query("q21_metrics_exponential", JV + """, n AS (SELECT qid, max(is_judged::INT)::DOUBLE AS recall, sum(CASE WHEN rel > 0 THEN hits / rank ELSE 0 END) AS ps, sum((pow(2, rel) - 1) / log2(rank + 1)) AS dcg, max(rank) AS depth FROM j GROUP BY qid),
+    b AS (SELECT qid, sum(CASE WHEN rank <= depth THEN (pow(2, rel) - 1) / log2(rank + 1) ELSE 0 END) AS idcg, sum((rel > 0)::INT) AS n_rel FROM i JOIN n USING (qid) GROUP BY qid)
+    SELECT qid, recall, round(ps / greatest(n_rel, 1), 6) AS ap, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, 6) AS ndcg FROM n JOIN b USING (qid)""")
+def q21(spark, d):
+    return metrics.exponential_family(*vector_judged(spark, d)).select("qid", "recall", *six("ap", "ndcg"))
+
+
+TOTALS = "t AS (SELECT qid, sum((rel > 0)::INT) AS n_rel, sum((rel = 0)::INT) AS n_non, sum(CASE WHEN rank <= {} THEN rel / log2(rank + 1) ELSE 0 END) AS idcg FROM i GROUP BY qid)"
+
+
+@query("q22_metrics_linear", JV + f""", {TOTALS.format(10)},
+    n AS (SELECT qid, max((rank = 1 AND rel > 0)::INT)::DOUBLE AS p1, coalesce(1 / min(rank) FILTER (rel > 0), 0) AS mrr, sum(CASE WHEN rank <= 10 THEN rel / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN rel > 0 THEN hits / rank ELSE 0 END) AS ps FROM j GROUP BY qid)
+    SELECT qid, p1, round(mrr, 6) AS mrr, round(dcg / idcg, 6) AS ndcg, round(ps / n_rel, 6) AS ap FROM t JOIN n USING (qid) WHERE n_rel > 0""")
+def q22(spark, d):
+    return metrics.linear_family(*vector_judged(spark, d)).select("qid", "p1", *six("mrr", "ndcg", "ap"))
+
+
+FULL = """f AS (SELECT qid, n_rel, n_non, idcg, {p}, coalesce(1 / min(rank) FILTER (rel > 0), 0) AS mrr, sum(CASE WHEN rel > 0 THEN hits / rank ELSE 0 END) AS ps, sum(CASE WHEN rank <= 20 THEN rel / log2(rank + 1) ELSE 0 END) AS dcg,
+    sum(CASE WHEN rel > 0 THEN 1 - above / greatest(least(n_rel, n_non), 1) ELSE 0 END) AS bp FROM {j} JOIN t USING (qid) WHERE n_rel > 0 GROUP BY ALL)"""
+P_AT = ", ".join(f"sum((rank <= {k} AND rel > 0)::INT) / {k} AS p{k}" for k in (1, 5, 10, 20))
+
+
+@query("q23_metrics_full_bpref", JV + f", {TOTALS.format(20)}, {FULL.format(p=P_AT, j='j')}" + """
+    SELECT qid, round(p1, 6) AS p1, round(p5, 6) AS p5, round(p10, 6) AS p10, round(p20, 6) AS p20, round(mrr, 6) AS mrr, round(ps / n_rel, 6) AS ap, round(dcg / idcg, 6) AS ndcg20,
+           round(CASE WHEN n_non = 0 THEN mrr ELSE greatest(bp / n_rel, 0) END, 6) AS bpref FROM f""")
+def q23(spark, d):
+    return metrics.full_family(*vector_judged(spark, d)).select("qid", *six("p1", "p5", "p10", "p20", "mrr", "ap", "ndcg20", "bpref"))
+
+
+@query("q24_metrics_prime", JV + f""", {TOTALS.format(20)}, {FULL.format(p=P_AT, j='j')},
+    pr AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank, rel FROM j WHERE is_judged),
+    pj AS (SELECT *, sum((rel > 0)::INT) OVER (PARTITION BY qid ORDER BY rank) AS hits FROM pr),
+    p AS (SELECT qid, n_rel, idcg, sum((rank <= 10 AND rel > 0)::INT) / 10 AS p10, sum(CASE WHEN rel > 0 THEN hits / rank ELSE 0 END) AS ps, sum(CASE WHEN rank <= 20 THEN rel / log2(rank + 1) ELSE 0 END) AS dcg FROM pj JOIN t USING (qid) WHERE n_rel > 0 GROUP BY ALL)
+    SELECT f.qid, round(f.p10, 6) AS p10, round(f.ps / f.n_rel, 6) AS ap, round(f.mrr, 6) AS mrr, round(f.dcg / f.idcg, 6) AS ndcg20, round(p.p10, 6) AS p10_prime, round(p.ps / p.n_rel, 6) AS ap_prime, round(p.dcg / p.idcg, 6) AS ndcg20_prime FROM f JOIN p USING (qid)""")
+def q24(spark, d):
+    return metrics.prime_family(*vector_judged(spark, d)).select("qid", *six("p10", "ap", "mrr", "ndcg20", "p10_prime", "ap_prime", "ndcg20_prime"))
+
+
+SETS = "s AS (SELECT g.qid, count(*) AS n_truth, count(r.doc_id) AS hits, 50::BIGINT AS n_retrieved FROM qrels g LEFT JOIN v_run r ON r.qid = g.qid AND r.doc_id = g.doc_id GROUP BY g.qid)"
+
+
+@query("q25_recall_histogram", f"WITH {v.VECTOR_RUN}, {SETS}, e AS (SELECT unnest(range(0, 10)) / 10 AS low) SELECT low, round(low + 0.1, 1) AS high, count(*) AS n FROM e JOIN s ON hits / n_truth >= low AND hits / n_truth < round(low + 0.1, 1) GROUP BY ALL")
+def q25(spark, d):
+    return metrics.half_open_histogram(metrics.set_family(*vector_judged(spark, d)), "recall", [i / 10 for i in range(11)])
+
+
+@query("q25b_recall_precision", f"WITH {v.VECTOR_RUN}, {SETS} SELECT qid, n_truth, n_retrieved, hits, round(hits / n_truth, 6) AS recall, round(hits / n_retrieved, 6) AS precision FROM s")
+def q25b(spark, d):
+    return metrics.set_family(*vector_judged(spark, d)).select("qid", *big("n_truth", "n_retrieved", "hits"), *six("recall", "precision"))
+
+
+T_RUNS = f"""WITH {v.BIGRAM_RUN}, {v.STACK_RUN}, g AS (SELECT q.fid AS qid, d.fid AS doc_id FROM formulas q JOIN formulas d ON q.fid % 8 = d.fid % 8 AND q.visual_id % 7 = d.visual_id % 7 WHERE q.fid % 100 = 0),
+    a AS (SELECT r.qid, coalesce(1 / min(rank) FILTER (g.doc_id IS NOT NULL), 0) AS m FROM b_run r LEFT JOIN g ON r.qid = g.qid AND r.doc_id = g.doc_id GROUP BY r.qid),
+    b AS (SELECT r.qid, coalesce(1 / min(rank) FILTER (g.doc_id IS NOT NULL), 0) AS m FROM (SELECT * FROM s_run WHERE doc_id <> qid) r LEFT JOIN g ON r.qid = g.qid AND r.doc_id = g.doc_id GROUP BY r.qid)"""
+
+
+def formula_qrels(spark, d):
+    f = v.formulas(spark, d).select("fid", (F.col("fid") % 8).alias("a"), (F.col("visual_id") % 7).alias("b"))
+    return f.where("fid % 100 = 0").withColumnRenamed("fid", "qid").join(f, ["a", "b"]).select("qid", F.col("fid").alias("doc_id"), F.lit(1).alias("rel"))
+
+
+@query("q26_paired_t", T_RUNS + " SELECT count(*) AS n, round(avg(a.m - b.m), 6) AS mean_diff, round(avg(a.m - b.m) / (stddev_samp(a.m - b.m) / sqrt(count(*))), 6) AS t FROM a JOIN b USING (qid)")
+def q26(spark, d):
+    g = formula_qrels(spark, d)
+    a = metrics.any_judged_mrr(v.bigram_run(spark, d), g, 50)
+    b = metrics.any_judged_mrr(v.stack_run(spark, d).where("doc_id <> qid"), g, 50)
+    return metrics.paired_t(a, b, "mrr").select("n", *six("mean_diff", "t"))
+
+
+COMPLEX = """CASE WHEN latex = '' THEN 0 ELSE least(0.1::DOUBLE * len(regexp_extract_all(latex, '\\\\frac')) + 0.1::DOUBLE * len(regexp_extract_all(latex, '\\\\sqrt'))
+    + 0.15::DOUBLE * (len(regexp_extract_all(latex, '\\\\int')) + len(regexp_extract_all(latex, '\\\\sum')) + len(regexp_extract_all(latex, '\\\\lim')) + len(regexp_extract_all(latex, '\\\\prod')))
+    + CASE WHEN contains(latex, 'matrix') OR contains(latex, 'array') THEN 0.3 ELSE 0 END::DOUBLE + least(length(latex) / 100, 0.3::DOUBLE), 1) END"""
+
+
+@query("q27_complexity_threshold", f"WITH {v.FORMULAS}, c AS (SELECT fid, ({COMPLEX})::DOUBLE AS c FROM formulas) SELECT fid, round(c, 6) AS complexity, round(0.65::DOUBLE + 0.1::DOUBLE * (1 - c), 6) AS threshold FROM c")
+def q27(spark, d):
+    rows = v.formulas(spark, d).select("fid", paths.complexity(F.col("latex")).alias("complexity"))
+    return rows.select("fid", F.round("complexity", 6).alias("complexity"), F.round(paths.adaptive_threshold(F.col("complexity")), 6).alias("threshold"))
+
+
+@query("q27b_length_bins", f"""WITH {v.VECTOR_RUN}, {v.FORMULAS}, b AS (SELECT CASE WHEN n < 10 THEN 'short' WHEN n < 13 THEN 'middle' ELSE 'long' END AS bin, n FROM (SELECT len({v.WORDS_SQL.format("latex")}) AS n FROM formulas))
+    SELECT bin, count(*) AS n, round(avg(n), 6) AS tokens FROM b GROUP BY bin""")
+def q27b(spark, d):
+    n = v.formulas(spark, d).select(F.size(paths.words(F.col("latex"))).alias("n"))
+    return n.groupBy(F.when(F.col("n") < 10, "short").when(F.col("n") < 13, "middle").otherwise("long").alias("bin")).agg(F.count("*").alias("n_"), F.round(F.avg("n"), 6).alias("tokens")).withColumnRenamed("n_", "n")
+
+
+@query("q28_adaptive_filter", f"""WITH {v.VECTOR_RUN}, r AS (SELECT qid, doc_id, score, 0.2 + 0.05 * (qid % 3) AS threshold FROM v_run), s AS (SELECT *, avg((score >= threshold)::INT) OVER (PARTITION BY qid) AS share, count(*) OVER (PARTITION BY qid) AS n FROM r),
+    u AS (SELECT qid, doc_id, score, CASE WHEN share < 0.5 AND n > 10 THEN threshold - 0.1 ELSE threshold END AS used FROM s) SELECT qid, doc_id, round(score, 6) AS score, round(used::DOUBLE, 6) AS threshold FROM u WHERE score >= used""")
+def q28(spark, d):
+    rows = v.vector_run(spark, d).select("qid", "doc_id", "score", (0.2 + 0.05 * (F.col("qid") % 3)).alias("threshold"))
+    return ranking.adaptive_filter(rows, least_share=0.5).select("qid", "doc_id", *six("score", "threshold"))
+
+
+@query("q28b_filter_or_all", f"WITH {v.VECTOR_RUN}, s AS (SELECT qid, doc_id, score, score > 0.5 AS ok, max((score > 0.5 AND doc_id <> qid)::INT) OVER (PARTITION BY qid) AS passed FROM v_run) SELECT qid, doc_id, round(score, 6) AS score FROM s WHERE passed = 0 OR (ok AND doc_id <> qid)")
+def q28b(spark, d):
+    return ranking.filter_or_all(v.vector_run(spark, d), (F.col("score") > 0.5) & (F.col("doc_id") != F.col("qid"))).select("qid", "doc_id", *six("score"))
+
+
+@query("q29_coverage_audit", """WITH p AS (SELECT quality AS qid, count(*) AS n, count(d.doc_id) AS found FROM labels l LEFT JOIN (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en') d USING (doc_id) GROUP BY quality)
+    SELECT sum(n)::BIGINT AS labelled, sum(found)::BIGINT AS in_corpus, round(sum(found) / sum(n), 6) AS upper_bound, count(*) FILTER (found = 0) AS empty_queries FROM p""")
+def q29(spark, d):
+    rel = v.table(spark, d, "labels").select(F.col("quality").alias("qid"), "doc_id")
+    return audit.coverage(rel, v.table(spark, d, "documents").where("lang = 'en'")).select("labelled", "in_corpus", *six("upper_bound"), "empty_queries")
+
+
+@query("q30_query_eligibility", """WITH q AS (SELECT doc_id AS qid, greatest(len(regexp_extract_all(text, '[a-zA-Z]')) - 1, 0) AS n_paths FROM documents), l AS (SELECT DISTINCT doc_id AS qid FROM labels), f AS (SELECT DISTINCT doc_id AS qid FROM labels SEMI JOIN (SELECT doc_id FROM documents WHERE lang = 'en') d USING (doc_id))
+    SELECT CASE WHEN l.qid IS NULL THEN 'unlabelled' WHEN f.qid IS NULL THEN 'no_truth_in_corpus' WHEN n_paths < 1 THEN 'no_path' ELSE 'ok' END AS status, count(*) AS n FROM q LEFT JOIN l USING (qid) LEFT JOIN f USING (qid) GROUP BY 1""")
+def q30(spark, d):
+    docs = v.table(spark, d, "documents")
+    q = docs.select(F.col("doc_id").alias("qid"), F.greatest(F.regexp_count("text", F.lit("[a-zA-Z]")) - 1, F.lit(0)).alias("n_paths"))
+    return audit.eligibility(q, v.table(spark, d, "labels").select(F.col("doc_id").alias("qid"), "doc_id"), docs.where("lang = 'en'").select("doc_id"))
+
+
+@query("q31_rank_inflation", f"""WITH {v.FORMULAS}, {v.STACK_RUN}, fr AS (SELECT visual_id, count(*) AS n FROM formulas GROUP BY 1), fq AS (SELECT fid AS doc_id, n FROM formulas JOIN fr USING (visual_id))
+    SELECT qid, round(sum(n) / 100, 6) AS inflation, sum(CASE WHEN rank <= 10 THEN n ELSE 0 END)::BIGINT AS expanded_at_k, round(10 / (sum(CASE WHEN rank <= 10 THEN n ELSE 0 END) / 10), 6) AS gain FROM s_run JOIN fq USING (doc_id) GROUP BY qid""")
+def q31(spark, d):
+    f = v.formulas(spark, d)
+    frequency = f.select("fid", "visual_id").join(f.groupBy("visual_id").agg(F.count("*").alias("n")), "visual_id").select(F.col("fid").alias("doc_id"), "n")
+    return audit.diversity(v.stack_run(spark, d), frequency).select("qid", *six("inflation"), *big("expanded_at_k"), *six("gain"))
+
+
+@query("q32_hard_negatives", f"""WITH {v.VECTOR_RUN}, h AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS pick FROM v_run r ANTI JOIN qrels g ON g.qid = r.qid AND g.doc_id = r.doc_id) SELECT qid, doc_id, pick FROM h WHERE pick <= 5""")
+def q32(spark, d):
+    run, g = vector_judged(spark, d)
+    return ranking.hard_negatives(run, g, v.vectors(spark, d).select(F.col("id").alias("doc_id"))).select("qid", "doc_id", *big("pick"))
+
+
+@query("q32b_training_pairs", f"""WITH {v.VECTOR_RUN}, h AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS pick FROM v_run r ANTI JOIN qrels g ON g.qid = r.qid AND g.doc_id = r.doc_id)
+    SELECT qid, doc_id, 1 AS label FROM qrels UNION ALL SELECT qid, doc_id, 0 FROM h WHERE pick <= 5""")
+def q32b(spark, d):
+    run, g = vector_judged(spark, d)
+    return ranking.training_pairs(run, g, v.vectors(spark, d).select(F.col("id").alias("doc_id")))
+
+
+@query("q33_head_rerank_tail", f"""WITH {v.VECTOR_RUN}, n AS (SELECT qid, doc_id, rank AS old_rank, CASE WHEN rank <= 20 THEN 0 ELSE 1 END AS tail, (doc_id % 13) / 13 AS s FROM v_run)
+    SELECT qid, doc_id, old_rank, row_number() OVER (PARTITION BY qid ORDER BY tail, CASE WHEN tail = 0 THEN round(s, 9) END DESC NULLS LAST, old_rank) AS new_rank FROM n""")
+def q33(spark, d):
+    run = v.vector_run(spark, d)
+    scores = run.select("qid", "doc_id", ((F.col("doc_id") % 13) / 13).alias("new_score"))
+    return ranking.rerank_head(run, scores, 20).select("qid", "doc_id", *big("old_rank", "new_rank"))
+
+
+@query("q34_containment", f"""WITH {v.FORMULAS}, {v.bigram_sql("c", "formulas", "fid", "latex")}, p AS (SELECT DISTINCT id, path FROM c_g), q AS (SELECT id AS qid, path FROM p WHERE id % 100 = 0), s AS (SELECT qid, count(*) AS n FROM q GROUP BY 1)
+    , h AS (SELECT qid, id AS doc_id, count(*) AS shared FROM q JOIN p USING (path) GROUP BY ALL) SELECT qid, doc_id, round(shared / n, 6) AS score FROM h JOIN s USING (qid)""")
+def q34(spark, d):
+    rows = index.bigram_paths(v.formulas(spark, d), "fid", F.col("latex")).select(F.col("id").alias("doc_id"), F.explode(F.array_distinct("paths")).alias("path"))
+    return search.containment(rows.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "qid"), rows).select("qid", "doc_id", *six("score"))
+
+
+SPANS = """concat('<p>', p_name, '</p><span class="math-container" id="q_', p_partkey, '">$', p_size, ' &lt; x ', '$</span><span class="math-container" id="q_', p_partkey + 1, '"> </span>')"""
+
+
+@query("q35_html_formula_extract", f"""WITH h AS (SELECT p_partkey, {SPANS} AS html FROM part), x AS (SELECT p_partkey, unnest(regexp_extract_all(html, '(?s)<span class="math-container" id="(q_\\d+)">(.*?)</span>', 1)) AS id, unnest(regexp_extract_all(html, '(?s)<span class="math-container" id="(q_\\d+)">(.*?)</span>', 2)) AS raw FROM h)
+    SELECT p_partkey, id, {sql("raw", "html")} AS latex FROM x WHERE {sql("raw", "html")} <> ''""")
+def q35(spark, d):
+    html = F.concat(F.lit("<p>"), "p_name", F.lit('</p><span class="math-container" id="q_'), F.col("p_partkey").cast("string"), F.lit('">$'), F.col("p_size").cast("string"), F.lit(" &lt; x $</span>"), F.lit('<span class="math-container" id="q_'), (F.col("p_partkey") + 1).cast("string"), F.lit('"> </span>'))
+    rows = v.table(spark, d, "part").select("p_partkey", F.explode(mathml.html_formulas(html)).alias("f"))
+    return rows.select("p_partkey", "f.id", "f.latex")
+
+
+TAGS = """array_to_string(list_filter(regexp_extract_all(regexp_replace(coalesce(html, ''), '[ \\t\\n\\r\\f\\x0B]+[a-z]+="[^"]+"', '', 'g'), '<([a-zA-Z0-9]+)', 1), lambda t: lower(t) NOT IN ('math', 'semantics', 'annotation', 'mstyle', 'mrow')), ',')"""
+
+
+@query("q36_tag_skeleton", f"SELECT page_id, {TAGS} AS skeleton FROM pages")
+def q36(spark, d):
+    return v.table(spark, d, "pages").select("page_id", mathml.tag_skeleton(F.col("html")).alias("skeleton"))
+
+
+@query("q37_ivf_vector_topk")
+def q37(spark, d):
+    return search.ivf_top_k(v.vector_queries(spark, d), v.vectors(spark, d), 10).select("qid", "doc_id", *big("rank"), *six("score"))
+
+
+@query("q38_fuzzy_ratio")
+def q38(spark, d):
+    f = v.formulas(spark, d)
+    q = f.where("fid % 100 = 0").select(F.col("fid").alias("qid"), clean("latex", "aggressive").alias("text"))
+    return audit.fuzzy_best(q, f.where("fid % 100 <> 0").select(clean("latex", "aggressive").alias("text"))).select("qid", "text", *six("score"))
+
+
+@query("q38b_match_waterfall")
+def q38b(spark, d):
+    f = v.formulas(spark, d)
+    q = f.where("fid % 100 = 0").select(F.col("fid").alias("qid"), clean("latex", "aggressive").alias("text"))
+    t = f.where("fid % 100 <> 0").select(clean("latex", "aggressive").alias("text"))
+    return audit.match_waterfall(q, t, lambda c: F.array_distinct(paths.plain_words(c))).select("qid", "text", *six("score"), "strategy")
+
+
+@query("q39_mathml_structure")
+def q39(spark, d):
+    xml = F.concat(F.lit('<math xmlns="x"><mrow><msup><ci>a</ci><cn>'), F.col("p_size").cast("string"), F.lit("</cn></msup>"), F.when(F.col("p_partkey") % 5 == 0, "<mo>+</mo></mrow>").otherwise("<mo/></mrow></math>"))
+    return v.table(spark, d, "part").select("p_partkey", mathml.structure(xml).alias("dna"))
+
+
+PSEUDO = ", ".join(
+    [r"CASE WHEN contains(c, '\frac') THEN 'mfrac' END", r"CASE WHEN contains(c, '\sqrt') THEN 'msqrt' END", "CASE WHEN contains(c, '^') THEN 'msup' END", "CASE WHEN contains(c, '_') THEN 'msub' END", r"CASE WHEN contains(c, '\int') THEN 'mo,mo' END", r"CASE WHEN contains(c, '\sum') THEN 'mo,mo' END", r"CASE WHEN contains(c, '\lim') THEN 'mo' END", r"CASE WHEN contains(c, '\begin{') AND contains(c, 'matrix') THEN 'mtable,mtr,mtd' END",
+     r"CASE least(len(regexp_extract_all(c, '\(|\[|\\\{')), 3) WHEN 1 THEN 'mo' WHEN 2 THEN 'mo,mo' WHEN 3 THEN 'mo,mo,mo' END"]
+    + [f"CASE WHEN contains(c, '{o}') THEN 'mo' END" for o in mathml.OPERATORS] + ["CASE WHEN regexp_matches(c, '[0-9]') THEN 'mn' END", "CASE WHEN regexp_matches(c, '[a-zA-Z]') THEN 'mi' END"])
+
+
+@query("q40_pseudo_mathml", f"WITH {v.FORMULAS}, c AS (SELECT fid, {sql('latex', 'html')} AS c FROM formulas) SELECT fid, concat_ws(',', {PSEUDO}) AS skeleton FROM c")
+def q40(spark, d):
+    return v.formulas(spark, d).select("fid", mathml.pseudo_mathml(F.col("latex")).alias("skeleton"))
+
+
+@query("q41_first_difference", f"""WITH {v.FORMULAS}, n AS (SELECT fid, {sql("latex")} AS a, {sql("latex", "lower")} AS b FROM formulas)
+    SELECT fid, (SELECT min(i) - 1 FROM range(1, least(length(a), length(b)) + 1) t(i) WHERE a[i] <> b[i]) AS at FROM n""")
+def q41(spark, d):
+    return v.formulas(spark, d).select("fid", paths.first_difference(clean("latex"), clean("latex", "lower")).cast("bigint").alias("at"))
+
+
+@query("q42_prior_rerank", f"""WITH {v.VECTOR_RUN}, p AS (SELECT qid, doc_id, score, (doc_id % 17)::DOUBLE AS pr FROM v_run), m AS (SELECT *, min(pr) OVER (PARTITION BY qid) AS lo, max(pr) OVER (PARTITION BY qid) AS hi FROM p),
+    s AS (SELECT qid, doc_id, score + 0.3::DOUBLE * CASE WHEN hi > lo THEN (pr - lo) / (hi - lo) ELSE 0 END AS score FROM m) SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 20""")
+def q42(spark, d):
+    prior = v.vectors(spark, d).select(F.col("id").alias("doc_id"), (F.col("id") % 17).cast("double").alias("pr"))
+    return ranking.prior_rerank(v.vector_run(spark, d), prior, 0.3, 20).select("qid", "doc_id", *big("rank"), *six("score"))
+
+
+@query("q43_set_operations", """WITH a AS (SELECT doc_id FROM documents), b AS (SELECT doc_id FROM labels) SELECT (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) AS in_either, (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS in_both,
+    (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS unlabelled""")
+def q43(spark, d):
+    a, b = v.table(spark, d, "documents").select("doc_id"), v.table(spark, d, "labels").select("doc_id")
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    return one(a.union(b).distinct(), "in_either").join(F.broadcast(one(a.intersect(b), "in_both"))).join(F.broadcast(one(a.subtract(b), "unlabelled")))
+
+
+@query("q44_any_judged_mrr", JV + " SELECT qid, round(coalesce(1 / min(rank) FILTER (is_judged), 0), 6) AS mrr FROM j WHERE rank <= 10 GROUP BY qid")
+def q44(spark, d):
+    return metrics.any_judged_mrr(*vector_judged(spark, d)).select("qid", *six("mrr"))
+
+
+@query("q45_self_retrieval", f"WITH {v.VECTOR_RUN} SELECT count(*) FILTER (qid = doc_id AND score > 0.99) AS ok, count(*) AS n FROM v_run WHERE rank = 1")
+def q45(spark, d):
+    return audit.self_retrieval(v.vector_run(spark, d, 1))
+
+
+@query("q46_noise_density", f"""WITH {v.VECTOR_RUN} SELECT r.qid, round(max(score) FILTER (rank = 1), 6) AS top1, round(avg(score) FILTER (rank <= 10), 6) AS top10, round(avg(score) FILTER (rank <= 100), 6) AS top100,
+    count(*) FILTER (rank <= 100 AND score > 0.3) / 100 AS near_share, min(rank) FILTER (g.rel > 0) AS truth_rank FROM v_run r LEFT JOIN qrels g ON g.qid = r.qid AND g.doc_id = r.doc_id GROUP BY r.qid""")
+def q46(spark, d):
+    return audit.noise_density(*vector_judged(spark, d), near=0.3).select("qid", *six("top1", "top10", "top100"), "near_share", *big("truth_rank"))
+
+
+@query("q47_best_improvement", f"""WITH {v.BIGRAM_RUN}, {v.STACK_RUN} SELECT b.qid, b.doc_id, b.rank AS before, s.rank AS after, b.rank - s.rank AS gain FROM b_run b JOIN s_run s ON b.qid = s.qid AND b.doc_id = s.doc_id WHERE b.rank BETWEEN 5 AND 50 ORDER BY gain DESC, b.qid, b.doc_id LIMIT 1""")
+def q47(spark, d):
+    return audit.best_improvement(v.bigram_run(spark, d), v.stack_run(spark, d), 5, 50).select("qid", "doc_id", *big("before", "after", "gain"))
+
+
+@query("q48_extremes", f"""WITH {v.VECTOR_RUN}, {SETS}, r AS (SELECT qid, round(hits / n_truth, 6) AS recall FROM s) (SELECT qid, recall, 'best' AS side FROM r ORDER BY recall DESC, qid LIMIT 3) UNION ALL (SELECT qid, recall, 'worst' FROM r ORDER BY recall, qid LIMIT 3)""")
+def q48(spark, d):
+    return audit.extremes(metrics.set_family(*vector_judged(spark, d)).select("qid", *six("recall")), "recall")
+
+
+@query("q49_query_metadata", "SELECT item_id, length(text) AS length, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')) AS tokens FROM benchmark")
+def q49(spark, d):
+    return v.table(spark, d, "benchmark").select("item_id", F.length("text").cast("bigint").alias("length"), F.regexp_count("text", F.lit(r"[^ \t\n\r\f\x0B]+")).cast("bigint").alias("tokens"))
+
+
+@query("q50_issue_stats", f"""WITH {v.FORMULAS}, m AS (SELECT visual_id, count(*) AS n FROM formulas WHERE issue <> 'd' GROUP BY 1)
+    SELECT issue, count(*) AS n, count(DISTINCT md5({sql("latex")})) AS hashes, (SELECT max(n) FROM m) AS max_repeat, round((SELECT avg(n) FROM m), 6) AS avg_repeat FROM formulas GROUP BY issue""")
+def q50(spark, d):
+    f = v.formulas(spark, d)
+    repeats = index.without_flagged(f).groupBy("visual_id").count().agg(F.max("count").alias("max_repeat"), F.round(F.avg("count"), 6).alias("avg_repeat"))
+    return f.groupBy("issue").agg(F.count("*").alias("n"), F.count_distinct(text_hash(clean("latex"))).alias("hashes")).join(F.broadcast(repeats))
+
+
+@query("q51_upsert_last_wins", "SELECT user_id, arg_max(event_type, (epoch_us(ts), event_id)) AS event_type, count(*) AS n FROM events GROUP BY user_id")
+def q51(spark, d):
+    e = v.table(spark, d, "events").select("user_id", "event_type", F.struct("ts", "event_id").alias("seq"))
+    n = e.groupBy("user_id").agg(F.count("*").alias("n"))
+    return index.last_wins(e, ["user_id"], "seq").join(n, "user_id").select("user_id", "event_type", "n")
+
+
+@query("q52_trec_lines", f"WITH {v.VECTOR_RUN} SELECT concat_ws(' ', qid, 'Q0', doc_id, rank, format('{{:.4f}}', score), 'vec') AS value FROM v_run WHERE rank <= 5")
+def q52(spark, d):
+    return trec_lines(v.vector_run(spark, d, 5), "vec", 4)
+
+
+@query("q53_token_votes", f"""WITH {v.FORMULAS}, t AS (SELECT DISTINCT fid, latex, unnest(regexp_extract_all(latex, '\\\\[a-zA-Z]+|[a-zA-Z0-9]+')) AS path FROM formulas), q AS (SELECT fid AS qid, path FROM t WHERE fid % 100 = 0), s AS (SELECT DISTINCT latex AS skel, path FROM t WHERE fid % 100 <> 0),
+    n AS (SELECT qid, count(*) AS n FROM q GROUP BY 1), h AS (SELECT qid, skel, count(*) / any_value(n.n) AS share FROM q JOIN s USING (path) JOIN n USING (qid) GROUP BY ALL),
+    r AS (SELECT qid, skel, share, row_number() OVER (PARTITION BY qid ORDER BY round(share, 9) DESC, skel) AS nth FROM h WHERE share > 0.5) SELECT qid, skel, round(0.7::DOUBLE * share, 6) AS score FROM r WHERE nth = 1""")
+def q53(spark, d):
+    rows = v.formulas(spark, d).select("fid", "latex", F.explode(F.array_distinct(paths.plain_words(F.col("latex")))).alias("path"))
+    return search.token_votes(rows.where("fid % 100 = 0").select(F.col("fid").alias("qid"), "path"), rows.where("fid % 100 <> 0").select(F.col("latex").alias("skel"), "path")).select("qid", "skel", *six("score"))
+
+
+@query("q54_recall_waterfall")
+def q54(spark, d):
+    docs = v.formulas(spark, d).select(F.col("fid").alias("doc_id"), text_hash(clean("latex")).alias("hash"), paths.skeleton(F.col("latex")).alias("skel"))
+    q = docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "qid")
+    exact = search.exact_lookup(q.select("qid", "hash"), docs.select("doc_id", "hash"), limit=200)
+    loose = search.exact_lookup(q.select("qid", F.col("skel").alias("hash")), docs.select("doc_id", F.col("skel").alias("hash")), limit=200)
+    return ranking.waterfall([exact, loose], docs, q, 100).select("qid", "doc_id", "source", *big("rank"))
+
+
+@query("q55_cosine_pairs", """SELECT q.vec_id AS qid, d.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS cosine FROM embeddings q JOIN embeddings d USING (label) WHERE q.vec_id % 100 = 0""")
+def q55(spark, d):
+    q, own = v.vector_queries(spark, d).select("qid", "label", F.col("embedding").alias("q")), v.vectors(spark, d)
+    return q.join(own, "label").select("qid", F.col("id").alias("doc_id"), F.round(search.cosine(search.unit(F.col("q")), search.unit(F.col("embedding"))), 6).alias("cosine"))
+
+
+@query("q56_first_match_enrichment", f"""WITH {v.FORMULAS}, n AS (SELECT fid, {sql("latex")} AS key, {sql("latex", "basic")} AS skel FROM formulas), f AS (SELECT key, skel, row_number() OVER (PARTITION BY key ORDER BY fid) AS nth FROM n WHERE fid % 3 <> 0)
+    SELECT n.fid, coalesce(f.skel, '') AS skel, CASE WHEN f.skel IS NULL THEN 'pseudo_mathml' ELSE 'corpus_exact' END AS source FROM n LEFT JOIN f ON n.key = f.key AND f.nth = 1 WHERE n.fid % 3 = 0""")
+def q56(spark, d):
+    n = v.formulas(spark, d).select("fid", clean("latex").alias("key"), clean("latex", "basic").alias("skel"))
+    found = audit.first_match(n.where("fid % 3 = 0").select("fid", "key"), n.where("fid % 3 <> 0"), "key", "skel", "fid")
+    return found.select("fid", F.coalesce("skel", F.lit("")).alias("skel"), F.when(F.col("skel").isNull(), "pseudo_mathml").otherwise("corpus_exact").alias("source"))
