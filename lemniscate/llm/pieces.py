@@ -11,13 +11,12 @@ Only models with identity normalisation, a dummy prefix, byte fallback and merge
 Nulls: a null text encodes like an empty one, to no ids.  Rows are encoded one by one, repeated rows alike.
 """
 
-from __future__ import annotations
-
 import heapq
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -289,7 +288,7 @@ def decoded(rows: DataFrame, model_file: str = MODEL, ids_col: str = "ids") -> D
     shared = rows.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
 
     @F.pandas_udf("string")
-    def text_of(ids: "pd.Series") -> "pd.Series":  # noqa: F821
+    def text_of(ids: pd.Series) -> pd.Series:
         return ids.map(lambda x: None if x is None else decode(shared.value, list(x)).decode("utf-8", "replace"))
 
     return rows.withColumn("text", text_of(F.col(ids_col)))
