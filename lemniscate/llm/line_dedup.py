@@ -98,9 +98,9 @@ def without_repeated_lines(docs: DataFrame, **limits) -> DataFrame:
     Columns of docs that are called n_lines or n_dropped are replaced.  A null text stays null when nothing is dropped.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    drops = repeated_lines(docs, **limits).select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.col("drop").alias("_drop"))
-    own = docs.select("*", row_key()[0].alias("_id"), row_key()[1].alias("_row")).join(drops, ["_id", "_row"], "left")
-    lines = lines_of(F.col("text").cast("string"))
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("_drop"), i)), "\n")
-    held = [F.when(F.col("_drop").isNull(), F.col("text").cast("string")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return own.select(*held, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    drops = repeated_lines(docs, **limits)
+    own = docs.select(F.struct("*").alias("all"), *row_key()).join(drops, ["id", "row"], "left")
+    text = F.col("all.text").cast("string")
+    kept = F.array_join(F.filter(lines_of(text), lambda line, i: ~F.array_contains(F.col("drop"), i)), "\n")
+    held = [F.when(F.col("drop").isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col("all").getField(c).alias(c) for c in docs.columns]
+    return own.select(*held, F.size(lines_of(text)).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))

@@ -307,6 +307,6 @@ def adaptive_scores(docs: DataFrame, order: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text", 1 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sum(Trie(order).code_lengths(b" ".join(words_of(t)))) for t in as_bytes(batch.column("text"))], pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sum(Trie(order).code_lengths(b"".join(spelled(words_of(t))))) for t in as_bytes(batch.column("text"))], pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
