@@ -8,8 +8,9 @@ excluded are equally likely.  As only words that higher nodes don't know are spe
 training word once (update exclusion).
 
 Above the bytes stand two nodes of whole tokens, which blend with what they escape to: the document's own, which adapts
-as its text goes by, (n + d * q) / (i + d) after i tokens, d of them distinct and n this one; and the training corpus's,
-q = (c + V * b) / (N + V), where b is the product of the token's byte probabilities.
+as its text goes by, (n + k * q) / (i + k) after i tokens of which n were this one; and the training corpus's,
+q = (c + V * b) / (N + V), where b is the product of the token's byte probabilities.  k, the weight of escaping, is the
+number of distinct tokens so far, one of `STEADY`, or beyond all bounds; a document's probability is the mean of the four.
 
 Statistics come to the texts, not the texts to the statistics: documents are packed into chunks of about `chunk_bytes`,
 each chunk lists its distinct words, and the corpus's counts and spellings are joined to these lists.  The spellings come
@@ -37,6 +38,8 @@ from .common import as_bytes, in_slices, stored
 END = b""
 PAD = b"\n\n\n"
 DOCS, WORDS = range(2)
+#: Escape weights of document nodes that adapt slowly.
+STEADY = (64.0, 512.0)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -204,8 +207,8 @@ def corpus_node(c: np.ndarray, log_b: np.ndarray, size: int, distinct: int) -> n
         return np.logaddexp(np.log(c), np.log(distinct) + log_b * np.log(10)) / np.log(10) - np.log10(size + distinct)
 
 
-def document_node(token: np.ndarray, sizes: np.ndarray, log_q: np.ndarray) -> np.ndarray:
-    """log10 of (n + d * q) / (i + d) for each token of each document; of q for its first token."""
+def document_scores(token: np.ndarray, sizes: np.ndarray, log_q: np.ndarray) -> np.ndarray:
+    """log10 probability of each document, whose tokens stand one behind the other."""
     starts = np.cumsum(sizes) - sizes
     doc = np.repeat(np.arange(len(sizes)), sizes)
     order = np.argsort(doc << 32 | token, kind="stable")
@@ -215,10 +218,12 @@ def document_node(token: np.ndarray, sizes: np.ndarray, log_q: np.ndarray) -> np
     n[order] = np.arange(len(token)) - np.repeat(first, np.diff([*first, len(token)]))
     i = np.arange(len(token)) - starts[doc]
     new = np.cumsum(n == 0) - (n == 0)
-    d = new - new[starts][doc]
+    distinct = np.maximum(new - new[starts][doc], 1)  # for the first token any weight gives q
+    total = lambda log_p: np.add.reduceat(log_p, starts)
     with np.errstate(divide="ignore"):
-        both = np.logaddexp(np.log(n), np.log(np.maximum(d, 1)) + log_q * np.log(10)) / np.log(10)
-        return np.where(i > 0, both - np.log10(np.maximum(i + d, 1)), log_q)
+        log_n, log_q = np.log(n), log_q * np.log(10)
+        sums = [total(log_q)] + [total(np.logaddexp(log_n, np.log(k) + log_q) - np.log(i + k)) for k in (distinct, *STEADY)]
+    return (np.logaddexp.reduce(sums, axis=0) - np.log(len(sums))) / np.log(10)
 
 
 def scores(docs: DataFrame, held_out: Column, chunk_bytes: int = 12 << 20) -> DataFrame:
@@ -255,7 +260,7 @@ def scores(docs: DataFrame, held_out: Column, chunk_bytes: int = 12 << 20) -> Da
                 out["n_tokens"] += sizes
                 out["n_known"] += np.add.reduceat((c[token] > 0).astype(np.int64), starts).tolist()
                 out["base_score"] += np.add.reduceat(base[token], starts).tolist()
-                out["score"] += np.add.reduceat(document_node(token, np.array(sizes), log_q[token]), starts).tolist()
+                out["score"] += document_scores(token, np.array(sizes), log_q[token]).tolist()
         kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
         columns = {k: pa.array(v, kinds[k]) for k, v in out.items()} | {"train_tokens": pa.array([size] * len(out["doc_id"]), pa.int64())}
         return pa.table({k: columns[k] for k in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})

@@ -138,14 +138,16 @@ def ppm_by_force(texts, held):
         trie.learn(w + b" ")
     out = []
     for ws in words:
-        own, base, score = collections.Counter(), 0.0, 0.0
+        own, base, score = collections.Counter(), 0.0, [0.0] * 4
         for i, w in enumerate(ws):
             b = 10 ** sum(trie.code_lengths(w + b" ", adapt=False))
             q = (c[w] + v * b) / (n + v) if n else b
-            score += math.log10((own[w] + len(own) * q) / (i + len(own)) if i else q)
+            for k, weight in enumerate((1e300, len(own) or 1, *ppm.STEADY)):
+                score[k] += math.log10(q if k == 0 else (own[w] + weight * q) / (i + weight))
             base += math.log10((c[w] + 1) / (n + v + 1))
             own[w] += 1
-        out.append((len(ws), sum(c[w] > 0 for w in ws), n, base, score))
+        best = max(score)
+        out.append((len(ws), sum(c[w] > 0 for w in ws), n, base, best + math.log10(sum(10 ** (s - best) for s in score) / 4)))
     return out
 
 
