@@ -12,11 +12,12 @@ from ..functions import paths
 
 @dataclass
 class PathIndex:
-    """postings (path, id[, tf]), lengths (id, len), idf (path, df, idf)."""
+    """postings (path, id[, tf]), lengths (id, len), idf (path, df, idf), documents (id, paths: distinct ones, len)."""
 
     postings: DataFrame
     lengths: DataFrame
     idf: DataFrame
+    documents: DataFrame
 
 
 def bigram_paths(docs: DataFrame, id_col: str, text: Column, n: int = 2) -> DataFrame:
@@ -32,7 +33,8 @@ def bigram_index(docs: DataFrame, id_col: str, text: Column) -> PathIndex:
     lengths = rows.select("id", F.size("paths").cast("long").alias("len"))
     n = docs.agg(F.count("*").alias("n"))
     idf = postings.groupBy("path").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("path", "df", F.log10(F.col("n") / (F.col("df") + 1)).alias("idf"))
-    return PathIndex(postings, lengths, idf)
+    documents = rows.select("id", F.array_distinct("paths").alias("paths"), F.size("paths").cast("long").alias("len"))
+    return PathIndex(postings, lengths, idf, documents)
 
 
 def stack_index(docs: DataFrame, id_col: str, text: Column) -> PathIndex:
@@ -42,7 +44,7 @@ def stack_index(docs: DataFrame, id_col: str, text: Column) -> PathIndex:
     lengths = rows.select("id", F.size("paths").cast("long").alias("len"))
     n = lengths.where("len > 0").agg(F.count("*").alias("n"))
     idf = postings.groupBy("path").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("path", "df", F.log(F.col("n") / (F.col("df") + 1)).alias("idf"))
-    return PathIndex(postings, lengths, idf)
+    return PathIndex(postings, lengths, idf, rows.select("id", F.array_distinct("paths").alias("paths"), F.size("paths").cast("long").alias("len")))
 
 
 def hash_buckets(docs: DataFrame, id_col: str, hash_col: str) -> DataFrame:

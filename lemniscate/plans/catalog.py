@@ -51,7 +51,7 @@ def six(*columns: str) -> list:
     s AS (SELECT qid, doc_id, s / sqrt(len(t) - 1) AS score FROM h JOIN c_t ON c_t.id = doc_id)
     SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10""")
 def q01(spark, d):
-    own = index.bigram_index(v.table(spark, d, "documents"), "doc_id", F.col("text"))
+    own = index.bigram_index(v.spread(v.table(spark, d, "documents").select("doc_id", "text")), "doc_id", F.col("text"))
     return search.bigram_search(v.table(spark, d, "benchmark"), "item_id", F.col("text"), own, 10).select("qid", "doc_id", *big("rank"), *six("score"))
 
 

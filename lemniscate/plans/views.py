@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df on as many partitions as there are cores, if its files give fewer: a table this small is cheap to deal out."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fid, visual_id, issue, latex) of every part."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
