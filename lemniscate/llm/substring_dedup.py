@@ -9,8 +9,8 @@ A minimiser that occurs in one document only can't hold a repeated window.  A fi
 several documents are set in a bitmap, which is broadcast; it has about an eighth of the texts' bytes in bits, at most
 2**31 (256 MB).  Bits that collide let needless super-k-mers through and change no result.
 
-Hot passages: equal super-k-mers are aggregated before the shuffle, so a passage in a third of all documents is a few
-rows for each task; the result goes back to the documents by the string's hash, in a join that splits skewed keys.
+Hot passages: equal super-k-mers of a task are one row before the shuffle, so a passage in a third of all documents is one
+row for each task; the result goes back to the documents by the string's hash, in a join that splits skewed keys.
 
 Nulls and ties: a null text has no words; rows of a null doc_id count as one document, smaller than all others; rows that
 repeat a doc_id are one document and don't remove each other's words; a document of fewer than `width` words keeps all.
@@ -18,12 +18,12 @@ repeat a doc_id are one document and don't remove each other's words; a document
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +75,11 @@ def minimisers(hashes: np.ndarray, width: int, gram: int) -> np.ndarray:
     return sliding_min(mixed(rolling(hashes, gram, 0x9E3779B97F4A7C15)), width - gram + 1)
 
 
+def bit_of(minimiser: np.ndarray, filter_bits: int) -> np.ndarray:
+    """The bitmap's bit for each minimiser.  Minimisers are small numbers by their nature, so they are scrambled again."""
+    return (mixed(minimiser ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - filter_bits)).astype(np.int64)
+
+
 def runs_of(values: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal values, then the end."""
     return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
@@ -95,7 +100,7 @@ def shared_minimisers(docs: DataFrame, width: int, gram: int, filter_bits: int)
                     found.append(m)
                     owner.append(np.full(len(m), i, np.int64))
             if found:
-                bit = (np.concatenate(found) >> np.uint64(64 - filter_bits)).astype(np.int64)
+                bit = bit_of(np.concatenate(found), filter_bits)
                 owner = np.concatenate(owner)
                 order = np.argsort(bit, kind="stable")
                 bit, owner = bit[order], owner[order]
@@ -137,7 +142,7 @@ def super_kmers(docs: DataFrame, width: int, gram: int, filter_bits: int) -> Dat
                     continue
                 m = minimisers(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), width, gram)
                 cuts = runs_of(m)
-                bit = (m[cuts[:-1]] >> np.uint64(64 - filter_bits)).astype(np.int64)
+                bit = bit_of(m[cuts[:-1]], filter_bits)
                 for k in np.flatnonzero(bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).tolist():
                     a, b = int(cuts[k]), int(cuts[k + 1])
                     ids.append(i)
@@ -206,12 +211,36 @@ def with_keys(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("row"))
 
 
-def covered_spans(docs: DataFrame, width: int = 50, gram: int = 3, filter_bits: int | None = None) -> DataFrame:
+def covered_spans(docs: DataFrame, width: int = 50, gram: int = 8, filter_bits: int | None = None, combine_bytes: int = 48 << 20) -> DataFrame:
     """(id, row, spans: arrays of word positions [a, b), which may overlap) of the documents that lose words."""
     rows = with_keys(docs).select("id", "row", "text")
     filter_bits = filter_bits or bits_for(rows)
     found = stored(super_kmers(rows, width, gram, filter_bits).withColumn("string", F.md5("packed")).withColumn("string", F.unhex("string")))
-    distinct = found.groupBy("bucket", "packed", "string").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    fields = "bucket long, string binary, packed binary, least long, most long"
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Equal strings of a task become one row, before the shuffle; what is held is bounded by `combine_bytes`."""
+        held: dict[bytes, list] = {}
+        size = 0
+        for batch in batches:
+            for bucket, string, packed, i in zip(*(batch.column(c).to_pylist() for c in ("bucket", "string", "packed", "id"))):
+                own = held.get(string)
+                if own is None:
+                    held[string] = [bucket, string, packed, i, i]
+                    size += len(packed) + 200
+                    if size > combine_bytes:
+                        yield as_batch(list(held.values()))
+                        held, size = {}, 0
+                else:
+                    own[3], own[4] = min(own[3], i), max(own[4], i)
+        if held:
+            yield as_batch(list(held.values()))
+
+    def as_batch(rows: list) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "string", "packed", "least", "most"])
+
+    distinct = found.select("bucket", "string", "packed", "id").mapInArrow(combine, fields)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, bytes, int, int]] = []
@@ -230,16 +259,19 @@ def covered_spans(docs: DataFrame, width: int = 50, gram: int = 3, filter_bits:
 
         size = 0
         for batch in in_slices(batches, "packed", 1 << 20):
-            for row in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), batch.column("string").to_pylist(), batch.column("least").to_pylist(), batch.column("most").to_pylist()):
-                if size > 4 << 20 and held[-1][0] != row[0]:
+            for bucket, packed, string, least, most in zip(*(batch.column(c).to_pylist() for c in ("bucket", "packed", "string", "least", "most"))):
+                if held and held[-1][2] == string:  # the same string of another task
+                    held[-1] = (bucket, packed, string, min(least, held[-1][3]), max(most, held[-1][4]))
+                    continue
+                if size > 4 << 20 and held[-1][0] != bucket:
                     yield answer(held)
                     held, size = [], 0
-                held.append(row)
-                size += len(row[1])
+                held.append((bucket, packed, string, least, most))
+                size += len(packed)
         if held:
             yield answer(held)
 
-    answers = distinct.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(resolve, "string binary, starts array<int>, firsts array<long>")
+    answers = distinct.repartition("bucket").sortWithinPartitions("bucket", "string").mapInArrow(resolve, "string binary, starts array<int>, firsts array<long>")
     uses = found.select("id", "row", "pos", "n", "string").join(answers, "string")
     runs = F.zip_with(F.col("starts"), F.concat(F.slice("starts", 2, F.size("starts")), F.array("n")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     lost = F.filter(F.zip_with(runs, F.col("firsts"), lambda r, first: F.when(first < F.col("id"), F.struct((F.col("pos") + r["a"]).alias("a"), (F.col("pos") + r["b"] + width - 1).alias("b")))), lambda r: r.isNotNull())
@@ -247,17 +279,24 @@ def covered_spans(docs: DataFrame, width: int = 50, gram: int = 3, filter_bits:
     return parts.groupBy("id", "row").agg(F.flatten(F.collect_list("lost")).alias("spans"))
 
 
-def without_repeated_windows(docs: DataFrame, width: int = 50, gram: int = 3, filter_bits: int | None = None) -> DataFrame:
+def without_repeated_windows(docs: DataFrame, width: int = 50, gram: int = 8, filter_bits: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept: the words that stay, joined by a space) of every row.
 
-    The spans travel to the documents, whose texts are shuffled once.
+    The spans travel to the documents, whose texts are shuffled once, compressed.
     """
     spans = covered_spans(docs, width, gram, filter_bits)
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
         for batch in in_slices(batches, "text", 8 << 20):
+            packed = pa.array([press.compress(t) for t in as_bytes(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), batch.column("row"), packed], names=["doc_id", "id", "row", "packed"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+        for batch in in_slices(batches, "packed", 2 << 20):
             n_words, n_removed, kept = [], [], []
-            for text, own in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist()):
-                words = text.split()
+            for packed, own in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist()):
+                words = open_.decompress(packed).split()
                 n_words.append(len(words))
                 if own:
                     stay = np.ones(len(words), bool)
@@ -268,4 +307,5 @@ def without_repeated_windows(docs: DataFrame, width: int = 50, gram: int = 3, fi
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return with_keys(docs).join(spans, ["id", "row"], "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    texts = with_keys(docs).select("doc_id", "id", "row", "text").mapInArrow(squeeze, "doc_id long, id long, row long, packed binary")
+    return texts.join(spans, ["id", "row"], "left").select("doc_id", "packed", "spans").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
