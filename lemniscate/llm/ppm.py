@@ -58,13 +58,14 @@ def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """(kind, chunk, ids, held, blob, word, n): a row for each chunk's texts, and for each distinct word in it."""
-    schema = pa.schema([("kind", pa.int32()), ("chunk", pa.string()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("blob", pa.binary()), ("word", pa.binary()), ("n", pa.int64())])
+    """(kind, chunk, ids, held, blob, word, pos, n): a row for each chunk's texts, and for each distinct word in it, in the
+    order in which the chunk's texts bring them up."""
+    schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("blob", pa.binary()), ("word", pa.binary()), ("pos", pa.int32()), ("n", pa.int64())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for k, batch in enumerate(in_slices(batches, "text", chunk_bytes)):
-            chunk = f"{TaskContext.get().partitionId()}-{k}"
+            chunk = (TaskContext.get().partitionId() << 32) + k
             held = batch.column("held").to_pylist()
             seen: dict[bytes, int] = {}
             lines = []
@@ -74,9 +75,9 @@ def packed_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
                 for w in words:
                     seen[w] = seen.get(w, 0) + (not out)
             yield from filled(schema, kind=pa.array([DOCS], pa.int32()), chunk=pa.array([chunk]), ids=pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), held=pa.array([held], pa.list_(pa.bool_())), blob=pa.array([squeeze.compress(b"\n".join(lines))]))
-            yield from filled(schema, kind=pa.array(np.full(len(seen), WORDS, np.int32)), chunk=pa.array([chunk] * len(seen)), word=pa.array(seen.keys(), pa.binary()), n=pa.array(seen.values(), pa.int64()))
+            yield from filled(schema, kind=pa.array(np.full(len(seen), WORDS, np.int32)), chunk=pa.array(np.full(len(seen), chunk)), word=pa.array(seen.keys(), pa.binary()), pos=pa.array(np.arange(len(seen), dtype=np.int32)), n=pa.array(seen.values(), pa.int64()))
 
-    return docs.mapInArrow(pack, "kind int, chunk string, ids array<long>, held array<boolean>, blob binary, word binary, n long")
+    return docs.mapInArrow(pack, "kind int, chunk long, ids array<long>, held array<boolean>, blob binary, word binary, pos int, n long")
 
 
 def filled(schema: pa.Schema, **columns: pa.Array) -> Iterator[pa.RecordBatch]:
@@ -102,16 +103,16 @@ def grams_of(words: DataFrame) -> DataFrame:
 
 def packed_words(words: DataFrame, pack_bytes: int = 2 << 20) -> DataFrame:
     """(kind, chunk, blob, code): packs of words, and the distinct contexts of each pack."""
-    schema = pa.schema([("kind", pa.int32()), ("chunk", pa.string()), ("blob", pa.binary()), ("code", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary()), ("code", pa.int64())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, batch in enumerate(in_slices(batches, "word", pack_bytes)):
-            chunk, own = f"{TaskContext.get().partitionId()}-{k}", batch.column("word").to_pylist()
+            chunk, own = (TaskContext.get().partitionId() << 32) + k, batch.column("word").to_pylist()
             contexts = np.unique(codes(spelled(own))[0] >> np.uint32(8)).astype(np.int64)
             yield from filled(schema, kind=pa.array([DOCS], pa.int32()), chunk=pa.array([chunk]), blob=pa.array([b" ".join(own)], pa.binary()))
-            yield from filled(schema, kind=pa.array(np.full(len(contexts), WORDS, np.int32)), chunk=pa.array([chunk] * len(contexts)), code=pa.array(contexts))
+            yield from filled(schema, kind=pa.array(np.full(len(contexts), WORDS, np.int32)), chunk=pa.array(np.full(len(contexts), chunk)), code=pa.array(contexts))
 
-    return words.select("word").mapInArrow(pack, "kind int, chunk string, blob binary, code long")
+    return words.select("word").mapInArrow(pack, "kind int, chunk long, blob binary, code long")
 
 
 class ShortNodes:
@@ -193,10 +194,10 @@ def spellings(words: DataFrame, known: DataFrame) -> DataFrame:
             three[np.repeat(has, many), symbols[place]] = ns[place]
             own = order[low:high]
             each[own] = distributions(short.value, some, three)[at[own] - a, gram[own] & np.uint32(0xFF)]
-        return pa.table({"word": pa.array(words, pa.binary()), "log_b": pa.array(np.add.reduceat(each, np.cumsum(sizes) - sizes) if words else each)})
+        return pa.table({"word": pa.array(words, pa.binary()), "log_b": pa.array((np.add.reduceat(each, np.cumsum(sizes) - sizes) if words else each).astype(np.float32))})
 
     blobs = packs.where(F.col("kind") == DOCS).select(F.col("chunk").alias("own"), "blob")
-    return blobs.groupBy("own").cogroup(slices.groupBy("chunk")).applyInArrow(spell, "word binary, log_b double")
+    return blobs.groupBy("own").cogroup(slices.groupBy("chunk")).applyInArrow(spell, "word binary, log_b float")
 
 
 def corpus_node(c: np.ndarray, log_b: np.ndarray, size: int, distinct: int) -> np.ndarray:
@@ -230,17 +231,18 @@ def scores(docs: DataFrame, held_out: Column, chunk_bytes: int = 12 << 20) -> Da
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row, learning from rows that aren't held out."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(held_out, F.lit(False)).alias("held"))
     chunks = stored(packed_chunks(rows, chunk_bytes), "kind")
-    listed = chunks.where(F.col("kind") == WORDS).select("chunk", "word", "n")
+    listed = chunks.where(F.col("kind") == WORDS).select("chunk", "word", "pos", "n")
     counts = stored(listed.groupBy("word").agg(F.sum("n").alias("c")))
     total = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     size, distinct, divisor = int(total.n), int(total.v), float(np.log10(total.n + total.v + 1))
     known = counts.join(spellings(counts, counts.where("c > 0")).withColumnRenamed("word", "own"), F.col("word") == F.col("own")).select("word", "c", "log_b")
-    slices = listed.select("chunk", "word").join(known, "word")
+    slices = listed.select("chunk", "pos", "word").join(known, "word").select("chunk", "pos", "c", "log_b")
 
     def score(texts: pa.Table, stats: pa.Table) -> pa.Table:
-        words = stats.column("word").to_pylist()
-        number = dict(zip(words, range(len(words))))
-        c, log_b = stats.column("c").to_numpy().astype(float), stats.column("log_b").to_numpy()
+        order = np.argsort(stats.column("pos").to_numpy())
+        c, log_b = stats.column("c").to_numpy()[order].astype(float), stats.column("log_b").to_numpy()[order].astype(float)
+        number: dict[bytes, int] = {}  # words get the positions that the chunk's list gave them
+        put = number.setdefault
         base, log_q = np.log10(c + 1) - divisor, corpus_node(c, log_b, size, distinct)
         out: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
         for ids, held, blob in zip(texts.column("ids").to_pylist(), texts.column("held").to_pylist(), texts.column("blob").to_pylist()):
@@ -255,7 +257,7 @@ def scores(docs: DataFrame, held_out: Column, chunk_bytes: int = 12 << 20) -> Da
                     tokens += own
                     tokens.append(END)
                     sizes.append(len(own) + 1)
-                token = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+                token = np.fromiter((put(t, len(number)) for t in tokens), np.int64, len(tokens))
                 starts = np.cumsum(sizes) - sizes
                 out["n_tokens"] += sizes
                 out["n_known"] += np.add.reduceat((c[token] > 0).astype(np.int64), starts).tolist()
