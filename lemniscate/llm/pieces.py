@@ -68,6 +68,8 @@ class Vocabulary:
         self.rank = np.unique(-score, return_inverse=True)[1].astype(np.int64)  # 0 is merged first; equal scores share a rank
         self.chars = np.array([len(p.decode()) for p in self.pieces])
         self.id_of = {p: (int(r), int(i)) for p, r, i in zip(self.pieces, self.rank, self.ids)}
+        self.sizes = np.array([len(p) for p in self.pieces], np.int32)
+        self.bounds = np.array([bounds(p) for p in self.pieces], np.uint64)
 
 
 SEGMENT = re.compile(rb" *[^ \n]+| +|\n")
@@ -118,11 +120,9 @@ def bounds(piece: bytes) -> tuple[int, int]:
 
 def matches(vocabulary: Vocabulary, flat: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (start, piece number), sorted by position: every occurrence of every piece."""
-    depth = max(map(len, vocabulary.pieces))
-    order, first = suffixes(flat, n, depth)
-    both = np.array([bounds(p) for p in vocabulary.pieces], np.uint64)
-    low, high = np.searchsorted(first, both[:, 0], "left"), np.searchsorted(first, both[:, 1], "right")
-    for k in np.flatnonzero((np.array([len(p) for p in vocabulary.pieces]) > 8) & (low < high)).tolist():
+    order, first = suffixes(flat, n, int(vocabulary.sizes.max()))
+    low, high = np.searchsorted(first, vocabulary.bounds[:, 0], "left"), np.searchsorted(first, vocabulary.bounds[:, 1], "right")
+    for k in np.flatnonzero((vocabulary.sizes > 8) & (low < high)).tolist():
         piece, a, b = vocabulary.pieces[k], int(low[k]), int(high[k])
         for step in range(8, len(piece), 8):  # within equal first bytes, the next eight are in order
             then = packed(flat, order[a:b] + step)
@@ -177,7 +177,7 @@ def relaxed(vocabulary: Vocabulary, segments: list[bytes]) -> tuple[np.ndarray,
     n = len(text)
     flat = np.frombuffer(text + bytes(64), np.uint8)
     start, piece = matches(vocabulary, flat, n)
-    size = np.array([len(p) for p in vocabulary.pieces], np.int32)
+    size = vocabulary.sizes
     begins = (flat[: n + 1] & 0xC0) != 0x80  # symbols begin where characters do
     begins[n] = True
     token = np.full(n + 1, -1, np.int32)
@@ -227,7 +227,7 @@ def relaxed(vocabulary: Vocabulary, segments: list[bytes]) -> tuple[np.ndarray,
 class Encoder:
     """Encodes batches of texts; segments met before, up to `keep` of them, aren't matched again."""
 
-    def __init__(self, vocabulary: Vocabulary, keep: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, keep: int = 300_000):
         self.vocabulary, self.keep = vocabulary, keep
         self.forget()
 
@@ -263,7 +263,7 @@ def decode(vocabulary: Vocabulary, ids: list[int]) -> bytes:
     return text[1:] if text[:1] == b" " else text
 
 
-def encoded(docs: DataFrame, model_file: str = MODEL, batch_bytes: int = 4 << 20) -> DataFrame:
+def encoded(docs: DataFrame, model_file: str = MODEL, batch_bytes: int = 2 << 20) -> DataFrame:
     """(doc_id, ids, n_tokens, round_trip: do the ids decode to the text) of every row; no shuffle.
 
     The vocabulary, whose size is the model file's, is read on the driver and broadcast.
