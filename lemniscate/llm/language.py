@@ -3,7 +3,8 @@
 Learning counts hashed byte trigrams for each language over all labelled rows.  A document is cut into segments of
 `segment` bytes; a segment's likelihood in a language is the product of its trigrams'.  EM estimates the document's
 language proportions, first over all languages, then over its k likeliest ones for k = 1, 2, ...; the k of the best
-likelihood less `penalty * log(segments + 1)` for each language after the first is its language set.
+likelihood less `penalty * log(segments + 1)` for each language after the first is its language set.  k runs up to all
+learned languages, or until not even the best language of every segment could pay for one more.
 
 The counts of a language are one array of `2 ** bits` numbers, so what is collected and broadcast is bounded by the number
 of languages, which must not exceed `max_languages`.
@@ -92,7 +93,7 @@ def mixture(loglik: np.ndarray, starts: np.ndarray, allowed: np.ndarray, rounds:
     return share, total
 
 
-def infer(model: Model, texts: list[bytes], segment: int = 96, penalty: float = 1.0, rounds: int = 12, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def infer(model: Model, texts: list[bytes], segment: int = 96, penalty: float = 1.0, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """(proportions of the chosen language set, the set as a mask) of each text, which must not be empty."""
     parts, sizes = [], []
     for text in texts:
@@ -106,13 +107,18 @@ def infer(model: Model, texts: list[bytes], segment: int = 96, penalty: float =
     full, _ = mixture(loglik, starts, np.ones((len(texts), n), bool), rounds)
     rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
     best, share, chosen = np.full(len(texts), -np.inf), full, np.zeros((len(texts), n), bool)
-    for k in range(1, min(most, n) + 1):
-        allowed = rank < k
-        own, total = mixture(loglik, starts, allowed, rounds)
-        value = total - penalty * (k - 1) * np.log(np.array(sizes) + 1)
-        better = value > best
-        best = np.where(better, value, best)
-        share, chosen = np.where(better[:, None], own, share), np.where(better[:, None], allowed, chosen)
+    sizes, at_most, going = np.array(sizes), np.add.reduceat(loglik.max(axis=1), starts), np.arange(len(texts))
+    for k in range(1, n + 1):
+        price = penalty * (k - 1) * np.log(sizes + 1)
+        going = going[at_most[going] - price[going] > best[going]]  # no set has more than each segment's best language gives
+        if not len(going):
+            break
+        own_sizes, allowed = sizes[going], rank[going] < k
+        own, total = mixture(loglik[np.repeat(np.isin(np.arange(len(texts)), going), sizes)], np.cumsum(own_sizes) - own_sizes, allowed, rounds)
+        value = total - price[going]
+        better = value > best[going]
+        at = going[better]
+        best[at], share[at], chosen[at] = value[better], own[better], allowed[better]
     return share, chosen
 
 

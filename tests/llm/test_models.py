@@ -214,6 +214,18 @@ def test_language(spark):
 MODEL = pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no vocabulary file")
 
 
+def test_language_sets_of_four_and_five(spark):
+    rng = random.Random(12)
+    langs = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(3, 7))) for _ in range(60)] for lang, letters in zip("vwxyz", ("abcde", "fghij", "klmno", "pqrst", "uvwxy"))}
+    say = lambda lang, n: " ".join(rng.choice(langs[lang]) for _ in range(n))
+    model = language.fit(spark.createDataFrame([(i, say(lang, 300), lang) for i, lang in enumerate(langs)], "doc_id long, text string, lang string"))
+    sets = ["v", "vw", "vwx", "vwxy", "vwxyz", "wz"]
+    rows = language.identified(table(spark, ["\n".join(say(lang, 200) for lang in s) for s in sets]), model).orderBy("doc_id").collect()
+    assert ["".join(sorted(x.lang for x in r.languages)) for r in rows] == sets
+    assert all(abs(x.share - 1 / len(s)) < 0.1 for r, s in zip(rows, sets) for x in r.languages)
+    assert all(abs(sum(x.share for x in r.languages) - 1) < 1e-6 for r in rows)
+
+
 @MODEL
 def test_pieces_match_the_library(spark):
     import sentencepiece
