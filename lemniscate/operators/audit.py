@@ -86,15 +86,27 @@ def length_bands(column: Column, least: float) -> Column:
     return F.floor(F.log(F.greatest(F.length(column), F.lit(1))) / F.log(F.lit((2 - least) / least)))
 
 
+def with_holders(texts: DataFrame) -> DataFrame:
+    """(text, low, high: the least and the greatest id of the rows that hold it) of each text; without an id column both are null."""
+    key = F.col("id") if "id" in texts.columns else F.lit(None)
+    return texts.select("text", key.alias("id")).groupBy("text").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+
+
+def only_own() -> Column:
+    """A text that no row but the query's own holds."""
+    return F.coalesce((F.col("low") == F.col("qid")) & (F.col("high") == F.col("qid")), F.lit(False))
+
+
 def fuzzy_best(queries: DataFrame, texts: DataFrame, least: float = 0.85) -> DataFrame:
     """(qid, text, score): the most similar text above `least`, the least text on ties.
 
-    A ratio above r needs lengths within a factor (2 - r) / r, so texts need to meet only within their own length band and
-    its neighbours, which loses none.
+    Where texts have an id, the query's own row is no match, but other rows of the same text are.  A ratio above r needs
+    lengths within a factor (2 - r) / r, so texts need to meet only within their own length band and its neighbours, which
+    loses none.
     """
     q = queries.select("qid", F.col("text").alias("q"), F.explode(F.array(*[length_bands(F.col("text"), least) + d for d in (-1, 0, 1)])).alias("band"))
-    t = texts.select(F.col("text").alias("t")).distinct().withColumn("band", length_bands(F.col("t"), least))
-    scored = q.join(t, "band").select("qid", F.col("t").alias("doc_id"), similarity(F.col("q"), F.col("t")).alias("score"))
+    t = with_holders(texts).withColumnRenamed("text", "t").withColumn("band", length_bands(F.col("t"), least))
+    scored = q.join(t, "band").where(~only_own()).select("qid", F.col("t").alias("doc_id"), similarity(F.col("q"), F.col("t")).alias("score"))
     return top_k(scored.where(F.col("score") > least), 1).select("qid", F.col("doc_id").alias("text"), "score")
 
 
@@ -108,15 +120,17 @@ def first_match(queries: DataFrame, corpus: DataFrame, key: str, value: str, ord
 def match_waterfall(queries: DataFrame, texts: DataFrame, tokens, least: float = 0.85, votes: float = 0.5) -> DataFrame:
     """(qid, text, score, strategy): equal text, else a similar one, else one sharing more than `votes` of the tokens, else none.
 
-    tokens(column) gives a text's distinct tokens.
+    tokens(column) gives a text's distinct tokens.  Where texts have an id, the query's own row is no match.
     """
-    t = texts.select("text").distinct()
-    exact = queries.join(t, "text", "left_semi").select("qid", "text", F.lit(1.0).alias("score"), F.lit("exact").alias("strategy"))
+    t = with_holders(texts)
+    exact = queries.join(t, "text").where(~only_own()).select("qid", "text", F.lit(1.0).alias("score"), F.lit("exact").alias("strategy"))
     rest = queries.join(exact.select("qid"), "qid", "left_anti")
-    fuzzy = fuzzy_best(rest, t, least).withColumn("strategy", F.lit("fuzzy"))
+    fuzzy = fuzzy_best(rest, texts, least).withColumn("strategy", F.lit("fuzzy"))
     rest = rest.join(fuzzy.select("qid"), "qid", "left_anti")
     own = rest.select("qid", F.explode(tokens(F.col("text"))).alias("path"))
     hits = containment(own, t.select(F.col("text").alias("doc_id"), F.explode(tokens(F.col("text"))).alias("path")))
+    # A query that comes this far has its text to itself, so its own row is the one of an equal text.
+    hits = hits.join(rest.select("qid", "text"), "qid").where(F.col("doc_id") != F.col("text")).drop("text")
     voted = top_k(hits.where(F.col("score") > votes), 1).select("qid", F.col("doc_id").alias("text"), (F.col("score") * 0.7).alias("score"), F.lit("tokens").alias("strategy"))
     none = rest.join(voted.select("qid"), "qid", "left_anti").select("qid", F.lit(None).cast("string").alias("text"), F.lit(0.0).alias("score"), F.lit("none").alias("strategy"))
     return exact.union(fuzzy).union(voted).union(none)

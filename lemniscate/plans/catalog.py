@@ -389,14 +389,14 @@ def q37(spark, d):
 def q38(spark, d):
     f = v.formulas(spark, d)
     q = f.where("fid % 100 = 0").select(F.col("fid").alias("qid"), clean("latex", "aggressive").alias("text"))
-    return audit.fuzzy_best(q, f.where("fid % 100 <> 0").select(clean("latex", "aggressive").alias("text"))).select("qid", "text", *six("score"))
+    return audit.fuzzy_best(q, f.select(F.col("fid").alias("id"), clean("latex", "aggressive").alias("text"))).select("qid", "text", *six("score"))
 
 
 @query("q38b_match_waterfall")
 def q38b(spark, d):
     f = v.formulas(spark, d)
     q = f.where("fid % 100 = 0").select(F.col("fid").alias("qid"), clean("latex", "aggressive").alias("text"))
-    t = f.where("fid % 100 <> 0").select(clean("latex", "aggressive").alias("text"))
+    t = f.select(F.col("fid").alias("id"), clean("latex", "aggressive").alias("text"))
     return audit.match_waterfall(q, t, lambda c: F.array_distinct(paths.plain_words(c))).select("qid", "text", *six("score"), "strategy")
 
 

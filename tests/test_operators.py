@@ -123,3 +123,25 @@ def test_match_waterfall(spark):
 def test_coverage_of_nothing(spark):
     row = audit.coverage(spark.createDataFrame([], "qid long, doc_id long"), spark.createDataFrame([], "doc_id long")).first()
     assert row.upper_bound is None and row.empty_queries == 0
+
+
+def test_searches_of_all_rows_but_the_own(spark):
+    from pyspark.sql import functions as F
+
+    texts = [(0, "abcdefghij kl"), (100, "abcdefghij km"), (200, "same text"), (300, "same text"), (400, "x1 x2 x3 other words behind"), (500, "x1 x2 x3"), (600, "alone here")]
+    t = spark.createDataFrame(texts, "id long, text string")
+    q = t.select(F.col("id").alias("qid"), "text")
+    got = {r.qid: r.text for r in audit.fuzzy_best(q, t).collect()}
+    assert got == {0: "abcdefghij km", 100: "abcdefghij kl", 200: "same text", 300: "same text"}
+    out = {r.qid: (r.strategy, r.text) for r in audit.match_waterfall(q, t, lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0)))).collect()}
+    assert out == {0: ("fuzzy", "abcdefghij km"), 100: ("fuzzy", "abcdefghij kl"), 200: ("exact", "same text"), 300: ("exact", "same text"), 400: ("none", None), 500: ("tokens", "x1 x2 x3 other words behind"), 600: ("none", None)}
+
+
+def test_fuzzy_queries_search_query_rows_too(spark, monkeypatch):
+    from lemniscate.plans import catalog
+
+    rows = [(100, "a+b+c+d+e+f"), (200, "a+b+c+d+e+f"), (7, "z")]
+    monkeypatch.setattr(catalog.v, "formulas", lambda spark, d: spark.createDataFrame(rows, "fid long, latex string"))
+    own = catalog.queries()
+    assert {(r.qid, r.score) for r in own["q38_fuzzy_ratio"](spark, "").collect()} == {(100, 1.0), (200, 1.0)}
+    assert {(r.qid, r.strategy) for r in own["q38b_match_waterfall"](spark, "").collect()} == {(100, "exact"), (200, "exact")}
