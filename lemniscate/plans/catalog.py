@@ -382,7 +382,7 @@ def q36(spark, d):
 
 @query("q37_ivf_vector_topk")
 def q37(spark, d):
-    return search.ivf_top_k(v.vector_queries(spark, d), v.vectors(spark, d), 10).select("qid", "doc_id", *big("rank"), *six("score"))
+    return search.ivf_top_k(v.vector_queries(spark, d), v.vectors(spark, d), 10, probes=12).select("qid", "doc_id", *big("rank"), *six("score"))
 
 
 @query("q38_fuzzy_ratio")

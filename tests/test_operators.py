@@ -145,3 +145,20 @@ def test_fuzzy_queries_search_query_rows_too(spark, monkeypatch):
     own = catalog.queries()
     assert {(r.qid, r.score) for r in own["q38_fuzzy_ratio"](spark, "").collect()} == {(100, 1.0), (200, 1.0)}
     assert {(r.qid, r.strategy) for r in own["q38b_match_waterfall"](spark, "").collect()} == {(100, "exact"), (200, "exact")}
+
+
+def test_ivf_of_q37_recall_and_full_lists(spark, monkeypatch):
+    import numpy as np
+
+    from lemniscate.plans import catalog
+
+    m = np.random.default_rng(2).normal(size=(600, 64))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, embedding array<float>")
+    q = v.where("id % 30 = 0").withColumnRenamed("id", "qid")
+    monkeypatch.setattr(catalog.v, "vectors", lambda spark, d: v)
+    monkeypatch.setattr(catalog.v, "vector_queries", lambda spark, d: q)
+    exact = {(r.qid, r.doc_id) for r in search.vector_top_k(q, v, 10).collect()}
+    near = {(r.qid, r.doc_id) for r in catalog.queries()["q37_ivf_vector_topk"](spark, "").collect()}
+    assert len(exact & near) / len(exact) >= 0.9
+    few = search.ivf_top_k(q, v, 100, cells=16, probes=1)  # a cell holds about 38 vectors
+    assert few.count() == 20 * 100
