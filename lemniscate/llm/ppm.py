@@ -1,24 +1,28 @@
 """Prediction by partial matching over bytes, and the smoothed word counts it is compared with.
 
-A text is its lower-cased words and one end.  A word is spelled by its bytes and a space behind them, the end by a space
-alone; three line ends stand before a word.  The model is a trie of byte contexts up to three long.  A byte that a context
-has seen has count / (total + distinct); else the context escapes with distinct / (total + distinct) to the next shorter
-one, where all symbols that longer contexts have seen are excluded from the counts; below order 0 the bytes not yet
-excluded are equally likely.  As only words that higher nodes don't know are spelled, the trie learns from each distinct
-training word once (update exclusion).
-
-Above the bytes stand two nodes of whole tokens, which blend with what they escape to: the document's own, which adapts
-as its text goes by, (n + k * q) / (i + k) after i tokens of which n were this one; and the training corpus's,
-q = (c + V * b) / (N + V), where b is the product of the token's byte probabilities.  k, the weight of escaping, is the
-number of distinct tokens so far, one of `STEADY`, or beyond all bounds; a document's probability is the mean of the four.
-
-Statistics come to the texts, not the texts to the statistics: documents are packed into chunks of about `chunk_bytes`,
-each chunk lists its distinct words, and the corpus's counts and spellings are joined to these lists.  The spellings come
-from the trie in the same way: distinct words are packed, and trie nodes are joined to the contexts of each pack.  Only
-nodes of order two and less, at most 2**24 children, are broadcast.
+A text is coded as its lower-cased words, joined by a space, and one line end; `order` line ends stand before it.  The model
+is a trie of byte contexts of up to `order` bytes, which run through the whole text, across words.  A byte that a context
+has seen n times has (2n - 1) / 2T there, T being the sum over its symbols; else the context escapes with D / 2T, D being
+its number of symbols, to the context one byte shorter (escape method D), where the symbols of the longer one are excluded
+from all counts; below order 0 the bytes not yet excluded are equally likely.  The longest contexts count every occurrence;
+a shorter one counts a symbol once for each context one byte longer in which it was seen (update exclusion).
+
+Above the trie stand the document's own nodes, which adapt as its text goes by: a context of three bytes, then one of seven
+(`OWN_NODES`).  One that was met t times, n of them before this byte, gives (n + weight * p) / (t + weight), p being what it
+escapes to.  They start anew with each document, and in a long one every 2**18 bytes.  A document's score is the log10
+probability of all its bytes.
+
+Statistics travel in packs, never byte by byte.  Documents are packed into chunks of about `chunk_bytes`; a chunk asks for
+its distinct grams (a context and a symbol) in sorted, delta-coded lists, one for each bucket.  The last three bytes of a
+context choose the bucket, so all its contexts of three bytes and more are there.  Each bucket merges the chunks' counts
+into its part of the trie, answers the lists with log probabilities, and these go back to the chunks.  Words are counted in
+the same way, by XXH64.  There are as many buckets as `bucket_bytes` of text ask for, 4,096 at most; beyond, a bucket's
+lists are dealt to several tasks, each with a copy of the bucket's part.  That part grows with the distinct grams of the
+corpus only; of one three-byte suffix there are at most 2**(8 * (order - 2)).  Contexts of two bytes and less are one
+array of 2**24 counts (32 MB at any size), which is broadcast.
 
 Nulls and ties: a null text is an empty one, whose only token is its end; a row whose `held_out` is null is learned from;
-repeated rows count each time; with nothing to learn from, all bytes are equally likely.
+repeated rows count each time; ids are text, numbers or null; with nothing to learn from, all bytes are equally likely.
 """
 
 from __future__ import annotations
@@ -27,293 +31,460 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, in_slices, stored
+from .common import as_bytes, in_slices, mixed, stored
 
-#: The end of a text, as a word.
-END = b""
-PAD = b"\n\n\n"
-DOCS, WORDS = range(2)
-#: Escape weights of document nodes that adapt slowly.
-STEADY = (64.0, 512.0)
+#: The end of a text, as a word and as a byte.
+END, END_BYTE = b"", b"\n"
+TEXTS, GRAMS, WORDS = range(3)
+#: Positions that are turned into grams at once.
+AT_ONCE = 1 << 18
+#: (bytes of context, weight of the escape) of a document's own nodes, from the lower one.
+OWN_NODES = ((3, 64.0), (7, 4.0))
 
 
 def words_of(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(32-bit code of each byte with the three before it, sizes of the texts)."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    flat = np.frombuffer(b"".join(PAD + t for t in texts), np.uint8).astype(np.uint32)
-    code = flat[3:] | flat[2:-1] << np.uint32(8) | flat[1:-2] << np.uint32(16) | flat[:-3] << np.uint32(24)
-    keep = np.ones(len(code) + 3, bool)
-    starts = np.cumsum(sizes + 3) - sizes - 3
-    keep[(starts[:, None] + np.arange(3)).ravel()] = False
-    return code[keep[3:]], sizes
+def u64(x: int) -> np.uint64:
+    return np.uint64(x)
+
+
+class Stream:
+    """Coded texts one behind the other, each after its line ends; grams are read off in slices.
+
+    A slice holds whole texts, or a part of `AT_ONCE` bytes of a longer one.
+    """
+
+    def __init__(self, lines: list[bytes], order: int):
+        self.order = order
+        self.flat = np.frombuffer(b"".join(END_BYTE * order + line + END_BYTE for line in lines), np.uint8)
+        sizes = np.array([len(line) + 1 for line in lines], np.int64)
+        starts = np.cumsum(sizes + order) - sizes - order
+        self.coded = np.ones(len(self.flat), bool)
+        self.coded[(starts[:, None] + np.arange(order)).ravel()] = False
+        self.doc = np.repeat(np.arange(len(lines), dtype=np.int32), sizes + order)
+        self.cuts, size = [0], 0
+        for a, n in zip(starts.tolist(), sizes.tolist()):
+            if size and size + n > AT_ONCE:
+                self.cuts.append(a)
+                size = 0
+            for b in range(a + order + AT_ONCE, a + order + n, AT_ONCE):
+                self.cuts.append(b)
+                n -= AT_ONCE
+            size += n
+        self.cuts.append(len(self.flat))
+
+    def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(gram: the context's bytes and the symbol in one number, document) of every coded position."""
+        for a, b in zip(self.cuts, self.cuts[1:]):
+            first = max(0, a - self.order)
+            own = self.flat[first:b].astype(np.uint64)
+            code = own.copy()
+            for k in range(1, self.order + 1):
+                code[k:] |= own[:-k] << u64(8 * k)
+            coded = self.coded[a:b]
+            yield code[a - first :][coded], self.doc[a:b][coded]
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, and the sums of their counts."""
+    code, n = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    by = np.argsort(code, kind="stable")
+    code, n = code[by], n[by]
+    at = firsts(code)
+    return code[at], np.add.reduceat(n, at) if len(at) else n
 
 
-def packed_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """(kind, chunk, ids, held, blob, word, pos, n): a row for each chunk's texts, and for each distinct word in it, in the
-    order in which the chunk's texts bring them up."""
-    schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("blob", pa.binary()), ("word", pa.binary()), ("pos", pa.int32()), ("n", pa.int64())])
+def firsts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for k, batch in enumerate(in_slices(batches, "text", chunk_bytes)):
-            chunk = (TaskContext.get().partitionId() << 32) + k
-            held = batch.column("held").to_pylist()
-            seen: dict[bytes, int] = {}
-            lines = []
-            for text, out in zip(as_bytes(batch.column("text")), held):
-                words = words_of(text)
-                lines.append(b" ".join(words[:-1]))
-                for w in words:
-                    seen[w] = seen.get(w, 0) + (not out)
-            yield from filled(schema, kind=pa.array([DOCS], pa.int32()), chunk=pa.array([chunk]), ids=pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), held=pa.array([held], pa.list_(pa.bool_())), blob=pa.array([squeeze.compress(b"\n".join(lines))]))
-            yield from filled(schema, kind=pa.array(np.full(len(seen), WORDS, np.int32)), chunk=pa.array(np.full(len(seen), chunk)), word=pa.array(seen.keys(), pa.binary()), pos=pa.array(np.arange(len(seen), dtype=np.int32)), n=pa.array(seen.values(), pa.int64()))
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[firsts(x)]
+
+
+def distinct_grams(stream: Stream, held: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """All grams of the texts, ascending, and how often those of texts that aren't held out occur (none are counted without `held`)."""
+    parts = []
+    for code, doc in stream.grams():
+        if held is None:
+            parts.append((distinct(code), None))
+        else:
+            out = held[doc]
+            parts.append(np.unique(code[~out], return_counts=True))
+            parts.append((distinct(code[out]), None))
+    return summed([(code, np.zeros(len(code), np.int64) if n is None else n) for code, n in parts])
+
+
+def distinct_words(lines: list[bytes], held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of all words of the texts, ascending, and how often they occur in texts that aren't held out."""
+    seen: dict[bytes, int] = {}
+    for line, out in zip(lines, held.tolist()):
+        for w in line.split():
+            seen[w] = seen.get(w, 0) + (not out)
+    seen[END] = int((~held).sum())
+    h = np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen))
+    n = np.fromiter(seen.values(), np.int64, len(seen))
+    return summed([(h, n), (h[:0], n[:0])])
+
+
+def buckets_of(kind: int, code: np.ndarray, bits: int) -> np.ndarray:
+    """Grams go by the last three bytes of their context, words by their hash."""
+    spread = mixed(code >> u64(8) & u64(0xFFFFFF)) if kind == GRAMS else code
+    return (spread >> u64(64 - bits)).astype(np.uint16) if bits else np.zeros(len(code), np.uint16)
+
+
+def by_bucket(kind: int, code: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its codes, ascending)."""
+    bucket = buckets_of(kind, code, bits)
+    order = np.argsort(bucket, kind="stable")
+    ordered = bucket[order]
+    at = firsts(ordered)
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)]):
+        yield int(ordered[a]), order[a:b]
+
+
+def seen_before(code: np.ndarray) -> np.ndarray:
+    """How often each number stood at earlier places; AT_ONCE places at most."""
+    place = u64(AT_ONCE.bit_length() - 1)
+    key = np.sort(mixed(code) >> place << place | np.arange(len(code), dtype=np.uint64))
+    at = (key & u64(AT_ONCE - 1)).astype(np.int64)
+    own = code[at]
+    new = own[1:] != own[:-1]
+    if (new & (key[1:] >> place == key[:-1] >> place)).any():  # hashes collide: sort by what they stand for
+        at = np.argsort(code, kind="stable")
+        new = code[at[1:]] != code[at[:-1]]
+    start = np.concatenate([[0], np.flatnonzero(new) + 1])
+    out = np.empty(len(code), np.int64)
+    out[at] = np.arange(len(code)) - np.repeat(start, np.diff(start, append=len(code)))
+    return out
+
+
+def adapted(code: np.ndarray, doc: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Probabilities once the document's own nodes have had their say: (seen + weight * p) / (met + weight) at each."""
+    own = mixed(doc.astype(np.uint64) + u64(1))  # keeps documents apart
+    for order, weight in OWN_NODES:
+        gram = code & u64((1 << 8 * (order + 1)) - 1)
+        p = (seen_before(gram ^ own) + weight * p) / (seen_before(gram >> u64(8) ^ own) + weight)
+    return p
 
-    return docs.mapInArrow(pack, "kind int, chunk long, ids array<long>, held array<boolean>, blob binary, word binary, pos int, n long")
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
 
-def filled(schema: pa.Schema, **columns: pa.Array) -> Iterator[pa.RecordBatch]:
-    """A table of the schema, with nulls where no column is given, in batches."""
-    n = len(next(iter(columns.values())))
-    yield from pa.table([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema).to_batches(50_000)
 
+def unsqueezed(blob: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
-def spelled(words: list[bytes]) -> list[bytes]:
-    return [w + b" " for w in words]
 
+def codes_out(code: np.ndarray) -> bytes:
+    return squeezed(np.diff(code, prepend=u64(0)))
 
-def grams_of(words: DataFrame) -> DataFrame:
-    """(code, n): four bytes, three of them the context, and in how many of the words' places they stand."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches, "word", 4 << 20):
-            code, n = np.unique(codes(spelled(batch.column("word").to_pylist()))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n)], names=["code", "n"])
+def codes_in(blob: bytes) -> np.ndarray:
+    return np.cumsum(unsqueezed(blob, np.uint64), dtype=np.uint64)
 
-    return words.select("word").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
+PACKED = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.string())), ("held", pa.list_(pa.bool_())), ("codes", pa.binary()), ("counts", pa.binary())])
 
-def packed_words(words: DataFrame, pack_bytes: int = 2 << 20) -> DataFrame:
-    """(kind, chunk, blob, code): packs of words, and the distinct contexts of each pack."""
-    schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary()), ("code", pa.int64())])
+
+def packed_chunks(docs: DataFrame, order: int, bits: int, chunk_bytes: int) -> DataFrame:
+    """(kind, chunk, bucket, ids, held, codes, counts): a row for each chunk's texts (compressed in codes), and one for
+    each bucket of its distinct grams and of its distinct words."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(in_slices(batches, "word", pack_bytes)):
-            chunk, own = (TaskContext.get().partitionId() << 32) + k, batch.column("word").to_pylist()
-            contexts = np.unique(codes(spelled(own))[0] >> np.uint32(8)).astype(np.int64)
-            yield from filled(schema, kind=pa.array([DOCS], pa.int32()), chunk=pa.array([chunk]), blob=pa.array([b" ".join(own)], pa.binary()))
-            yield from filled(schema, kind=pa.array(np.full(len(contexts), WORDS, np.int32)), chunk=pa.array(np.full(len(contexts), chunk)), code=pa.array(contexts))
-
-    return words.select("word").mapInArrow(pack, "kind int, chunk long, blob binary, code long")
-
-
-class ShortNodes:
-    """The trie's nodes of order two and less."""
-
-    def __init__(self, code: np.ndarray, n: np.ndarray):
-        """code: two context bytes and a symbol, ascending."""
-        self.code, self.n = code, n
-        self.one = np.bincount(code & 0xFFFF, n, 1 << 16).reshape(256, 256) if len(code) else np.zeros((256, 256))
-        self.zero = self.one.sum(axis=0)
-
-    def two(self, contexts: np.ndarray) -> np.ndarray:
-        """Counts of all symbols in contexts of two bytes."""
-        out = np.zeros((len(contexts), 256))
-        if not len(self.code):
-            return out
-        low, high = np.searchsorted(self.code, contexts << 8), np.searchsorted(self.code, (contexts + 1) << 8)
-        counts = high - low
-        at = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        out[np.repeat(np.arange(len(contexts)), counts), self.code[at] & 0xFF] = self.n[at]
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for k, batch in enumerate(in_slices(batches, "text", chunk_bytes)):
+            chunk = (TaskContext.get().partitionId() << 32) + k
+            held = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
+            lines = [b" ".join(t.lower().split()) for t in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([TEXTS], [chunk], [0], [batch.column("doc_id").to_pylist()], [held.tolist()], [squeeze.compress(END_BYTE.join(lines))], [None]), PACKED)], schema=PACKED)
+            for kind, (code, n) in ((GRAMS, distinct_grams(Stream(lines, order), held)), (WORDS, distinct_words(lines, held))):
+                rows = [(kind, chunk, bucket, None, None, codes_out(code[at]), squeezed(n[at])) for bucket, at in by_bucket(kind, code, bits)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), PACKED)], schema=PACKED)
+
+    return docs.mapInArrow(pack, "kind int, chunk long, bucket int, ids array<string>, held array<boolean>, codes binary, counts binary")
+
+
+def merged_counts(lists: DataFrame, *by: str) -> DataFrame:
+    """(by, codes, counts, size: the sum of the counts, seen: how many codes have one); codes without a count are left out."""
+    at = [*by]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, waiting = None, [], 0
+
+        def row() -> pa.RecordBatch:
+            code, n = summed(parts)
+            code, n = code[n > 0], n[n > 0]
+            return pa.RecordBatch.from_arrays([*(pa.array([v], pa.int32()) for v in key), pa.array([codes_out(code)]), pa.array([squeezed(n)]), pa.array([int(n.sum())]), pa.array([len(n)])], names=[*at, "codes", "counts", "size", "seen"])
+
+        for batch in batches:
+            for *own, codes, counts in zip(*(batch.column(c).to_pylist() for c in (*at, "codes", "counts"))):
+                if own != key:
+                    if parts:
+                        yield row()
+                    key, parts, waiting = own, [], 0
+                parts.append((codes_in(codes), unsqueezed(counts, np.int64)))
+                waiting += len(parts[-1][0])
+                if waiting > max(1 << 20, 2 * len(parts[0][0])):  # what is held stays in proportion to the distinct codes
+                    parts, waiting = [summed(parts)], 0
+        if parts:
+            yield row()
+
+    rows = lists.select(*at, "codes", "counts").repartition(*at).sortWithinPartitions(*at)
+    return rows.mapInArrow(merge, f"{', '.join(f'{c} int' for c in at)}, codes binary, counts binary, size long, seen long")
+
+
+def low_counts(tables: DataFrame, order: int) -> np.ndarray:
+    """How many contexts of three bytes bring each trigram: counts of contexts of two bytes, 2**24 of them.  They come to
+    the driver as 4,096 pages at most."""
+
+    def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("codes").to_pylist():
+                four = codes_in(blob) & u64(0xFFFFFFFF)
+                code, n = np.unique(distinct(four) & u64(0xFFFFFF), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(n.astype(np.int32))], names=["code", "n"])
+
+    def page(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages: dict[int, np.ndarray] = {}
+        for batch in batches:
+            code, n = batch.column("code").to_numpy(), batch.column("n").to_numpy()
+            for p in np.unique(code >> 12).tolist():
+                own = pages.setdefault(p, np.zeros(4096, np.uint16))
+                np.add.at(own, code[code >> 12 == p] & 4095, n[code >> 12 == p].astype(np.uint16))
+        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int32()), pa.array([p.tobytes() for p in pages.values()], pa.binary())], names=["page", "counts"])
+
+    rows = tables.select("codes").mapInArrow(trigrams, "code int, n int").groupBy("code").agg(F.sum("n").cast("int").alias("n"))
+    out = np.zeros((4096, 4096), np.uint16)
+    for row in rows.repartition(F.shiftright("code", 12)).mapInArrow(page, "page int, counts binary").collect():
+        out[row.page] += np.frombuffer(row.counts, np.uint16)
+    return out.ravel()
+
+
+class Nodes:
+    """The trie's nodes of one order: grams and counts, ascending, and for each context its sum, its number of symbols, and
+    what its symbols count in the next shorter context."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, lower: Nodes | None, order: int):
+        self.code, self.n = code, n.astype(np.float64)
+        at = firsts(code >> u64(8))
+        self.context = code[at] >> u64(8)
+        self.total = np.add.reduceat(self.n, at) if len(at) else np.zeros(0)
+        self.distinct = np.diff([*at, len(code)]).astype(np.float64)
+        if lower is None:
+            self.below = np.zeros(len(at))
+        else:
+            self.below = np.add.reduceat(lower.n[np.searchsorted(lower.code, code & u64((1 << 8 * order) - 1))], at) if len(at) else np.zeros(0)
+
+
+def found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of each number in sorted keys."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
+class Trie:
+    """The orders from `order` down to 0 over the contexts of one bucket."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, low: list[Nodes], order: int):
+        grams = [(code, n)]
+        for k in range(order - 1, 2, -1):
+            grams.append(np.unique(grams[-1][0] & u64((1 << 8 * (k + 1)) - 1), return_counts=True))
+        self.orders = list(low)
+        for k, (c, m) in zip(range(3, order + 1), grams[::-1]):
+            self.orders.append(Nodes(c, m, self.orders[-1], k))
+
+    def log_p(self, grams: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram's symbol after its context."""
+        out, left = np.zeros(len(grams)), np.arange(len(grams))
+        cut_n, cut_d = np.zeros(len(grams)), np.zeros(len(grams))  # what longer contexts exclude
+        for k in range(len(self.orders) - 1, -1, -1):
+            nodes = self.orders[k]
+            own = grams[left] & u64((1 << 8 * (k + 1)) - 1)
+            at, known = found(nodes.context, own >> u64(8))
+            place, seen = found(nodes.code, own)
+            if len(nodes.code):
+                total = np.where(known, nodes.total[at] - cut_n, 0)
+                escape = np.where(known, nodes.distinct[at] - cut_d, 0)
+                over = 2 * np.maximum(total, 0.5)
+                # A context whose symbols are all excluded escapes surely.
+                out[left] += np.log10(np.where(seen, 2 * nodes.n[place] - 1, np.where(escape > 0, escape, over)) / over)
+            left, known, at = left[~seen], known[~seen], at[~seen]
+            if not len(left):
+                return out
+            if len(nodes.code):
+                cut_n, cut_d = np.where(known, nodes.below[at], 0), np.where(known, nodes.distinct[at], 0)
+            else:
+                cut_n, cut_d = np.zeros(len(left)), np.zeros(len(left))
+        out[left] -= np.log10(max(1, 256 - len(self.orders[0].code)))
         return out
 
 
-def step(counts: np.ndarray, excluded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probability of each seen symbol that isn't excluded, of escaping); a context with nothing left escapes surely."""
-    counts = np.where(excluded, 0, counts)
-    total, distinct = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-    whole = np.maximum(total + distinct, 1)
-    return counts / whole, np.where(total > 0, distinct / whole, 1.0)
-
-
-def distributions(short: ShortNodes, contexts: np.ndarray, three: np.ndarray) -> np.ndarray:
-    """log10 probability of every byte after contexts of three bytes, whose children's counts are `three`."""
-    pairs, at = np.unique(contexts & 0xFFFF, return_inverse=True)
-    two = short.two(pairs)
-    one = short.one[pairs & 0xFF]
-    p1, escape1 = step(one, two > 0)
-    seen = (two > 0) | (one > 0)
-    p0, escape0 = step(np.broadcast_to(short.zero, one.shape), seen)
-    seen0 = seen | (short.zero > 0)
-    flat = 1 / np.maximum((~seen0).sum(axis=1, keepdims=True), 1)
-    tail = np.where(one > 0, p1, escape1 * np.where(short.zero > 0, p0, escape0 * flat))  # after escaping from order two
-    p3, escape3 = step(three, np.zeros_like(three, bool))
-    two = two[at]
-    p2, escape2 = step(two, three > 0)
-    p = np.where(three > 0, p3, escape3 * np.where(two > 0, p2, escape2 * tail[at]))
-    return np.log10(p).astype(np.float32)
-
-
-def spellings(words: DataFrame, known: DataFrame) -> DataFrame:
-    """(word, log_b: log10 of the product of its byte probabilities) of all words, by the trie of the known ones."""
-    grams = stored(grams_of(known))
-    node = F.struct(F.col("code").bitwiseAND(0xFF).cast("int").alias("symbol"), F.col("n"))
-    nodes = grams.groupBy(F.shiftright("code", 8).alias("code")).agg(F.collect_list(node).alias("children"))  # 256 at most
-    pairs = grams.groupBy(F.col("code").bitwiseAND(0xFFFFFF).alias("code")).agg(F.sum("n").alias("n")).orderBy("code").toArrow()
-    short = words.sparkSession.sparkContext.broadcast(ShortNodes(pairs.column("code").to_numpy().astype(np.int64), pairs.column("n").to_numpy().astype(float)))
-    packs = stored(packed_words(words), "kind")
-    slices = packs.where(F.col("kind") == WORDS).select("chunk", "code").join(nodes, "code").select("chunk", "code", F.col("children.symbol").alias("symbols"), F.col("children.n").alias("ns"))
-
-    def spell(blobs: pa.Table, stats: pa.Table) -> pa.Table:
-        stats = stats.sort_by("code").combine_chunks()
-        code, lists = stats.column("code").to_numpy().astype(np.int64), stats.column("symbols").combine_chunks()
-        cuts, symbols, ns = lists.offsets.to_numpy(), lists.flatten().to_numpy(), stats.column("ns").combine_chunks().flatten().to_numpy()
-        words = blobs.column("blob")[0].as_py().split(b" ") if blobs.num_rows else []
-        gram, sizes = codes(spelled(words))
-        found, at = np.unique(gram >> np.uint32(8), return_inverse=True)
-        found = found.astype(np.int64)
-        each = np.empty(len(gram))
-        order = np.argsort(at, kind="stable")
-        ends = np.searchsorted(at[order], np.arange(0, len(found) + 2048, 2048))
-        for a, low, high in zip(range(0, len(found), 2048), ends, ends[1:]):
-            some = found[a : a + 2048]
-            k = np.searchsorted(code, some)
-            has = np.flatnonzero((k < len(code)) & (np.append(code, -1)[np.minimum(k, len(code))] == some))
-            k = k[has]
-            many = (cuts[k + 1] - cuts[k]).astype(np.int64)
-            place = np.repeat(cuts[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            three = np.zeros((len(some), 256))
-            three[np.repeat(has, many), symbols[place]] = ns[place]
-            own = order[low:high]
-            each[own] = distributions(short.value, some, three)[at[own] - a, gram[own] & np.uint32(0xFF)]
-        return pa.table({"word": pa.array(words, pa.binary()), "log_b": pa.array((np.add.reduceat(each, np.cumsum(sizes) - sizes) if words else each).astype(np.float32))})
-
-    blobs = packs.where(F.col("kind") == DOCS).select(F.col("chunk").alias("own"), "blob")
-    return blobs.groupBy("own").cogroup(slices.groupBy("chunk")).applyInArrow(spell, "word binary, log_b float")
-
-
-def corpus_node(c: np.ndarray, log_b: np.ndarray, size: int, distinct: int) -> np.ndarray:
-    """log10 of (c + V * b) / (N + V); of b where nothing was learned."""
-    if not size:
-        return log_b
-    with np.errstate(divide="ignore"):
-        return np.logaddexp(np.log(c), np.log(distinct) + log_b * np.log(10)) / np.log(10) - np.log10(size + distinct)
-
-
-def document_scores(token: np.ndarray, sizes: np.ndarray, log_q: np.ndarray) -> np.ndarray:
-    """log10 probability of each document, whose tokens stand one behind the other."""
-    starts = np.cumsum(sizes) - sizes
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.argsort(doc << 32 | token, kind="stable")
-    same = np.concatenate([[False], (doc[order[1:]] == doc[order[:-1]]) & (token[order[1:]] == token[order[:-1]])])
-    first = np.flatnonzero(~same)
-    n = np.empty(len(token), np.int64)  # how often the token stood in the document before
-    n[order] = np.arange(len(token)) - np.repeat(first, np.diff([*first, len(token)]))
-    i = np.arange(len(token)) - starts[doc]
-    new = np.cumsum(n == 0) - (n == 0)
-    distinct = np.maximum(new - new[starts][doc], 1)  # for the first token any weight gives q
-    total = lambda log_p: np.add.reduceat(log_p, starts)
-    with np.errstate(divide="ignore"):
-        log_n, log_q = np.log(n), log_q * np.log(10)
-        sums = [total(log_q)] + [total(np.logaddexp(log_n, np.log(k) + log_q) - np.log(i + k)) for k in (distinct, *STEADY)]
-    return (np.logaddexp.reduce(sums, axis=0) - np.log(len(sums))) / np.log(10)
-
-
-def scores(docs: DataFrame, held_out: Column, chunk_bytes: int = 12 << 20) -> DataFrame:
+def low_orders(counts: np.ndarray) -> list[Nodes]:
+    """The nodes of order 0, 1 and 2."""
+    two = np.flatnonzero(counts)
+    one, n_one = np.unique(two & 0xFFFF, return_counts=True)
+    zero, n_zero = np.unique(one & 0xFF, return_counts=True)
+    out: list[Nodes] = []
+    for k, (code, n) in enumerate(((zero, n_zero), (one, n_one), (two, counts[two]))):
+        out.append(Nodes(code.astype(np.uint64), n, out[-1] if out else None, k))
+    return out
+
+
+def answers(lists: DataFrame, tables: DataFrame, low: np.ndarray, order: int, salts: int) -> DataFrame:
+    """(chunk, kind, bucket, counts): the answers to a chunk's lists, log10 probabilities of grams or counts of words.
+
+    A bucket's table and its lists come to one task, or to `salts` tasks, each with the table and a part of the lists.
+    """
+    shared = lists.sparkSession.sparkContext.broadcast(low)
+    at = ["kind", "bucket", "salt", "is_list"]
+    asked = lists.select("kind", "bucket", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("is_list"), "chunk", "codes", F.lit(None).cast("binary").alias("counts"))
+    known = tables.select("kind", "bucket", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("is_list"), F.lit(0).cast("long").alias("chunk"), "codes", "counts")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lower, key, trie = low_orders(shared.value), None, None
+        code, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            out = []
+            for kind, bucket, salt, is_list, chunk, codes, counts in zip(*(batch.column(c).to_pylist() for c in (*at, "chunk", "codes", "counts"))):
+                own = codes_in(codes)
+                if key != (kind, bucket, salt):  # the table stands before the lists; without one, nothing was learned here
+                    key = (kind, bucket, salt)
+                    code, n = (own[:0], np.zeros(0, np.int64)) if is_list else (own, unsqueezed(counts, np.int64))
+                    trie = Trie(code, n, lower, order) if kind == GRAMS else None
+                if is_list and kind == GRAMS:
+                    out.append((chunk, kind, bucket, squeezed(trie.log_p(own).astype(np.float32))))
+                elif is_list:
+                    place, there = found(code, own)
+                    out.append((chunk, kind, bucket, squeezed(np.where(there, n[place], 0) if len(n) else np.zeros(len(own), np.int64))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["chunk", "kind", "bucket", "counts"])
+
+    rows = asked.union(known).repartition("kind", "bucket", "salt").sortWithinPartitions(*at)
+    return rows.mapInArrow(answer, "chunk long, kind int, bucket int, counts binary")
+
+
+def scores(docs: DataFrame, held_out: Column, order: int = 5, chunk_bytes: int = 12 << 20, bucket_bytes: int = 12 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row, learning from rows that aren't held out."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    chunks = stored(packed_chunks(rows, chunk_bytes), "kind")
-    listed = chunks.where(F.col("kind") == WORDS).select("chunk", "word", "pos", "n")
-    counts = stored(listed.groupBy("word").agg(F.sum("n").alias("c")))
-    total = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    size, distinct, divisor = int(total.n), int(total.v), float(np.log10(total.n + total.v + 1))
-    known = counts.join(spellings(counts, counts.where("c > 0")).withColumnRenamed("word", "own"), F.col("word") == F.col("own")).select("word", "c", "log_b")
-    slices = listed.select("chunk", "pos", "word").join(known, "word").select("chunk", "pos", "c", "log_b")
-
-    def score(texts: pa.Table, stats: pa.Table) -> pa.Table:
-        order = np.argsort(stats.column("pos").to_numpy())
-        c, log_b = stats.column("c").to_numpy()[order].astype(float), stats.column("log_b").to_numpy()[order].astype(float)
-        number: dict[bytes, int] = {}  # words get the positions that the chunk's list gave them
-        put = number.setdefault
-        base, log_q = np.log10(c + 1) - divisor, corpus_node(c, log_b, size, distinct)
+    if not 3 <= order <= 7:
+        raise ValueError("a gram of 4 to 8 bytes is one number: order is 3 to 7")
+    id_kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.coalesce(held_out, F.lit(False)).alias("held"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = min(12, max(0, int(size // bucket_bytes).bit_length()))
+    salts = 1 + int(size // ((16 * bucket_bytes) << bits))
+    packs = stored(packed_chunks(rows, order, bits, chunk_bytes), "kind")
+    lists = packs.where(F.col("kind") != TEXTS).select("kind", "chunk", "bucket", "codes", "counts")
+    salted = lists.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int"))
+    tables = stored(merged_counts(merged_counts(salted, "kind", "bucket", "salt") if salts > 1 else salted, "kind", "bucket"))
+    total = tables.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n"), F.coalesce(F.sum("seen"), F.lit(0)).alias("v")).first()
+    train_tokens, divisor = int(total.n), float(np.log10(total.n + total.v + 1))
+    answered = answers(lists, tables, low_counts(tables.where(F.col("kind") == GRAMS), order), order, salts)
+
+    def gathered(kind: int, code: np.ndarray, own: dict[tuple[int, int], bytes], like: type) -> np.ndarray:
+        out = np.zeros(len(code), like)
+        for bucket, at in by_bucket(kind, code, bits):
+            out[at] = unsqueezed(own[kind, bucket], like)
+        return out
+
+    def score(texts: pa.Table, found_: pa.Table) -> pa.Table:
+        own = {(k, b): x for k, b, x in zip(*(found_.column(c).to_pylist() for c in ("kind", "bucket", "counts")))}
         out: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
-        for ids, held, blob in zip(texts.column("ids").to_pylist(), texts.column("held").to_pylist(), texts.column("blob").to_pylist()):
+        for ids, held, blob in zip(*(texts.column(c).to_pylist() for c in ("ids", "held", "codes"))):
+            lines = zstandard.ZstdDecompressor().decompress(blob).split(END_BYTE)
+            h, _ = distinct_words(lines, np.zeros(len(lines), bool))
+            c = gathered(WORDS, h, own, np.int64)
+            count = dict(zip(h.tolist(), c.tolist()))
+            known: dict[bytes, int] = {}
+            for line in lines:
+                tokens = [*line.split(), END]
+                for w in tokens:
+                    if w not in known:
+                        known[w] = count[xxhash.xxh64_intdigest(w)]
+                n = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+                out["n_tokens"].append(len(n))
+                out["n_known"].append(int((n > 0).sum()))
+                out["base_score"].append(float((np.log10(n + 1) - divisor).sum()))
+            gram, _ = distinct_grams(Stream(lines, order), None)
+            p, total = 10.0 ** gathered(GRAMS, gram, own, np.float32).astype(np.float64), np.zeros(len(lines))
+            for code, doc in Stream(lines, max(order, *(k for k, _ in OWN_NODES))).grams():
+                first = p[np.searchsorted(gram, code & u64((1 << 8 * (order + 1)) - 1))]
+                total += np.bincount(doc, np.log10(adapted(code, doc, first)), len(lines))
             out["doc_id"] += ids
             out["held_out"] += held
-            lines = zstandard.ZstdDecompressor().decompress(blob).split(b"\n")
-            parts = np.cumsum([len(x) + 1 for x in lines]) // (1 << 20)
-            for part in np.split(np.arange(len(lines)), np.flatnonzero(np.diff(parts)) + 1):
-                tokens, sizes = [], []
-                for i in part.tolist():
-                    own = lines[i].split()
-                    tokens += own
-                    tokens.append(END)
-                    sizes.append(len(own) + 1)
-                token = np.fromiter((put(t, len(number)) for t in tokens), np.int64, len(tokens))
-                starts = np.cumsum(sizes) - sizes
-                out["n_tokens"] += sizes
-                out["n_known"] += np.add.reduceat((c[token] > 0).astype(np.int64), starts).tolist()
-                out["base_score"] += np.add.reduceat(base[token], starts).tolist()
-                out["score"] += document_scores(token, np.array(sizes), log_q[token]).tolist()
-        kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-        columns = {k: pa.array(v, kinds[k]) for k, v in out.items()} | {"train_tokens": pa.array([size] * len(out["doc_id"]), pa.int64())}
+            out["score"] += total.tolist()
+        kinds = {"doc_id": pa.string(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+        columns = {k: pa.array(v, kinds[k]) for k, v in out.items()} | {"train_tokens": pa.array([train_tokens] * len(out["doc_id"]), pa.int64())}
         return pa.table({k: columns[k] for k in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
 
-    texts = chunks.where(F.col("kind") == DOCS).select(F.col("chunk").alias("own"), "ids", "held", "blob")
-    return texts.groupBy("own").cogroup(slices.groupBy("chunk")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    texts = packs.where(F.col("kind") == TEXTS).select(F.col("chunk").alias("own"), "ids", "held", "codes")
+    done = texts.groupBy("own").cogroup(answered.groupBy("chunk")).applyInArrow(score, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return done.withColumn("doc_id", F.col("doc_id").cast(id_kind))
 
 
-class Trie:
+class PlainTrie:
     """The same model in plain form, for adaptive coding of single texts: every byte is coded, then learned."""
 
-    def __init__(self, order: int = 3):
+    def __init__(self, order: int = 5):
         self.order, self.nodes = order, {}
 
+    def learn_at(self, text: bytes, i: int) -> None:
+        """Count the byte in its longest context, and in each shorter one until one knew it."""
+        for k in range(self.order, -1, -1):
+            own = self.nodes.setdefault(text[i - k : i], {})
+            own[text[i]] = own.get(text[i], 0) + 1
+            if own[text[i]] > 1:
+                return
+
     def learn(self, text: bytes) -> None:
-        text = PAD + text
-        for i in range(3, len(text)):
-            for k in range(self.order + 1):
-                own = self.nodes.setdefault(text[i - k : i], {})
-                own[text[i]] = own.get(text[i], 0) + 1
+        text = END_BYTE * self.order + text
+        for i in range(self.order, len(text)):
+            self.learn_at(text, i)
 
     def code_lengths(self, text: bytes, adapt: bool = True) -> Iterator[float]:
         """log10 probability of each byte of a text."""
-        text = PAD + text
-        for i in range(3, len(text)):
+        text = END_BYTE * self.order + text
+        for i in range(self.order, len(text)):
             excluded: set[int] = set()
             p, symbol = 1.0, text[i]
             for k in range(self.order, -1, -1):
                 node = {s: n for s, n in self.nodes.get(text[i - k : i], {}).items() if s not in excluded}
                 if not node:
                     continue
-                whole = sum(node.values()) + len(node)
+                whole = 2 * sum(node.values())
                 if symbol in node:
-                    p *= node[symbol] / whole
+                    p *= (2 * node[symbol] - 1) / whole
                     break
                 p *= len(node) / whole
                 excluded |= set(node)
             else:
-                p /= 256 - len(excluded)
+                p /= max(1, 256 - len(excluded))
             if adapt:
-                for k in range(self.order + 1):
-                    own = self.nodes.setdefault(text[i - k : i], {})
-                    own[symbol] = own.get(symbol, 0) + 1
+                self.learn_at(text, i)
             yield float(np.log10(p))
 
 
-def adaptive_scores(docs: DataFrame, order: int = 3) -> DataFrame:
+def adaptive_scores(docs: DataFrame, order: int = 5) -> DataFrame:
     """(doc_id, score: log10 probability of each text coded alone, the model learning as it goes)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text", 1 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sum(Trie(order).code_lengths(b"".join(spelled(words_of(t))))) for t in as_bytes(batch.column("text"))], pa.float64())], names=["doc_id", "score"])
+            coded = (b" ".join(t.lower().split()) + END_BYTE for t in as_bytes(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sum(PlainTrie(order).code_lengths(t)) for t in coded], pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, score double")

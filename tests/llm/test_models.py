@@ -130,56 +130,91 @@ def test_toxicity_learns_words_and_not_groups(spark):
     assert sum(held[i] == y for i, y in enumerate(toxic) if i % 4 == 1) >= 98
 
 
-def ppm_by_force(texts, held):
-    words = [[w.encode() for w in spaces("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))] + [ppm.END] for t in texts]
-    c = collections.Counter(w for ws, out in zip(words, held) if not out for w in ws)
-    n, v, trie = sum(c.values()), len(c), ppm.Trie()
-    for w in c:
-        trie.learn(w + b" ")
-    out = []
-    for ws in words:
-        own, base, score = collections.Counter(), 0.0, [0.0] * 4
-        for i, w in enumerate(ws):
-            b = 10 ** sum(trie.code_lengths(w + b" ", adapt=False))
-            q = (c[w] + v * b) / (n + v) if n else b
-            for k, weight in enumerate((1e300, len(own) or 1, *ppm.STEADY)):
-                score[k] += math.log10(q if k == 0 else (own[w] + weight * q) / (i + weight))
-            base += math.log10((c[w] + 1) / (n + v + 1))
-            own[w] += 1
-        best = max(score)
-        out.append((len(ws), sum(c[w] > 0 for w in ws), n, base, best + math.log10(sum(10 ** (s - best) for s in score) / 4)))
-    return out
-
-
-@pytest.mark.parametrize("chunk_bytes, part", [(12 << 20, 0.3), (300, 0.3), (12 << 20, 1.1)])
-def test_ppm(spark, chunk_bytes, part):
-    texts = [t for t in awkward(n=25) if len(t or "") < 2000]
+def ppm_by_force(texts, held, order=5):
+    words = [[w.encode() for w in spaces("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))] for t in texts]
+    coded = [b" ".join(ws) + b"\n" for ws in words]
+    c = collections.Counter(w for ws, out in zip(words, held) if not out for w in [*ws, b""])
+    n, v, trie = sum(c.values()), len(c), ppm.PlainTrie(order)
+    for t, out in zip(coded, held):
+        if not out:
+            trie.learn(t)
+    rows = []
+    for ws, t in zip(words, coded):
+        score, met = 0.0, [collections.Counter() for _ in ppm.OWN_NODES]
+        padded = b"\n" * 7 + t
+        for i, log_p in enumerate(trie.code_lengths(t, adapt=False)):
+            p = 10**log_p
+            if i % ppm.AT_ONCE == 0:
+                met = [collections.Counter() for _ in ppm.OWN_NODES]
+            for own, (k, weight) in zip(met, ppm.OWN_NODES):
+                context, gram = padded[i + 7 - k : i + 7], padded[i + 7 - k : i + 8]
+                p = (own[gram] + weight * p) / (own[b"?" + context] + weight)
+                own[gram] += 1
+                own[b"?" + context] += 1
+            score += math.log10(p)
+        tokens = [*ws, b""]
+        rows.append((len(tokens), sum(c[w] > 0 for w in tokens), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens), score))
+    return rows
+
+
+@pytest.mark.parametrize("chunk_bytes, bucket_bytes, part, order", [(12 << 20, 12 << 20, 0.3, 5), (300, 100, 0.3, 5), (300, 40, 0.3, 3), (12 << 20, 12 << 20, 1.1, 5), (5000, 1, 0.2, 7)])
+def test_ppm(spark, chunk_bytes, bucket_bytes, part, order):
+    texts = awkward(n=25) + ["ab" * 500, "\u00e9 " * 300, "qz\u65e5"]
     rng = random.Random(4)
     held = [rng.random() < part for _ in texts]
     docs = clashing(table(spark, texts))
-    rows = ppm.scores(docs, F.col("doc_id").isin([i for i, h in enumerate(held) if h]), chunk_bytes).orderBy("doc_id").collect()
-    want = ppm_by_force(texts, held)
+    rows = ppm.scores(docs, F.col("doc_id").isin([i for i, h in enumerate(held) if h]), order, chunk_bytes, bucket_bytes).orderBy("doc_id").collect()
+    want = ppm_by_force(texts, held, order)
     assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in rows] == [(h, *w[:3]) for h, w in zip(held, want)]
-    assert np.allclose([(r.base_score, r.score) for r in rows], [w[3:] for w in want], rtol=1e-5, atol=1e-5)
+    assert np.allclose([(r.base_score, r.score) for r in rows], [w[3:] for w in want], rtol=1e-5, atol=1e-4)
+
+
+def test_ppm_of_a_very_long_text_and_awkward_ids(spark):
+    rng = random.Random(9)
+    long = " ".join(rng.choice(["ab", "cd", "ef", "ghi"]) for _ in range(110_000))  # more than one slice
+    assert len(long) > ppm.AT_ONCE
+    texts, held = [long, "ab cd", None, "ab cd"], [False, True, False, False]
+    docs = table(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") < 3, F.concat(F.lit("doc-"), F.col("doc_id"))))
+    rows = {r.doc_id: r for r in ppm.scores(docs, F.when(F.col("doc_id") == "doc-1", F.lit(True))).collect()}
+    want = ppm_by_force(texts, held)
+    assert set(rows) == {"doc-0", "doc-1", "doc-2", None} and [rows[f"doc-{i}"].held_out for i in range(3)] == held[:3]
+    for key, w in zip(("doc-0", "doc-1", "doc-2", None), want):
+        assert rows[key].n_tokens == w[0] and rows[key].n_known == w[1]
+        assert np.isclose(rows[key].base_score, w[3], rtol=1e-5) and np.isclose(rows[key].score, w[4], rtol=1e-5)
+    empty = ppm.scores(table(spark, []), F.col("doc_id") == 1)
+    assert empty.collect() == [] and empty.columns[:2] == ["doc_id", "held_out"]
+
+
+def test_order_of_words_matters_to_ppm(spark):
+    rng = random.Random(3)
+    pairs = [("red", "fox"), ("blue", "jay"), ("grey", "cat"), ("old", "owl")]
+    texts = [" ".join(w for _ in range(40) for w in rng.choice(pairs)) for _ in range(30)]
+    mixed_up = " ".join(sorted(texts[0].split()))
+    rows = {r.doc_id: r for r in ppm.scores(table(spark, [*texts, texts[0], mixed_up]), F.col("doc_id") >= 30).collect()}
+    assert abs(rows[30].base_score - rows[31].base_score) < 1e-9 and rows[30].score > rows[30].base_score
 
 
 def test_byte_probabilities_sum_to_one():
-    trie = ppm.Trie()
-    for w in (b"abra ", b"abc ", b"x "):
-        trie.learn(w)
-    codes = collections.Counter()
-    for w in (b"abra ", b"abc ", b"x "):
-        t = ppm.PAD + w
-        for i in range(3, len(t)):
-            codes[(t[i - 2] << 16) | (t[i - 1] << 8) | t[i]] += 1
-    keys = np.array(sorted(codes))
-    short = ppm.ShortNodes(keys, np.array([codes[k] for k in keys], float))
-    three = np.zeros((3, 256))
-    for k, context in enumerate((b"abr", b"zab", b"\n\n\n")):
-        for s, n in trie.nodes.get(context, {}).items():
-            three[k, s] = n
-    contexts = np.array([int.from_bytes(c, "big") for c in (b"abr", b"zab", b"\n\n\n")])
-    assert np.allclose((10.0 ** ppm.distributions(short, contexts, three)).sum(axis=1), 1, atol=1e-4)
+    lines = [b"abra abc", b"x abrac", b""]
+    gram, n = ppm.distinct_grams(ppm.Stream(lines, 5), np.zeros(3, bool))
+    low = np.zeros(1 << 24, np.uint16)
+    four = ppm.distinct(gram & np.uint64(0xFFFFFFFF))
+    np.add.at(low, (four & np.uint64(0xFFFFFF)).astype(np.int64), 1)
+    trie = ppm.Trie(gram, n, ppm.low_orders(low), 5)
+    for context in (b"\n\n\n\n\n", b"abra ", b"zzbra", b"zzzzz", b"zzzab"):
+        every = (np.uint64(int.from_bytes(context, "big")) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+        assert np.isclose((10.0 ** trie.log_p(every)).sum(), 1)
+
+
+def test_places_seen_before():
+    rng = np.random.default_rng(5)
+    code = rng.integers(0, 50, 3000).astype(np.uint64)
+    seen = collections.Counter()
+    want = []
+    for c in code.tolist():
+        want.append(seen[c])
+        seen[c] += 1
+    assert ppm.seen_before(code).tolist() == want
 
 
 def test_adaptive_scores(spark):
