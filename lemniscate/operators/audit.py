@@ -134,3 +134,71 @@ def match_waterfall(queries: DataFrame, texts: DataFrame, tokens, least: float =
     voted = top_k(hits.where(F.col("score") > votes), 1).select("qid", F.col("doc_id").alias("text"), (F.col("score") * 0.7).alias("score"), F.lit("tokens").alias("strategy"))
     none = rest.join(voted.select("qid"), "qid", "left_anti").select("qid", F.lit(None).cast("string").alias("text"), F.lit(0.0).alias("score"), F.lit("none").alias("strategy"))
     return exact.union(fuzzy).union(voted).union(none)
+
+
+def ids_are_numbers(rows: DataFrame, column: str) -> DataFrame:
+    """One row: do all ids consist of digits?"""
+    return rows.agg(F.coalesce(F.bool_and(F.col(column).cast("string").rlike(r"^[0-9]+$")), F.lit(True)).alias("all_numeric"))
+
+
+def alignment(queries: DataFrame, qrels: DataFrame, corpus: DataFrame) -> DataFrame:
+    """One row: share of the queries that are judged, of the judged documents that the corpus has, of the corpus with a
+    skeleton, whether all corpus ids are numbers.  queries: qid; corpus: doc_id, skel."""
+    judged = qrels.select("qid").distinct().withColumn("_j", F.lit(1))
+    there = corpus.select("doc_id").distinct().withColumn("_t", F.lit(1))
+    a = queries.select("qid").distinct().join(judged, "qid", "left").agg(F.avg(F.coalesce("_j", F.lit(0))).alias("query_overlap"))
+    b = qrels.select("doc_id").distinct().join(there, "doc_id", "left").agg(F.avg(F.coalesce("_t", F.lit(0))).alias("corpus_coverage"))
+    c = corpus.agg(F.avg((F.coalesce("skel", F.lit("")) != "").cast("int")).alias("skel_coverage"))
+    return a.join(F.broadcast(b)).join(F.broadcast(c)).join(F.broadcast(ids_are_numbers(corpus, "doc_id")))
+
+
+def quality_counts(rows: DataFrame) -> DataFrame:
+    """One row: n, with_latex, with_mathml, both, multi (queries of several formulas), real and pseudo sources.
+
+    rows: (qid, latex, mathml, mathml_source), one for each formula of a query.
+    """
+    full = lambda c: F.coalesce(c, F.lit("")) != ""
+    per = rows.groupBy("qid").agg(F.max(full("latex")).alias("l"), F.max(full("mathml")).alias("m"), F.count("*").alias("k"), F.max(F.col("mathml_source") != "pseudo_mathml").alias("r"))
+    return per.agg(F.count("*").alias("n"), F.count_if("l").alias("with_latex"), F.count_if("m").alias("with_mathml"), F.count_if(F.col("l") & F.col("m")).alias("both"), F.count_if(F.col("k") > 1).alias("multi"), F.count_if("r").alias("real"), F.count_if(~F.col("r")).alias("pseudo"))
+
+
+def noise_summary(run: DataFrame, qrels: DataFrame, near: float = 0.94) -> DataFrame:
+    """One row over noise_density: mean of its columns, mean first-truth rank and score, and the query whose first truth comes last."""
+    truth = run.join(qrels.where("rel > 0").select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
+    first = truth.groupBy("qid").agg(F.min(F.struct("rank", "score")).alias("t")).select(F.col("qid").alias("_q"), "t.rank", "t.score")
+    both = noise_density(run, qrels, near).join(first, F.col("qid") == F.col("_q"), "left")
+    worst = F.max_by(F.struct(F.col("qid"), F.col("rank")), F.struct(F.col("rank"), -F.col("qid")))
+    return both.agg(F.avg("top1").alias("top1"), F.avg("top10").alias("top10"), F.avg("top100").alias("top100"), F.avg("near_share").alias("near_share"), F.avg("rank").alias("truth_rank"), F.avg("score").alias("truth_score"), worst.alias("w")).select("top1", "top10", "top100", "near_share", "truth_rank", "truth_score", F.col("w.qid").alias("worst_qid"), F.col("w.rank").alias("worst_rank"))
+
+
+def zero_recall(run: DataFrame, qrels: DataFrame, corpus: DataFrame, show: int = 3) -> DataFrame:
+    """(qid, n_truth, doc_id, text): queries none of whose truths the run has, with their first truths that the corpus holds."""
+    hit = run.join(qrels.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi").select("qid").distinct()
+    lost = qrels.join(hit, "qid", "left_anti")
+    n = lost.groupBy("qid").agg(F.count("*").alias("n_truth"))
+    held = lost.select("qid", "doc_id").join(corpus.select("doc_id", "text"), "doc_id").withColumn("_at", F.row_number().over(W.partitionBy("qid").orderBy("doc_id"))).where(F.col("_at") <= show)
+    return n.join(held.drop("_at"), "qid", "left").select("qid", "n_truth", "doc_id", "text")
+
+
+def missed_truths(run: DataFrame, qrels: DataFrame, similarity_of: DataFrame) -> DataFrame:
+    """(qid, doc_id, score): truths that the run doesn't have, with their similarity (qid, doc_id, score) to the query."""
+    return qrels.select("qid", "doc_id").join(run.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti").join(similarity_of, ["qid", "doc_id"], "left").select("qid", "doc_id", "score")
+
+
+def two_stage_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row from two (qid, mrr) tables: initial, reranked, absolute gain, relative gain in percent (0 if initial is 0)."""
+    both = before.select("qid", F.col("mrr").alias("a")).join(after.select("qid", F.col("mrr").alias("b")), "qid").agg(F.avg("a").alias("initial"), F.avg("b").alias("reranked"))
+    gain = F.col("reranked") - F.col("initial")
+    return both.select("initial", "reranked", gain.alias("gain"), F.when(F.col("initial") > 0, 100 * gain / F.col("initial")).otherwise(0.0).alias("gain_pct"))
+
+
+def rehash_check(index_rows: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row: documents (doc_id, hash) of the corpus, those in the index, and those whose hash there is the same."""
+    there = index_rows.select("doc_id", F.col("hash").alias("held"))
+    return rows.join(there, "doc_id", "left").agg(F.count("*").alias("n"), F.count("held").alias("indexed"), F.count_if(F.coalesce(F.col("held") == F.col("hash"), F.lit(False))).alias("same_hash"))
+
+
+def shape(rows: DataFrame, name: str) -> DataFrame:
+    """One row: name, rows, queries, documents, and the least and most rows of a query."""
+    per = rows.groupBy("qid").agg(F.count("*").alias("k"))
+    return rows.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.count_distinct("qid").alias("queries"), F.count_distinct("doc_id").alias("documents")).join(F.broadcast(per.agg(F.min("k").alias("least"), F.max("k").alias("most"))))

@@ -138,3 +138,57 @@ def t_p_value(t: float, df: int) -> float:
         return out
 
     return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
+
+
+def fixed_truth_mrr(run: DataFrame, truth: DataFrame) -> DataFrame:
+    """(qid, mrr) where only one given document counts: truth (qid, doc_id), one row a query; 0 where the run lacks it."""
+    found = run.join(truth, ["qid", "doc_id"], "left_semi").groupBy("qid").agg(F.min("rank").alias("rank"))
+    return truth.select("qid").join(found, "qid", "left").select("qid", F.coalesce(1.0 / F.col("rank"), F.lit(0.0)).alias("mrr"))
+
+
+def trec_family(run: DataFrame, qrels: DataFrame, digits: int = 4) -> DataFrame:
+    """recip_rank, ndcg_cut_10, map and P_1 as the TREC tool gives them: ranks anew by score, ties by the greater id as
+    text, linear gain, queries in both tables, rounded."""
+    order = W.partitionBy("qid").orderBy(F.round("score", 9).desc(), F.col("doc_id").cast("string").desc())
+    rows = judged(run.select("qid", "doc_id", F.row_number().over(order).alias("rank")), qrels)
+    own = rows.groupBy("qid").agg(reciprocal_rank(F.col("rel") > 0).alias("recip_rank"), F.sum(F.when(F.col("rank") <= 10, dcg(linear_gain(F.col("rel")), F.col("rank"))).otherwise(0.0)).alias("dcg"), summed_precision().alias("ps"), precision_at(1).alias("P_1"))
+    both = own.join(totals(qrels, 10), "qid")
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return both.select("qid", *[F.round(c, digits).alias(n) for n, c in (("recip_rank", F.col("recip_rank")), ("ndcg_cut_10", share("dcg", "idcg")), ("map", share("ps", "n_rel")), ("P_1", F.col("P_1")))])
+
+
+def mean_std(rows: DataFrame, column: str, *by: str) -> DataFrame:
+    """(by, n, mean, std: of the population)."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"))
+
+
+def grid_report(runs: DataFrame, qrels: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(setting, n, mrr, mean_diff, t, is_best) of fused runs (setting, qid, doc_id, score) against a baseline run.
+
+    mrr: of the first judged document in the first ten; is_best: the greatest mrr, the least setting on ties.
+    """
+    order = W.partitionBy("setting", "qid").orderBy(F.round("score", 9).desc(), "doc_id")
+    ranked = runs.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
+    hit = ranked.join(qrels.select("qid", "doc_id", F.lit(True).alias("hit")), ["qid", "doc_id"], "left").groupBy("setting", "qid").agg(reciprocal_rank(F.col("hit")).alias("m"))
+    base = any_judged_mrr(baseline, qrels).select("qid", F.col("mrr").alias("base"))
+    d = hit.join(base, "qid").withColumn("d", F.col("m") - F.col("base"))
+    out = d.groupBy("setting").agg(F.count("*").alias("n"), F.avg("m").alias("mrr"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd"))
+    best = F.row_number().over(W.orderBy(F.round("mrr", 9).desc(), "setting")) == 1  # a row for each setting, a short list
+    return out.select("setting", "n", "mrr", "mean_diff", F.when(F.col("sd") > 0, F.col("mean_diff") / (F.col("sd") / F.sqrt("n"))).alias("t"), best.alias("is_best"))
+
+
+def with_p_values(report: DataFrame) -> DataFrame:
+    """A report of a few rows with n and t, and the two-sided p of Student's t."""
+    rows = [(*r, None if r.t is None else t_p_value(float(r.t), int(r.n) - 1)) for r in report.collect()]
+    return report.sparkSession.createDataFrame(rows, report.schema.add("p", "double"))
+
+
+def by_complexity(run: DataFrame, qrels: DataFrame, queries: DataFrame, edges: tuple[int, ...] = (20, 50, 999), size: str = "n_tokens") -> DataFrame:
+    """(bin, n, mrr, p1) of queries (qid, size) in bins below the first edge, up to the next, and so on; larger ones are left out."""
+    own = linear_family(run, qrels).join(queries.select("qid", size), "qid")
+    label, low = None, 0
+    for high in edges:
+        inside = (F.col(size) >= low) & (F.col(size) < high)
+        label = F.when(inside, f"{low}-{high}") if label is None else label.when(inside, f"{low}-{high}")
+        low = high
+    return own.withColumn("bin", label).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"), F.avg("mrr").alias("mrr"), F.avg("p1").alias("p1"))

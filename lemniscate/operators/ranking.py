@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .search import top_k
+from .search import top_k, unit
 
 
 def rrf(runs: list[tuple[DataFrame, float]], k: int = 60, limit: int | None = 100, depth: int | None = None) -> DataFrame:
@@ -44,9 +45,9 @@ def priority_concat(runs: list[DataFrame], k: int) -> DataFrame:
 
 
 def waterfall(runs: list[DataFrame], everything: DataFrame, queries: DataFrame, k: int, seed: int = 7) -> DataFrame:
-    """priority_concat of runs; queries that none of them answers get k documents by hash of the id, the same for each."""
+    """priority_concat of runs; queries that none of them answers get k documents by MD5 of seed and id, the same for each."""
     found = priority_concat(runs, k)
-    sample = everything.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(k)
+    sample = everything.select("doc_id").orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))), "doc_id").limit(k)
     sample = sample.agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
     rest = queries.select("qid").join(found.select("qid").distinct(), "qid", "left_anti").join(F.broadcast(sample)).select("qid", F.posexplode("ids").alias("pos", "doc_id"))
     return found.union(rest.select("qid", "doc_id", F.lit(len(runs)).alias("source"), (F.col("pos") + 1).alias("rank")))
@@ -94,3 +95,67 @@ def training_pairs(run: DataFrame, qrels: DataFrame, corpus: DataFrame, per_quer
     """(qid, doc_id, label): every judged document in the corpus is 1, hard negatives are 0."""
     good = qrels.join(corpus.select("doc_id"), "doc_id", "left_semi").select("qid", "doc_id", F.lit(1).alias("label"))
     return good.union(hard_negatives(run, qrels, corpus, per_query, depth).select("qid", "doc_id", F.lit(0).alias("label")))
+
+
+def rrf_of_first(first: DataFrame, second: DataFrame, k: int = 60, limit: int | None = None) -> DataFrame:
+    """Reciprocal rank fusion for the first run's queries; one that the second run lacks is an error."""
+    own = first.select("qid").distinct()
+    if lost := own.join(second.select("qid").distinct(), "qid", "left_anti").limit(1).collect():
+        raise ValueError(f"the second run has no query {lost[0].qid}")
+    return rrf([(first, 1.0), (second.join(own, "qid", "left_semi"), 1.0)], k, limit)
+
+
+def rrf_of_second(first: DataFrame, second: DataFrame, w: float = 1.0, k: int = 60, limit: int = 10) -> DataFrame:
+    """Reciprocal rank fusion for the second run's queries, the second run weighted w."""
+    return rrf([(first.join(second.select("qid").distinct(), "qid", "left_semi"), 1.0), (second, w)], k, limit)
+
+
+def non_blank(rows: DataFrame, column: str) -> DataFrame:
+    """Candidates that have a text at all."""
+    return rows.where(F.trim(F.coalesce(column, F.lit(""))) != "")
+
+
+def reach_threshold(rows: DataFrame, threshold: float, on: bool = True, prob: str = "prob") -> DataFrame:
+    """Candidates of that probability and more; all of them where the filter is off."""
+    return rows.where(F.col(prob) >= threshold) if on else rows
+
+
+def four_stages(recall: DataFrame, coarse: DataFrame, probs: DataFrame, prior: DataFrame, settings) -> DataFrame:
+    """Recall, coarse rank, filter, graph prior: (qid, doc_id, score, rank).
+
+    recall, coarse: runs; probs: (qid, doc_id, prob), a missing one is 0; prior: (doc_id, pr).  A query of which the filter
+    leaves nothing keeps its coarse result.  Stages that the settings switch off pass their input on.
+    """
+    run = recall.where(F.col("rank") <= settings.recall).select("qid", "doc_id", "score")
+    if settings.coarse:
+        run = run.select("qid", "doc_id").join(coarse.select("qid", "doc_id", "score"), ["qid", "doc_id"])
+    run = top_k(run, settings.keep)
+    if settings.filter:
+        rows = run.join(probs, ["qid", "doc_id"], "left").withColumn("prob", F.coalesce("prob", F.lit(0.0)))
+        run = filter_or_all(rows, F.col("prob") >= settings.threshold).select("qid", "doc_id", "score", "rank")
+    if settings.graph:
+        return prior_rerank(run, prior, settings.alpha, settings.final)
+    return top_k(run.select("qid", "doc_id", "score"), settings.final)
+
+
+def with_labels(pairs: DataFrame, qrels: DataFrame) -> DataFrame:
+    """(qid, doc_id) pairs with the judged relevance, 0 where there is none."""
+    own = qrels.select("qid", "doc_id", F.col("rel").alias("label"))
+    return pairs.join(own, ["qid", "doc_id"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+
+
+def hashed_encoder(digits: int = 1) -> Callable[[Column], Column]:
+    """A text's encoder without a model: counts of its words by the first digits of their MD5, scaled to length 1."""
+    size = 16**digits
+
+    def encode(text: Column) -> Column:
+        words = F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0), lambda w: F.conv(F.substring(F.md5(w), 1, digits), 16, 10).cast("int"))
+        counts = F.aggregate(words, F.array_repeat(F.lit(0.0), size), lambda s, i: F.transform(s, lambda x, k: F.when(k == i, x + 1).otherwise(x)))
+        return unit(counts)
+
+    return encode
+
+
+def with_embeddings(rows: DataFrame, text: str, encoder=None, name: str = "embedding") -> DataFrame:
+    """rows with the encoder's vector of a text column; any Column -> Column function will do, such as a model's pandas UDF."""
+    return rows.withColumn(name, (encoder or hashed_encoder())(F.col(text)))

@@ -86,3 +86,8 @@ def with_topic_alias(rows: DataFrame, names: DataFrame, key: str, prefix: str =
     plain = rows.join(own, F.col(key) == F.col("_qid"), "left")
     missing = plain.where(F.col("_qid").isNull()).select(*rows.columns)
     return plain.where(F.col("_qid").isNotNull()).union(missing.join(own, F.concat(F.lit(prefix), F.col(key)) == F.col("_qid"), "left")).withColumnRenamed("_qid", "matched_qid")
+
+
+def rows_of_ids(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of a JSON-lines or other table whose id is asked for: a semi join, so that nothing is read into the driver."""
+    return rows.join(ids.select(key).distinct(), key, "left_semi")

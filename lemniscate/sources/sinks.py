@@ -41,3 +41,8 @@ def append_missing(table: DataFrame, path: str, key: str) -> int:
     if n:
         new.write.mode("append").parquet(path)
     return n
+
+
+def write_features(rows: DataFrame, path: str) -> None:
+    """Training groups as Parquet: qid, features array<double>, label."""
+    rows.select("qid", F.col("features").cast("array<double>").alias("features"), F.col("label").cast("int").alias("label")).write.mode("overwrite").parquet(path)
