@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from lemniscate.operators import audit, index, metrics, ranking, search
 
@@ -162,3 +163,61 @@ def test_ivf_of_q37_recall_and_full_lists(spark, monkeypatch):
     assert len(exact & near) / len(exact) >= 0.9
     few = search.ivf_top_k(q, v, 100, cells=16, probes=1)  # a cell holds about 38 vectors
     assert few.count() == 20 * 100
+
+
+def test_settings_and_their_files(tmp_path):
+    from lemniscate.sources.records import Settings, read_settings
+
+    (tmp_path / "a.json").write_text('{"graph": false, "alpha": 0.3}')
+    (tmp_path / "b.yaml").write_text("# flags\nfilter: false  # off\nthreshold: 0.7\n\n")
+    assert read_settings(str(tmp_path / "a.json")) == Settings(graph=False, alpha=0.3)
+    assert read_settings(str(tmp_path / "b.yaml")) == Settings(filter=False, threshold=0.7)
+    (tmp_path / "c.json").write_text('{"grahp": false}')
+    with pytest.raises(ValueError, match="grahp"):
+        read_settings(str(tmp_path / "c.json"))
+
+
+def test_four_stages_fall_back_to_the_coarse_result(spark):
+    from lemniscate.sources.records import Settings
+
+    run = lambda rows: spark.createDataFrame(rows, "qid int, doc_id int, score double, rank int")
+    recall = run([(1, 1, 3.0, 1), (1, 2, 2.0, 2), (1, 3, 1.0, 3), (2, 1, 2.0, 1), (2, 2, 1.0, 2)])
+    coarse = run([(1, 1, 0.1, 2), (1, 2, 0.9, 1), (2, 1, 0.2, 2), (2, 2, 0.5, 1)])
+    probs = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.1), (2, 1, 0.2)], "qid int, doc_id int, prob double")
+    prior = spark.createDataFrame([(1, 1.0), (2, 0.0)], "doc_id int, pr double")
+    got = lambda **on: [(r.qid, r.doc_id) for r in ranking.four_stages(recall, coarse, probs, prior, Settings(**on)).orderBy("qid", "rank").collect()]
+    assert got() == [(1, 1), (2, 2), (2, 1)]  # nothing of query 2 passes
+    assert got(graph=True, alpha=5.0, filter=False) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+    assert got(coarse=False, filter=False, graph=False) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2)]
+    assert got(filter=False, graph=False, final=1) == [(1, 2), (2, 2)]
+
+
+def test_fusion_of_given_queries(spark):
+    run = lambda rows: spark.createDataFrame(rows, "qid int, doc_id int, score double, rank int")
+    a, b = run([(1, 1, 1.0, 1), (2, 1, 1.0, 1)]), run([(1, 2, 1.0, 1), (3, 1, 1.0, 1)])
+    assert {r.qid for r in ranking.rrf_of_second(a, b).collect()} == {1, 3}
+    with pytest.raises(ValueError, match="2"):
+        ranking.rrf_of_first(a, b)
+    assert {r.qid for r in ranking.rrf_of_first(a.where("qid = 1"), b).collect()} == {1}
+
+
+def test_p_values_of_a_grid(spark):
+    report = spark.createDataFrame([(0.1, 11, 2.228), (0.2, 31, 0.0), (0.3, 5, None)], "setting double, n long, t double")
+    p = {r.setting: r.p for r in metrics.with_p_values(report).collect()}
+    assert abs(p[0.1] - 0.05) < 1e-3 and abs(p[0.2] - 1) < 1e-9 and p[0.3] is None
+
+
+def test_thresholds_blanks_and_ids(spark):
+    rows = spark.createDataFrame([(1, 0.4, " "), (2, 0.6, "x"), (3, 0.5, None)], "doc_id int, prob double, text string")
+    assert [r.doc_id for r in ranking.reach_threshold(rows, 0.5).collect()] == [2, 3] and ranking.reach_threshold(rows, 0.5, on=False).count() == 3
+    assert [r.doc_id for r in ranking.non_blank(rows, "text").collect()] == [2]
+    assert audit.ids_are_numbers(rows, "doc_id").first()[0] and not audit.ids_are_numbers(rows, "text").first()[0] and audit.ids_are_numbers(rows.limit(0), "text").first()[0]
+    assert audit.ready(spark.createDataFrame([(0.9,)], "upper_bound double")) and not audit.ready(spark.createDataFrame([(None,)], "upper_bound double"))
+    assert audit.index_bytes(2**28, 2) == 2
+
+
+def test_an_encoder_of_ones_own(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id int, text string")
+    own = ranking.with_embeddings(rows, "text", lambda c: F.array(F.coalesce(F.length(c), F.lit(0)).cast("double")))
+    assert [r.embedding for r in own.orderBy("doc_id").collect()] == [[3.0], [0.0]]
+    assert [round(sum(x * x for x in r.embedding), 9) for r in ranking.with_embeddings(rows, "text").orderBy("doc_id").collect()] == [1.0, 0.0]

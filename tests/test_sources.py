@@ -56,3 +56,16 @@ def test_stream(spark, tmp_path):
         q.awaitTermination(60)
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.formula_id, r.latex_norm) for r in rows] == [("1", "x")]
+
+
+def test_two_columns_ids_and_features(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text('1\tx "y\n2\n3\tz\n')
+    rows = readers.two_columns(spark, str(tmp_path / "t.tsv"))
+    assert sorted(tuple(r) for r in rows.collect()) == [("1", 'x "y'), ("3", "z")]
+    (tmp_path / "f.json").write_text('{"id": "1", "latex": "a"}\n{"id": "2", "latex": "b"}\n')
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("latex", T.StringType())])
+    found = readers.rows_of_ids(readers.json_lines(spark, str(tmp_path / "f.json"), schema), spark.createDataFrame([("2",), ("9",), ("2",)], "id string"))
+    assert [tuple(r) for r in found.collect()] == [("2", "b")]
+    sinks.write_features(spark.createDataFrame([(1, [1.0, 2.0], 1), (1, None, 0)], "qid int, features array<float>, label long"), str(tmp_path / "x"))
+    back = spark.read.parquet(str(tmp_path / "x"))
+    assert dict(back.dtypes) == {"qid": "int", "features": "array<double>", "label": "int"} and back.count() == 2
