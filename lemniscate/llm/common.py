@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,17 +21,25 @@ def ascii_lower(c: Column | str) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def long_id(c: str = "doc_id") -> Column:
+    """The id as a whole number; null where it is none."""
+    return F.col(c).try_cast("long")
+
+
 def fold(c: Column | str, k: int) -> Column:
     """crc32 of an id's decimal text, modulo k; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit(""))) % k
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, or one of our own where none is set."""
+    """The folder that driver and executors share: the session's checkpoint folder.  A session in one process, as tests have,
+    may have none set and gets one of its own; any other must name one that all executors see."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="lemniscate-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()

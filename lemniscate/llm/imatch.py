@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, mixed
+from .common import in_slices, long_id, mixed
 
 NO_ID = -(2**63)
 
@@ -126,7 +126,7 @@ def beside_next(docs: DataFrame, rows_a_block: int = 2048) -> DataFrame:
 
     Range bounds are as few as shuffle partitions of that many rows would be, and at most 4096.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.coalesce(long_id(), F.lit(NO_ID)).alias("id"), long_id().alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = rows.count()
     blocks = min(4096, max(1, math.ceil(n / rows_a_block)))
     cuts = sorted({int(c) for c in rows.approxQuantile("id", [i / blocks for i in range(1, blocks)], 1 / (8 * blocks))}) if blocks > 1 else []
