@@ -1,7 +1,7 @@
 """SimHash near-duplicates: fingerprints, bit-sliced comparison within pigeonhole blocks, connected components.
 
-Two fingerprints within `radius` differing bits agree on at least one of `radius + 1` disjoint bit bands, so each
-distinct fingerprint goes to one block per band value.  A block keeps its fingerprints as 64 vertical bit planes (64
+Two fingerprints within `radius` differing bits agree on all but `radius` of their disjoint pieces, so each distinct
+fingerprint goes to one block for every choice of the other pieces.  A block keeps its fingerprints as 64 vertical bit planes (64
 fingerprints to a machine word).  One fingerprint is compared with all the others at once: plane by plane the differing
 bits run through a carry-save counter, and words of lanes whose 64 distances all exceed the radius are abandoned.
 A block gives one link for each fingerprint that isn't the first of its group there, never all pairs.  Blocks of more
@@ -14,14 +14,15 @@ with a null doc_id take part, and a component of such rows only has a null id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, in_slices, stored
+from .common import as_bytes, in_slices, long_id, stored
 
 BITS = 64
 
@@ -52,33 +53,48 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             fps = np.array([simhash(t, width, seed) for t in as_bytes(batch.column("text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, "doc_id long, fp long")
+    return docs.select(long_id().alias("doc_id"), F.col("text").cast("string")).mapInArrow(sign, "doc_id long, fp long")
 
 
 class BitPlanes:
-    """Fingerprints stored vertically: planes[b] holds bit b of all of them, 64 lanes to a word."""
+    """Bit vectors stored vertically: planes[b] holds bit b of all of them, 64 lanes to a word."""
 
     def __init__(self, lanes: np.ndarray, used: np.ndarray):
-        bits = np.unpackbits(lanes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")  # row: fingerprint; column: bit
+        """lanes: a row of 64-bit numbers for each vector, or one number for each."""
+        bits = np.unpackbits(lanes.view(np.uint8).reshape(len(used), -1), axis=1, bitorder="little")  # row: vector; column: bit
         self.planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
         self.used = np.packbits(used, bitorder="little").view(np.uint64)
 
-    def within(self, fps: np.ndarray, words: np.ndarray, radius: int, check: int = 8) -> tuple[np.ndarray, np.ndarray]:
-        """(k, lane) for every lane of words[k] whose distance to fps[k] is at most radius."""
+    def within(self, asked: np.ndarray, words: np.ndarray, radius: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(k, lane) for every lane of words[k] whose distance to asked[k] is at most the radius (one, or one for each k).
+
+        Eight planes at a time run through a tree of carry-save adders; only its last carry goes on to the higher digits.
+        """
+        asked = asked.reshape(len(words), -1)
+        radius = np.broadcast_to(np.asarray(radius, np.int64), len(words))
         left = np.arange(len(words))
         over = ~self.used[words]  # lanes that have left for good
-        counter = [np.zeros(len(words), np.uint64) for _ in range(max(1, radius.bit_length()))]
+        counter = [np.zeros(len(words), np.uint64) for _ in range(max(4, int(radius.max(initial=0)).bit_length()))]
         ones, one = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(1)
-        for b in range(BITS):
-            carry = self.planes[b][words] ^ (np.uint64(0) - (fps >> np.uint64(b) & one))
-            for k, digit in enumerate(counter):  # ripple the differing bits into the counters' digits
-                counter[k], carry = digit ^ carry, digit & carry
+        check = max(8, len(self.planes) // 16)  # planes from one look for words to abandon to the next
+        for group in range(0, len(self.planes), 8):
+            bits = asked[:, group // 64] >> np.uint64(group % 64)
+            d = [self.planes[group + b][words] ^ (np.uint64(0) - (bits >> np.uint64(b) & one)) for b in range(8)]
+            counter[0], two_a = added(counter[0], d[0], d[1])
+            counter[0], two_b = added(counter[0], d[2], d[3])
+            counter[1], four_a = added(counter[1], two_a, two_b)
+            counter[0], two_a = added(counter[0], d[4], d[5])
+            counter[0], two_b = added(counter[0], d[6], d[7])
+            counter[1], four_b = added(counter[1], two_a, two_b)
+            counter[2], carry = added(counter[2], four_a, four_b)
+            for k in range(3, len(counter)):
+                counter[k], carry = counter[k] ^ carry, counter[k] & carry
             over |= carry
-            if b % check == check - 1 and b >= check:
+            if group % check == check - 8:
                 gone = over | above(counter, radius)
                 alive = np.flatnonzero(gone != ones)
                 if 2 * len(alive) < len(words):  # abandon words without a lane within the radius
-                    left, words, fps, over, counter = left[alive], words[alive], fps[alive], over[alive], [c[alive] for c in counter]
+                    left, words, asked, radius, over, counter = left[alive], words[alive], asked[alive], radius[alive], over[alive], [c[alive] for c in counter]
                     if not len(words):
                         break
         near = ~(over | above(counter, radius))
@@ -87,80 +103,103 @@ class BitPlanes:
         return left[some[row]], words[some[row]] * BITS + lane
 
 
-def above(counter: list[np.ndarray], radius: int) -> np.ndarray:
-    """Lanes whose counter exceeds radius."""
+def added(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and carry of three bits in each lane."""
+    both = a ^ b
+    return both ^ c, a & b | both & c
+
+
+def above(counter: list[np.ndarray], radius: np.ndarray) -> np.ndarray:
+    """Lanes whose counter exceeds the radius of their word."""
     more, same = np.zeros_like(counter[0]), ~np.zeros_like(counter[0])
     for k in range(len(counter) - 1, -1, -1):
-        if radius >> k & 1:
-            same = same & counter[k]
-        else:
-            more = more | (same & counter[k])
-            same = same & ~counter[k]
+        digit = np.uint64(0) - (radius >> k & 1).astype(np.uint64)  # all ones or all zeros
+        more |= same & counter[k] & ~digit
+        same &= ~(counter[k] ^ digit)
     return more
 
 
+class Blocks:
+    """Rows of several blocks, whose right-hand rows stand in bit planes; in a block of its own, every row does."""
+
+    def __init__(self, vectors: np.ndarray, starts: np.ndarray, own: np.ndarray, right: np.ndarray):
+        n = len(vectors)
+        self.vectors = vectors
+        block = np.repeat(np.arange(len(starts)), np.diff([*starts, n]))
+        target = right | own
+        seen = np.cumsum(target) - target
+        rank = seen - seen[starts][block]
+        words = -(-np.add.reduceat(target.astype(np.int64), starts) // BITS)
+        ends = np.cumsum(words)
+        first = (ends - words)[block]
+        size = int(ends[-1]) * BITS
+        lanes, used, self.row_of = np.zeros((size, *vectors.shape[1:]), np.uint64), np.zeros(size, bool), np.zeros(size, np.int64)
+        at = (first * BITS + rank)[target]
+        lanes[at], used[at], self.row_of[at] = vectors[target], True, np.flatnonzero(target)
+        self.planes = BitPlanes(lanes, used)
+        self.asks = np.flatnonzero(~right)
+        self.begin = np.where(own, first + rank // BITS, first)[self.asks]  # in a block of its own a row meets those from its word on
+        self.many = ends[block][self.asks] - self.begin
+
+    def near(self, radius: int | np.ndarray, at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(i, j): rows within the radius of row i, in parts."""
+        total, a = np.cumsum(self.many), 0
+        while a < len(self.asks):
+            z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + at_once, "right")))
+            rows, words = np.repeat(self.asks[a:z], self.many[a:z]), np.repeat(self.begin[a:z], self.many[a:z])
+            words += np.arange(len(rows)) - np.repeat(np.cumsum(self.many[a:z]) - self.many[a:z], self.many[a:z])
+            k, lane = self.planes.within(self.vectors[rows], words, radius if np.isscalar(radius) else radius[rows])
+            yield rows[k], self.row_of[lane]
+            a = z
+
+
 def block_links(fp: np.ndarray, starts: np.ndarray, own: np.ndarray, right: np.ndarray, radius: int, at_once: int = 1 << 18) -> list[tuple[int, int]]:
     """Positions (i, j) whose links connect all pairs within radius of every block.
 
     Blocks begin at `starts`.  In a block of its own, every row meets every row; else the rows with `right` meet the others.
     """
-    n = len(fp)
-    sizes = np.diff([*starts, n])
-    block = np.repeat(np.arange(len(starts)), sizes)
-    target = right | own
-    seen = np.cumsum(target) - target
-    rank = seen - seen[starts][block]
-    words = -(-np.add.reduceat(target.astype(np.int64), starts) // BITS)
-    ends = np.cumsum(words)
-    first = (ends - words)[block]
-    lanes, used, row_of = np.zeros(int(ends[-1]) * BITS, np.uint64), np.zeros(int(ends[-1]) * BITS, bool), np.zeros(int(ends[-1]) * BITS, np.int64)
-    at = (first * BITS + rank)[target]
-    lanes[at], used[at], row_of[at] = fp[target], True, np.flatnonzero(target)
-    planes = BitPlanes(lanes, used)
-    asks = np.flatnonzero(~right)
-    begin = np.where(own, first + rank // BITS, first)[asks]
-    many = ends[block][asks] - begin
-    total = np.cumsum(many)
-    label, links = np.arange(n), []
-    a = 0
-    while a < len(asks):
-        z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + at_once, "right")))
-        rows, own_words = np.repeat(asks[a:z], many[a:z]), np.repeat(begin[a:z], many[a:z])
-        own_words += np.arange(len(rows)) - np.repeat(np.cumsum(many[a:z]) - many[a:z], many[a:z])
-        k, lane = planes.within(fp[rows], own_words, radius)
-        i, j = rows[k], row_of[lane]
+    label, links = np.arange(len(fp)), []
+    for i, j in Blocks(fp, starts, own, right).near(radius, at_once):
         while len(open_ := np.flatnonzero(label[i] != label[j])):
             i, j = i[open_], j[open_]
             high, low = np.maximum(label[i], label[j]), np.minimum(label[i], label[j])
             high, k = np.unique(high, return_index=True)
             links += zip(i[k].tolist(), j[k].tolist())
-            parent = np.arange(n)
+            parent = np.arange(len(fp))
             parent[high] = low[k]
             while (parent != (up := parent[parent])).any():
                 parent = up
             label = parent[label]
-        a = z
     return links
 
 
-def near_links(nodes: DataFrame, radius: int = 3, block_rows: int = 4096) -> DataFrame:
+def in_sub_blocks(rows: DataFrame, keys: list[str], id_col: str, parts: Column, least: int = 2) -> DataFrame:
+    """The rows of every block of `least` rows and more, dealt to pairs (p, q) of its sub-blocks: left of all q > p, right of all q < p.
+
+    parts: how many sub-blocks a block has, over its `count`.
+    """
+    size = rows.groupBy(*keys).count().where(F.col("count") >= least).withColumn("parts", parts.cast("int")).drop("count")
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64(id_col), F.col("parts"))).otherwise(0).cast("int")
+    dealt = rows.join(size, keys).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select(*rows.columns, F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).alias("right"))
+
+
+def near_links(nodes: DataFrame, radius: int = 3, block_rows: int = 4096, pieces: int = 5) -> DataFrame:
     """(a, b): links between the distinct longs of nodes.fp whose connected components are those of all pairs within radius.
 
-    Bands have 64 / (radius + 1) bits; a larger corpus keeps its blocks small by a larger radius + 1 than it needs.
+    Fingerprints are cut into `pieces` of about equal size.  Two of them within the radius agree on pieces - radius pieces,
+    so each fingerprint stands in one block for every choice of that many: ten blocks of 25 bits and more for 5 pieces, at
+    any size of the corpus.  More pieces make more copies and smaller blocks (6: 20 blocks of 31 bits and more).
     """
     if not radius:  # equal fingerprints are one node already
         return nodes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    bands = radius + 1
-    edges = [BITS * k // bands for k in range(bands + 1)]
-    keys = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.col("fp"), lo).bitwiseAND((1 << (hi - lo)) - 1).alias("value")) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))]
+    pieces = max(pieces, radius + 1)
+    edges = [BITS * k // pieces for k in range(pieces + 1)]
+    masks = [sum((1 << edges[k + 1]) - (1 << edges[k]) for k in chosen) for chosen in combinations(range(pieces), pieces - radius)]
+    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+    keys = [F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("value")) for k, m in enumerate(signed)]
     rows = nodes.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.band", "key.value")
-    size = rows.groupBy("band", "value").count().where(F.col("count") > 1).withColumn("parts", F.ceil(F.col("count") / block_rows).cast("int")).drop("count")
-    rows = rows.join(size, ["band", "value"])
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("fp"), F.col("parts"))).otherwise(0).cast("int")
-    rows = rows.withColumn("part", part)
-    # Sub-block p meets p itself and every other one: as (p, q) it stands left of all q > p and right of all q < p.
-    pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pairs = pairs.select("fp", "band", "value", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).alias("right"))
+    pairs = in_sub_blocks(rows, ["band", "value"], "fp", F.ceil(F.col("count") / block_rows))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.dtype([("band", np.int64), ("value", np.int64), ("p", np.int64), ("q", np.int64), ("fp", np.int64), ("right", bool)])
@@ -213,11 +252,11 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 3, block_rows: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 3, block_rows: int = 4096, pieces: int = 5) -> DataFrame:
     """(doc_id, fp, component_id: the least doc_id that links reach) of every row."""
     signed = stored(fingerprints(docs, width, seed))
     nodes = signed.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    reached = components(near_links(nodes.select("fp"), radius, block_rows))
+    reached = components(near_links(nodes.select("fp"), radius, block_rows, pieces))
     classes = nodes.join(reached, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.join(ids, "root").select("fp", "component_id")
