@@ -153,31 +153,53 @@ def by_bucket(kind: int, code: np.ndarray, bits: int) -> Iterator[tuple[int, np.
         yield int(ordered[a]), order[a:b]
 
 
-def seen_before(code: np.ndarray) -> np.ndarray:
-    """How often each number stood at earlier places; AT_ONCE places at most."""
-    place = u64(AT_ONCE.bit_length() - 1)
-    key = np.sort(mixed(code) >> place << place | np.arange(len(code), dtype=np.uint64))
-    at = (key & u64(AT_ONCE - 1)).astype(np.int64)
-    own = code[at]
-    new = own[1:] != own[:-1]
-    if (new & (key[1:] >> place == key[:-1] >> place)).any():  # hashes collide: sort by what they stand for
-        at = np.argsort(code, kind="stable")
-        new = code[at[1:]] != code[at[:-1]]
-    start = np.concatenate([[0], np.flatnonzero(new) + 1])
-    out = np.empty(len(code), np.int64)
-    out[at] = np.arange(len(code)) - np.repeat(start, np.diff(start, append=len(code)))
-    return out
+def seen_before(code: np.ndarray, doc: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(how often each code of `bits` bits stood at earlier places of its document, places of codes that stand there more
+    than once); AT_ONCE places at most."""
+    place, n = u64(AT_ONCE.bit_length() - 1), len(code)
+    doc = (doc - doc[:1]).astype(np.uint64)
+    exact = bits + int(place) + int(doc.max(initial=0)).bit_length() <= 64
+    whole = doc << u64(bits) | code if exact else mixed(code ^ mixed(doc + u64(1))) >> place
+    key = np.sort(whole << place | np.arange(n, dtype=np.uint64))
+    at = (key & u64(AT_ONCE - 1)).astype(np.int32)
+    own = key >> place
+    new = np.ones(n + 1, bool)
+    new[1:-1] = own[1:] != own[:-1]
+    if not exact:
+        tied = np.flatnonzero(~new)
+        a, b = at[tied - 1], at[tied]
+        if ((code[a] != code[b]) | (doc[a] != doc[b])).any():  # hashes collide: sort by what they stand for
+            at = np.lexsort((code, doc)).astype(np.int32)
+            new[1:-1] = (code[at[1:]] != code[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]])
+    start = np.flatnonzero(new[:-1]).astype(np.int32)
+    out = np.empty(n, np.int32)
+    out[at] = np.arange(n, dtype=np.int32) - np.repeat(start, np.diff(start, append=np.int32(n)))
+    return out, np.sort(at[~(new[:-1] & new[1:])])
 
 
 def adapted(code: np.ndarray, doc: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Probabilities once the document's own nodes have had their say: (seen + weight * p) / (met + weight) at each."""
-    own = mixed(doc.astype(np.uint64) + u64(1))  # keeps documents apart
+    p = p.copy()
     for order, weight in OWN_NODES:
         gram = code & u64((1 << 8 * (order + 1)) - 1)
-        p = (seen_before(gram ^ own) + weight * p) / (seen_before(gram >> u64(8) ^ own) + weight)
+        met, shared = seen_before(gram >> u64(8), doc, 8 * order)
+        p[shared] = (seen_before(gram[shared], doc[shared], 8 * (order + 1))[0] + weight * p[shared]) / (met[shared] + weight)
     return p
 
 
+def looked_up(gram: np.ndarray, p: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """p at each code's place among the grams; codes of up to six bytes are sorted first, some at a time, which is faster."""
+    if len(gram) and int(gram[-1]) >> 48:
+        return p[np.searchsorted(gram, code)]
+    out, size = np.empty(len(code)), 1 << 16
+    for a in range(0, len(code), size):
+        key = np.sort(code[a : a + size] << u64(16) | np.arange(min(size, len(code) - a), dtype=np.uint64))
+        own = key >> u64(16)
+        at = firsts(own)
+        out[a + (key & u64(size - 1)).astype(np.int64)] = np.repeat(p[np.searchsorted(gram, own[at])], np.diff(at, append=len(own)))
+    return out
+
+
 def squeezed(x: np.ndarray) -> bytes:
     """Numbers byte plane by byte plane, compressed."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
@@ -406,23 +428,26 @@ def scores(docs: DataFrame, held_out: Column, order: int = 5, chunk_bytes: int =
         out: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
         for ids, held, blob in zip(*(texts.column(c).to_pylist() for c in ("ids", "held", "codes"))):
             lines = zstandard.ZstdDecompressor().decompress(blob).split(END_BYTE)
-            h, _ = distinct_words(lines, np.zeros(len(lines), bool))
-            c = gathered(WORDS, h, own, np.int64)
-            count = dict(zip(h.tolist(), c.tolist()))
-            known: dict[bytes, int] = {}
+            number: dict[bytes, int] = {END: 0}
+            token, sizes = [], []
             for line in lines:
-                tokens = [*line.split(), END]
-                for w in tokens:
-                    if w not in known:
-                        known[w] = count[xxhash.xxh64_intdigest(w)]
-                n = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-                out["n_tokens"].append(len(n))
-                out["n_known"].append(int((n > 0).sum()))
-                out["base_score"].append(float((np.log10(n + 1) - divisor).sum()))
+                own_words = line.split()
+                token += [number.setdefault(w, len(number)) for w in own_words]
+                token.append(0)
+                sizes.append(len(own_words) + 1)
+            h = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+            by = np.argsort(h)
+            keep = firsts(h[by])
+            c = np.empty(len(number), np.int64)
+            c[by] = np.repeat(gathered(WORDS, h[by][keep], own, np.int64), np.diff(keep, append=len(by)))
+            n, starts = c[np.array(token, np.int64)], np.cumsum(sizes) - sizes
+            out["n_tokens"] += sizes
+            out["n_known"] += np.add.reduceat((n > 0).astype(np.int64), starts).tolist()
+            out["base_score"] += np.add.reduceat(np.log10(n + 1) - divisor, starts).tolist()
             gram, _ = distinct_grams(Stream(lines, order), None)
             p, total = 10.0 ** gathered(GRAMS, gram, own, np.float32).astype(np.float64), np.zeros(len(lines))
             for code, doc in Stream(lines, max(order, *(k for k, _ in OWN_NODES))).grams():
-                first = p[np.searchsorted(gram, code & u64((1 << 8 * (order + 1)) - 1))]
+                first = looked_up(gram, p, code & u64((1 << 8 * (order + 1)) - 1))
                 total += np.bincount(doc, np.log10(adapted(code, doc, first)), len(lines))
             out["doc_id"] += ids
             out["held_out"] += held

@@ -206,15 +206,23 @@ def test_byte_probabilities_sum_to_one():
         assert np.isclose((10.0 ** trie.log_p(every)).sum(), 1)
 
 
-def test_places_seen_before():
+@pytest.mark.parametrize("bits", [6, 60])
+def test_places_seen_before(bits):
     rng = np.random.default_rng(5)
-    code = rng.integers(0, 50, 3000).astype(np.uint64)
-    seen = collections.Counter()
-    want = []
-    for c in code.tolist():
+    code, doc = rng.integers(0, 50, 3000).astype(np.uint64), np.sort(rng.integers(3, 9, 3000)).astype(np.int32)
+    seen, want = collections.Counter(), []
+    for c in zip(doc.tolist(), code.tolist()):
         want.append(seen[c])
         seen[c] += 1
-    assert ppm.seen_before(code).tolist() == want
+    before, shared = ppm.seen_before(code, doc, bits)
+    assert before.tolist() == want and shared.tolist() == [i for i, c in enumerate(zip(doc.tolist(), code.tolist())) if seen[c] > 1]
+    assert ppm.seen_before(np.arange(5, dtype=np.uint64), doc[:5], bits)[1].tolist() == [] and len(ppm.seen_before(code[:0], doc[:0], bits)[0]) == 0
+
+
+def test_colliding_hashes_of_grams(monkeypatch):
+    monkeypatch.setattr(ppm, "mixed", lambda x: x & np.uint64(0))
+    before, shared = ppm.seen_before(np.array([1, 2, 1, 1, 2], np.uint64), np.array([0, 0, 0, 1, 1], np.int32), 64)
+    assert before.tolist() == [0, 0, 1, 0, 0] and shared.tolist() == [0, 2]
 
 
 def test_adaptive_scores(spark):
