@@ -2,7 +2,7 @@
 
 A run is a table of (key, n_docs, keeper), sorted by key.  Documents come in batches of descending doc_id.  A new batch
 is merge-anti-joined with the runs: keys that no run holds are new, and their keeper is the batch's largest doc_id; for
-keys already held only the number of documents is added.  The batch's own run then joins level 0, and `fanout` runs of a
+keys already held only the number of documents is added (one left join tells both).  The batch's own run then joins level 0, and `fanout` runs of a
 level are compacted into one run of the next.  After the last batch the runs hold, for each key, its documents' number and
 the largest doc_id.
 
@@ -12,14 +12,19 @@ smaller than all others; rows that repeat a doc_id count as one document; a text
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, long_id, stored
 
+#: Text of a batch, from four batches on.
+BATCH_BYTES = 1 << 40
 #: Stands for a null doc_id.
 NO_ID = -(2**63)
 
@@ -46,10 +51,9 @@ class LineRuns:
     def add(self, lines: DataFrame) -> None:
         """lines: (id, key) of a batch whose ids are all smaller than those of earlier batches."""
         own = lines.groupBy("key").agg(F.count_distinct("id").alias("n_docs"), F.max("id").alias("keeper"))
-        if held := self.runs():
-            new = own.join(reduce(DataFrame.union, [r.where(F.col("keeper").isNotNull()).select("key") for r in held]), "key", "left_anti")
-            old = own.join(reduce(DataFrame.union, [r.where(F.col("keeper").isNotNull()).select("key") for r in held]), "key", "left_semi")
-            own = new.union(old.withColumn("keeper", F.lit(None).cast("long")))
+        if held := self.runs():  # a key's keeper stands in one run only, so the join adds no rows
+            known = reduce(DataFrame.union, [r.where(F.col("keeper").isNotNull()).select("key", F.lit(True).alias("known")) for r in held])
+            own = own.join(known, "key", "left").select("key", "n_docs", F.when(F.col("known").isNull(), F.col("keeper")).alias("keeper"))
         self.put(0, stored(own.sortWithinPartitions("key")))
 
     def put(self, level: int, run: DataFrame) -> None:
@@ -73,14 +77,20 @@ def merged(runs: list[DataFrame]) -> DataFrame:
 
 def row_key() -> tuple[Column, Column]:
     """What names a row: its doc_id, and its text's hash for rows that share an id."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("row")
+    return F.coalesce(long_id(), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("row")
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2) -> DataFrame:
-    """(id, row: the text's hash, drop: sorted positions of the lines to drop) of every document that loses lines."""
+def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int | None = None, fanout: int = 2) -> DataFrame:
+    """(id, row: the text's hash, drop: sorted positions of the lines to drop) of every document that loses lines.
+
+    There are `batches`, or one for each `BATCH_BYTES` of text, four at least.
+    """
+    if batches is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+        batches = max(4, int(size // BATCH_BYTES))
     rows = docs.select(*row_key(), F.posexplode(lines_of(F.col("text").cast("string"))).alias("pos", "line"))
     keyed = rows.withColumn("line", line_key(F.col("line"))).where(F.char_length("line") >= min_chars)
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
+    ids = docs.select(F.coalesce(long_id(), F.lit(NO_ID)).alias("id"))
     cuts = sorted(set(ids.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     batch = sum((F.when(F.col("id") >= int(c), 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
     lines = stored(keyed.select("id", "row", "pos", F.unhex(F.md5("line")).alias("key"), batch.alias("batch")), "batch")
@@ -101,6 +111,27 @@ def without_repeated_lines(docs: DataFrame, **limits) -> DataFrame:
     drops = repeated_lines(docs, **limits)
     own = docs.select(F.struct("*").alias("all"), *row_key()).join(drops, ["id", "row"], "left")
     text = F.col("all.text").cast("string")
-    kept = F.array_join(F.filter(lines_of(text), lambda line, i: ~F.array_contains(F.col("drop"), i)), "\n")
-    held = [F.when(F.col("drop").isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col("all").getField(c).alias(c) for c in docs.columns]
-    return own.select(*held, F.size(lines_of(text)).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    kept = without_lines()(F.when(F.col("drop").isNotNull(), text), F.col("drop"))
+    held = [F.when(F.col("drop").isNull(), text).otherwise(F.col("kept")).alias("text") if c == "text" else F.col("all").getField(c).alias(c) for c in docs.columns]
+    counts = F.size(lines_of(text)).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped")
+    return own.withColumn("kept", kept).select(*held, *counts)
+
+
+def without_lines() -> Callable[[Column, Column], Column]:
+    """(text, positions) -> text without these lines, in time that is linear in both.  Array functions would look through
+    all positions, or copy all lines, once for each line; texts that keep all their lines don't come here."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, drops: pd.Series) -> pd.Series:
+        out = []
+        for text, drop in zip(texts, drops):
+            if text is None or drop is None:
+                out.append(None)
+                continue
+            lines = text.split("\n")
+            keep = np.ones(len(lines), bool)
+            keep[np.asarray(drop, np.int64)] = False
+            out.append("\n".join(lines[i] for i in np.flatnonzero(keep).tolist()))
+        return pd.Series(out, dtype=object)
+
+    return cut
