@@ -11,6 +11,8 @@ several documents are set in a bitmap, which is broadcast; it has about an eight
 
 Hot passages: equal super-k-mers of a task are one row before the shuffle, so a passage in a third of all documents is one
 row for each task; the result goes back to the documents by the string's hash, in a join that splits skewed keys.
+A bucket of more than `hot_rows` super-k-mers never meets whole: its strings stay where they are and send each window's
+128-bit XXH3, whose smallest doc_id is aggregated by hash and joined back.
 
 Nulls and ties: a null text has no words; rows of a null doc_id count as one document, smaller than all others; rows that
 repeat a doc_id are one document and don't remove each other's words; a document of fewer than `width` words keeps all.
@@ -27,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, in_slices, mixed, stored
+from .common import as_bytes, in_slices, long_id, mixed, stored
 
 NO_ID = -(2**63)
 
@@ -96,7 +98,8 @@ def shared_minimisers(docs: DataFrame, width: int, gram: int, filter_bits: int)
                 words = text.split()
                 if len(words) >= width:
                     m = minimisers(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), width, gram)
-                    m = np.unique(m)
+                    m = np.sort(m)
+                    m = m[runs_of(m)[:-1]]
                     found.append(m)
                     owner.append(np.full(len(m), i, np.int64))
             if found:
@@ -208,14 +211,16 @@ def bits_for(docs: DataFrame) -> int:
 def with_keys(docs: DataFrame) -> DataFrame:
     """doc_id, text, and what names a row: its id, and its text's hash for rows that share an id."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("row"))
+    return docs.select(long_id().alias("doc_id"), text.alias("text"), F.coalesce(long_id(), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("row"))
 
 
-def covered_spans(docs: DataFrame, width: int = 50, gram: int = 8, filter_bits: int | None = None, combine_bytes: int = 48 << 20) -> DataFrame:
+def covered_spans(docs: DataFrame, width: int = 50, gram: int = 8, filter_bits: int | None = None, combine_bytes: int = 48 << 20, hot_rows: int = 256) -> DataFrame:
     """(id, row, spans: arrays of word positions [a, b), which may overlap) of the documents that lose words."""
     rows = with_keys(docs).select("id", "row", "text")
     filter_bits = filter_bits or bits_for(rows)
     found = stored(super_kmers(rows, width, gram, filter_bits).withColumn("string", F.md5("packed")).withColumn("string", F.unhex("string")))
+    hot = stored(found.groupBy("bucket").count().where(F.col("count") > hot_rows).select("bucket"))
+    strings = found.select("bucket", "string", "packed", "id")
     fields = "bucket long, string binary, packed binary, least long, most long"
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +245,23 @@ def covered_spans(docs: DataFrame, width: int = 50, gram: int = 8, filter_bits:
         kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "string", "packed", "least", "most"])
 
-    distinct = found.select("bucket", "string", "packed", "id").mapInArrow(combine, fields)
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(string, w: number of the window in it, h: its hash, least, most) of every window."""
+        for batch in in_slices(batches, "packed", 1 << 18):
+            out = []
+            for string, packed, least, most in zip(*(batch.column(c).to_pylist() for c in ("string", "packed", "least", "most"))):
+                ends = np.flatnonzero(np.frombuffer(packed + b" ", np.uint8) == 32).tolist()
+                starts = [0, *(e + 1 for e in ends)]
+                out += [(string, w, xxhash.xxh3_128_digest(packed[starts[w] : ends[w + width - 1]]), least, most) for w in range(len(ends) - width + 1)]
+            if out:
+                kinds = (pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["string", "w", "h", "least", "most"])
+
+    distinct = strings.join(hot, "bucket", "left_anti").mapInArrow(combine, fields)
+    apart = stored(strings.join(hot, "bucket", "left_semi").mapInArrow(combine, fields).mapInArrow(windows, "string binary, w int, h binary, least long, most long"))
+    owners = apart.join(apart.groupBy("h").agg(F.min("least").alias("first")), "h")
+    by_string = owners.groupBy("string").agg(F.max("most").alias("most"), F.sort_array(F.collect_set(F.struct("w", "first"))).alias("own"))
+    apart_answers = by_string.select("string", "most", F.col("own.w").alias("starts"), F.col("own.first").alias("firsts")).where(F.array_min("firsts") < F.col("most")).drop("most")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, bytes, int, int]] = []
@@ -271,7 +292,7 @@ def covered_spans(docs: DataFrame, width: int = 50, gram: int = 8, filter_bits:
         if held:
             yield answer(held)
 
-    answers = distinct.repartition("bucket").sortWithinPartitions("bucket", "string").mapInArrow(resolve, "string binary, starts array<int>, firsts array<long>")
+    answers = distinct.repartition("bucket").sortWithinPartitions("bucket", "string").mapInArrow(resolve, "string binary, starts array<int>, firsts array<long>").union(apart_answers)
     uses = found.select("id", "row", "pos", "n", "string").join(answers, "string")
     runs = F.zip_with(F.col("starts"), F.concat(F.slice("starts", 2, F.size("starts")), F.array("n")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     lost = F.filter(F.zip_with(runs, F.col("firsts"), lambda r, first: F.when(first < F.col("id"), F.struct((F.col("pos") + r["a"]).alias("a"), (F.col("pos") + r["b"] + width - 1).alias("b")))), lambda r: r.isNotNull())
@@ -279,12 +300,13 @@ def covered_spans(docs: DataFrame, width: int = 50, gram: int = 8, filter_bits:
     return parts.groupBy("id", "row").agg(F.flatten(F.collect_list("lost")).alias("spans"))
 
 
-def without_repeated_windows(docs: DataFrame, width: int = 50, gram: int = 8, filter_bits: int | None = None) -> DataFrame:
+def without_repeated_windows(docs: DataFrame, width: int = 50, gram: int = 8, filter_bits: int | None = None, hot_rows: int = 256) -> DataFrame:
     """(doc_id, n_words, n_removed, kept: the words that stay, joined by a space) of every row.
 
     The spans travel to the documents, whose texts are shuffled once, compressed.
     """
-    spans = covered_spans(docs, width, gram, filter_bits)
+    spans = covered_spans(docs, width, gram, filter_bits, hot_rows=hot_rows)
+
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in in_slices(batches, "text", 8 << 20):

@@ -1,11 +1,11 @@
 """Line, near and substring deduplication and decontamination against brute force."""
 
-import hashlib
 import re
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lemniscate.llm import decontaminate, line_dedup, simhash, substring_dedup
 
@@ -45,6 +45,15 @@ def test_lines_of_awkward_ids(spark):
     assert line_dedup.without_repeated_lines(table(spark, [])).count() == 0
 
 
+def test_a_text_of_very_many_lines(spark):
+    line = "a line that is long enough to count, number "
+    long = "\n".join(f"{line}{i % 20_000}" if i % 2 else "short" for i in range(80_000))
+    others = ["\n".join(f"{line}{i}" for i in range(1, 20_000, 2))] * 5
+    rows = {r.doc_id: r for r in line_dedup.without_repeated_lines(table(spark, [long, *others, "x\n" + line + "1"], list(range(7)))).collect()}
+    assert (rows[0].n_lines, rows[0].n_dropped) == (80_000, 40_000) and rows[0].text == "\n".join(["short"] * 40_000)
+    assert rows[5].n_dropped == 1 and rows[6].n_dropped == 0 and rows[1].text == ""
+
+
 def fingerprint_by_force(text, width=3):
     words = spaces(lower(text or ""))
     if not words:
@@ -129,11 +138,11 @@ def windows_by_force(texts, ids, width):
     return sorted(out)
 
 
-@pytest.mark.parametrize("width, gram, bits", [(5, 3, 20), (8, 3, 24), (14, 8, None), (4, 4, 20)])
-def test_windows(spark, width, gram, bits):
+@pytest.mark.parametrize("width, gram, bits, hot_rows", [(5, 3, 20, 256), (8, 3, 24, 2), (14, 8, None, 256), (4, 4, 20, 0)])
+def test_windows(spark, width, gram, bits, hot_rows):
     texts = awkward(seed=2)
     ids = [(11 * i) % 1009 for i in range(len(texts))]
-    got = substring_dedup.without_repeated_windows(clashing(table(spark, texts, ids)), width, gram, bits).collect()
+    got = substring_dedup.without_repeated_windows(clashing(table(spark, texts, ids)), width, gram, bits, hot_rows).collect()
     want = windows_by_force(texts, ids, width)
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == want
     assert sum(w[2] for w in want) > 50
@@ -172,12 +181,12 @@ def leaks_by_force(texts, items, width=10):
     return out
 
 
-@pytest.mark.parametrize("block_words, shard_bytes", [(200_000, 6 << 20), (5, 500)])
-def test_decontamination(spark, block_words, shard_bytes):
+@pytest.mark.parametrize("block_words, shard_bytes, at_once", [(200_000, 6 << 20, 16), (5, 500, 16), (5, 500, 2)])
+def test_decontamination(spark, block_words, shard_bytes, at_once):
     texts = awkward(seed=4)
     items = [(1, "alpha beta"), (2, texts[20]), (3, texts[25]), (4, None), (5, "---"), (6, "zeta9!x"), (2, "日本 the"), (7, "no such words at all")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contamination(clashing(table(spark, texts)), bench, 6, block_words, shard_bytes).orderBy("doc_id").collect()
+    got = decontaminate.contamination(clashing(table(spark, texts)), bench, 6, block_words, shard_bytes, at_once).orderBy("doc_id").collect()
     want = leaks_by_force(texts, items, 6)
     assert [(r.n_words, sum(s.b - s.a for s in r.spans), list(r.items)) for r in got] == want
     assert sum(w[1] > 0 for w in want) > 10
@@ -189,6 +198,9 @@ def test_cut_spans(spark):
     got = {r.doc_id: r for r in decontaminate.decontaminated(docs, bench).collect()}
     assert got[0].text == "One, (! five" and got[1].text == "clean" and got[2].text is None and got[0].source == "src"
     assert decontaminate.decontaminated(docs, bench.limit(0)).count() == 3
+    several = bench.union(spark.createDataFrame([(2, "five"), (3, "one")], "item_id int, text string"))
+    rows = decontaminate.decontaminated(docs.withColumn("_spans", F.lit("own")), several, block_words=1, blocks_at_once=1).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == ["", "clean", None] and {r._spans for r in rows} == {"own"}
 
 
 def test_suffix_array_and_ranks():
@@ -213,7 +225,3 @@ def test_bit_planes_abandon_nothing_near():
         k, lane = planes.within(np.repeat(lanes[[5, 100]], 2), np.array([0, 1, 0, 1]), radius)
         want = {(i, j) for i, f in ((0, 5), (1, 5), (2, 100), (3, 100)) for j in range(128) if j // 64 == i % 2 and (int(lanes[f]) ^ int(lanes[j])).bit_count() <= radius}
         assert set(zip(k.tolist(), lane.tolist())) == want
-
-
-def test_digest_of_items():
-    assert decontaminate.digest_of_items(["9", "10"]) == hashlib.sha256(b"10,9").hexdigest()
