@@ -5,8 +5,9 @@ of other words is one separator that no phrase can cross.  The shard's suffix ar
 kept in a wavelet matrix whose ranks drive the backward search of all phrases at once; suffix positions are sampled, and an
 occurrence walks backwards to the next sample.  Occurrences become word spans, which are merged for each document.
 
-Nothing is shuffled: every shard meets the whole benchmark, a stated query set, in blocks of at most `block_words` words.
-Each block is a broadcast of its own and is searched after the one before, so a task's memory has that bound.
+Nothing is shuffled: every shard meets the whole benchmark, a stated query set, in blocks of at most `block_words` words,
+each a broadcast.  A worker keeps the blocks that it has met, so a larger benchmark is searched in passes of
+`blocks_at_once` blocks (3.2 million words), with the documents written as a table in between.
 
 Nulls and ties: a null text has no words; a benchmark item without words has no window; a null item_id is called "null";
 items that repeat an id are one item; every input row gives one row.
@@ -14,16 +15,17 @@ items that repeat an id are one item; every input row gives one row.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import as_bytes, drop_bytes, in_slices
+from .common import as_bytes, drop_bytes, in_slices, long_id, stored
 
 #: Bytes of words (ASCII digits and letters, all of UTF-8 beyond ASCII) lower-cased; all others become a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -200,26 +202,45 @@ def blocks_of(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str
 SPANS = "array<struct<a:int,b:int>>"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = 200_000, shard_bytes: int = 6 << 20) -> DataFrame:
-    """(doc_id, text, n_words, spans: word positions [a, b) inside benchmark windows, items: ids of the items hit) of every row."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(Phrases(items, width)) for items in blocks_of(benchmark, block_words)]
-    span = pa.struct([("a", pa.int32()), ("b", pa.int32())])
+def passes(benchmark: DataFrame, width: int, block_words: int, at_once: int) -> Iterator[list[Broadcast]]:
+    """The benchmark's blocks, each a broadcast, in groups of at most `at_once`."""
+    group: list[Broadcast] = []
+    for items in blocks_of(benchmark, block_words):
+        if len(group) == at_once:
+            yield group
+            group = []
+        group.append(benchmark.sparkSession.sparkContext.broadcast(Phrases(items, width)))
+    yield group
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches, "text", shard_bytes):
-            texts = [words_of(t) for t in as_bytes(batch.column("text"))]
-            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-            items: list[set[str]] = [set() for _ in texts]
-            for block in blocks:
-                for doc, a, b, phrase in block.value.hits(texts):
-                    spans[doc].append((a, b))
-                    items[doc].update(block.value.items[phrase])
-            spans = [[{"a": a, "b": b} for a, b in merged(s)] for s in spans]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, pa.list_(span)), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "spans", "items"])
 
-    return docs.mapInArrow(search, f"doc_id long, text string, n_words long, spans {SPANS}, items array<string>")
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = 200_000, shard_bytes: int = 6 << 20, blocks_at_once: int = 16) -> DataFrame:
+    """(doc_id, text, n_words, spans: word positions [a, b) inside benchmark windows, items: ids of the items hit) of every row."""
+    span = pa.struct([("a", pa.int32()), ("b", pa.int32())])
+    names = ["doc_id", "text", "n_words", "spans", "items"]
+    schema = f"doc_id long, text string, n_words long, spans {SPANS}, items array<string>"
+
+    def search_for(blocks: list[Broadcast]):
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in in_slices(batches, "text", shard_bytes):
+                texts = [words_of(t) for t in as_bytes(batch.column("text"))]
+                spans = [[(s["a"], s["b"]) for s in own] for own in batch.column("spans").to_pylist()]
+                items = [set(own) for own in batch.column("items").to_pylist()]
+                for block in blocks:
+                    for doc, a, b, phrase in block.value.hits(texts):
+                        spans[doc].append((a, b))
+                        items[doc].update(block.value.items[phrase])
+                spans = [[{"a": a, "b": b} for a, b in merged(s)] for s in spans]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, pa.list_(span)), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=names)
+
+        return search
+
+    found = docs.select(long_id().alias("doc_id"), F.col("text").cast("string"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    done = None
+    for blocks in passes(benchmark, width, block_words, blocks_at_once):
+        if done is not None:  # the groups before are searched, so that their blocks can leave the workers
+            found = stored(done)
+        done = found.mapInArrow(search_for(blocks), schema)
+    return done
 
 
 def without_spans(text: bytes, spans: list[dict]) -> bytes:
@@ -228,30 +249,42 @@ def without_spans(text: bytes, spans: list[dict]) -> bytes:
     return drop_bytes(text, [(places[s["a"]][0], places[s["b"] - 1][1]) for s in spans])
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = 200_000, shard_bytes: int = 6 << 20, blocks_at_once: int = 16) -> DataFrame:
     """All columns of docs, with the hit spans cut out of `text`; documents without a hit are unchanged, a null text stays null."""
-    columns = docs.columns
-    shown = docs.withColumn("text", F.col("text").cast("string"))
-
-    sc = docs.sparkSession.sparkContext
-    width, block_words, shard_bytes = limits.get("width", 10), limits.get("block_words", 200_000), limits.get("shard_bytes", 6 << 20)
-    blocks = [sc.broadcast(Phrases(items, width)) for items in blocks_of(benchmark, block_words)]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches, "text", shard_bytes):
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            words = [words_of(t or b"") for t in texts]
-            spans: dict[int, list[tuple[int, int]]] = {}
-            for block in blocks:
-                for doc, a, b, _ in block.value.hits(words):
-                    spans.setdefault(doc, []).append((a, b))
-            for doc, own in spans.items():
-                texts[doc] = without_spans(texts[doc], [{"a": a, "b": b} for a, b in merged(own)])
-            k = batch.schema.get_field_index("text")
-            yield batch.set_column(k, batch.schema.field(k), pa.array(texts, pa.binary()).cast(batch.schema.field(k).type))
-
-    return shown.select(*columns).mapInArrow(cut, shown.select(*columns).schema)
-
-
-def digest_of_items(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+    shown = docs.withColumn("text", F.col("text").cast("string")).select(*docs.columns)
+    at = "_spans"
+    while at in docs.columns:
+        at = f"_{at}"
+    marked = StructType([*shown.schema.fields, StructField(at, ArrayType(StructType([StructField("a", IntegerType()), StructField("b", IntegerType())])))])
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+    def search_for(blocks: list[Broadcast], first: bool, last: bool):
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in in_slices(batches, "text", shard_bytes):
+                texts = batch.column("text").cast(pa.binary()).to_pylist()
+                words = [words_of(t or b"") for t in texts]
+                spans = [[] if first else [(s["a"], s["b"]) for s in own] for own in ([()] * len(texts) if first else batch.column(at).to_pylist())]
+                for block in blocks:
+                    for doc, a, b, _ in block.value.hits(words):
+                        spans[doc].append((a, b))
+                spans = [[{"a": a, "b": b} for a, b in merged(own)] for own in spans]
+                if not last:
+                    table = pa.Table.from_batches([batch])
+                    yield from (table if first else table.drop_columns([at])).append_column(at, pa.array(spans, kind)).to_batches()
+                    continue
+                for doc, own in enumerate(spans):
+                    if own:
+                        texts[doc] = without_spans(texts[doc], own)
+                k = batch.schema.get_field_index("text")
+                batch = batch.set_column(k, batch.schema.field(k), pa.array(texts, pa.binary()).cast(batch.schema.field(k).type))
+                yield batch if first else batch.select([f.name for f in batch.schema if f.name != at])
+
+        return search
+
+    groups = list(passes(benchmark, width, block_words, blocks_at_once))
+    for k, blocks in enumerate(groups):
+        first, last = k == 0, k == len(groups) - 1
+        found = shown if first else found
+        found = found.mapInArrow(search_for(blocks, first, last), shown.schema if last else marked)
+        found = found if last else stored(found)
+    return found

@@ -98,9 +98,10 @@ def infer(model: Model, texts: list[bytes], segment: int = 96, penalty: float =
     parts, sizes = [], []
     for text in texts:
         g = trigrams(text, model.bits)
-        at = np.arange(0, len(g), segment)
-        parts.append(np.add.reduceat(model.loglik[g], at, axis=0, dtype=np.float64))
-        sizes.append(len(at))
+        for a in range(0, len(g), segment << 10):  # some segments at a time: a row of languages for each trigram takes room
+            own = g[a : a + (segment << 10)]
+            parts.append(np.add.reduceat(model.loglik[own], np.arange(0, len(own), segment), axis=0, dtype=np.float64))
+        sizes.append(-(-len(g) // segment))
     loglik = np.concatenate(parts)
     starts = np.cumsum(sizes) - sizes
     n = len(model.languages)
