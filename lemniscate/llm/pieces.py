@@ -293,6 +293,6 @@ def decoded(rows: DataFrame, model_file: str = MODEL, ids_col: str = "ids") -> D
 
     @F.pandas_udf("string")
     def text_of(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: None if x is None else decode(shared.value, list(x)).decode("utf-8", "replace"))
+        return ids.map(lambda x: None if x is None else decode(shared.value, [None if i is None or i != i else int(i) for i in x]).decode("utf-8", "replace"))  # pandas makes nulls NaN
 
     return rows.withColumn("text", text_of(F.col(ids_col)))
