@@ -111,10 +111,14 @@ def fuzzy_best(queries: DataFrame, texts: DataFrame, least: float = 0.85) -> Dat
 
 
 def first_match(queries: DataFrame, corpus: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """queries with the value of the corpus's first row of an equal key, null where there is none."""
+    """queries with the value of the corpus's first row of an equal key but their own, null where there is none.
+
+    `order` is the id in both tables: of each key the first two rows are enough.
+    """
     at = F.row_number().over(W.partitionBy(key).orderBy(order))
-    first = corpus.withColumn("_at", at).where("_at = 1").select(key, value)
-    return queries.join(first, key, "left")
+    two = corpus.withColumn("_at", at).where("_at <= 2").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("_two"))
+    other = F.get(F.filter("_two", lambda x: x["o"] != F.col(order)), F.lit(0))
+    return queries.join(two, key, "left").withColumn(value, other["v"]).drop("_two")
 
 
 def match_waterfall(queries: DataFrame, texts: DataFrame, tokens, least: float = 0.85, votes: float = 0.5) -> DataFrame:

@@ -291,7 +291,7 @@ def q27(spark, d):
     return rows.select("fid", F.round("complexity", 6).alias("complexity"), F.round(paths.adaptive_threshold(F.col("complexity")), 6).alias("threshold"))
 
 
-@query("q27b_length_bins", f"""WITH {v.VECTOR_RUN}, {v.FORMULAS}, b AS (SELECT CASE WHEN n < 10 THEN 'short' WHEN n < 13 THEN 'middle' ELSE 'long' END AS bin, n FROM (SELECT len({v.WORDS_SQL.format("latex")}) AS n FROM formulas))
+@query("q27b_length_bins", f"""WITH {v.FORMULAS}, b AS (SELECT CASE WHEN n < 10 THEN 'short' WHEN n < 13 THEN 'middle' ELSE 'long' END AS bin, n FROM (SELECT len({v.WORDS_SQL.format("latex")}) AS n FROM formulas))
     SELECT bin, count(*) AS n, round(avg(n), 6) AS tokens FROM b GROUP BY bin""")
 def q27b(spark, d):
     n = v.formulas(spark, d).select(F.size(paths.words(F.col("latex"))).alias("n"))
@@ -489,15 +489,24 @@ def q52(spark, d):
     return trec_lines(v.vector_run(spark, d, 5), "vec", 4)
 
 
-@query("q53_token_votes", f"""WITH {v.FORMULAS}, t AS (SELECT DISTINCT fid, latex, unnest(regexp_extract_all(latex, '\\\\[a-zA-Z]+|[a-zA-Z0-9]+')) AS path FROM formulas), q AS (SELECT fid AS qid, path FROM t WHERE fid % 100 = 0), s AS (SELECT DISTINCT latex AS skel, path FROM t WHERE fid % 100 <> 0),
-    n AS (SELECT qid, count(*) AS n FROM q GROUP BY 1), h AS (SELECT qid, skel, count(*) / any_value(n.n) AS share FROM q JOIN s USING (path) JOIN n USING (qid) GROUP BY ALL),
+@query("q53_token_votes", f"""WITH {v.FORMULAS}, t AS (SELECT DISTINCT fid, latex, unnest(regexp_extract_all(latex, '\\\\[a-zA-Z]+|[a-zA-Z0-9]+')) AS path FROM formulas), q AS (SELECT fid AS qid, path FROM t WHERE fid % 100 = 0),
+    s AS (SELECT latex AS skel, path, min(fid) AS low, max(fid) AS high FROM t GROUP BY ALL), n AS (SELECT qid, count(*) AS n FROM q GROUP BY 1),
+    h AS (SELECT qid, skel, count(*) / any_value(n.n) AS share FROM q JOIN s USING (path) JOIN n USING (qid) WHERE NOT (low = qid AND high = qid) GROUP BY ALL),
     r AS (SELECT qid, skel, share, row_number() OVER (PARTITION BY qid ORDER BY round(share, 9) DESC, skel) AS nth FROM h WHERE share > 0.5) SELECT qid, skel, round(0.7::DOUBLE * share, 6) AS score FROM r WHERE nth = 1""")
 def q53(spark, d):
     rows = v.formulas(spark, d).select("fid", "latex", F.explode(F.array_distinct(paths.plain_words(F.col("latex")))).alias("path"))
-    return search.token_votes(rows.where("fid % 100 = 0").select(F.col("fid").alias("qid"), "path"), rows.where("fid % 100 <> 0").select(F.col("latex").alias("skel"), "path")).select("qid", "skel", *six("score"))
+    skeletons = rows.groupBy(F.col("latex").alias("skel"), "path").agg(F.min("fid").alias("low"), F.max("fid").alias("high"))
+    return search.token_votes(rows.where("fid % 100 = 0").select(F.col("fid").alias("qid"), "path"), skeletons).select("qid", "skel", *six("score"))
 
 
-@query("q54_recall_waterfall")
+BY_HASH = "{name} AS (SELECT q.fid AS qid, d.fid AS doc_id, row_number() OVER (PARTITION BY q.fid ORDER BY d.fid) AS rank FROM h q JOIN h d ON q.{c} = d.{c} WHERE q.fid % 100 = 0 AND q.{c} <> '' QUALIFY rank <= 200)"
+
+
+@query("q54_recall_waterfall", f"""WITH {v.FORMULAS}, t AS (SELECT fid, latex, regexp_extract_all(regexp_replace(latex, '{v.WS}', '', 'g'), '\\\\[a-zA-Z]+|(?s:.)') AS t FROM formulas),
+    h AS (SELECT fid, CASE WHEN {sql("latex")} = '' THEN '' ELSE md5({sql("latex")}) END AS a, array_to_string(list_transform(t, lambda x: CASE WHEN regexp_full_match(x, '[a-zA-Z]') THEN 'V' WHEN regexp_full_match(x, '[0-9]') THEN 'N' ELSE x END), '') AS b FROM t),
+    {BY_HASH.format(name="e_run", c="a")}, {BY_HASH.format(name="l_run", c="b")}, x AS (WITH """ + CONCAT.format("e_run", "l_run", 100) + """),
+    o AS (SELECT fid AS doc_id FROM formulas ORDER BY md5(concat('7:', fid)), fid LIMIT 100), w AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM o)
+    SELECT * FROM x UNION ALL SELECT q.fid, w.doc_id, 2, w.rank FROM formulas q, w WHERE q.fid % 100 = 0 AND q.fid NOT IN (SELECT qid FROM x)""")
 def q54(spark, d):
     docs = v.formulas(spark, d).select(F.col("fid").alias("doc_id"), text_hash(clean("latex")).alias("hash"), paths.skeleton(F.col("latex")).alias("skel"))
     q = docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "qid")
@@ -512,9 +521,9 @@ def q55(spark, d):
     return q.join(own, "label").select("qid", F.col("id").alias("doc_id"), F.round(search.cosine(search.unit(F.col("q")), search.unit(F.col("embedding"))), 6).alias("cosine"))
 
 
-@query("q56_first_match_enrichment", f"""WITH {v.FORMULAS}, n AS (SELECT fid, {sql("latex")} AS key, {sql("latex", "basic")} AS skel FROM formulas), f AS (SELECT key, skel, row_number() OVER (PARTITION BY key ORDER BY fid) AS nth FROM n WHERE fid % 3 <> 0)
-    SELECT n.fid, coalesce(f.skel, '') AS skel, CASE WHEN f.skel IS NULL THEN 'pseudo_mathml' ELSE 'corpus_exact' END AS source FROM n LEFT JOIN f ON n.key = f.key AND f.nth = 1 WHERE n.fid % 3 = 0""")
+@query("q56_first_match_enrichment", f"""WITH {v.FORMULAS}, n AS (SELECT fid, {sql("latex")} AS key, {sql("latex", "basic")} AS skel FROM formulas), f AS (SELECT q.fid, min_by(d.skel, d.fid) AS skel FROM n q JOIN n d ON q.key = d.key AND q.fid <> d.fid WHERE q.fid % 100 = 0 GROUP BY q.fid)
+    SELECT n.fid, coalesce(f.skel, '') AS skel, CASE WHEN f.skel IS NULL THEN 'pseudo_mathml' ELSE 'corpus_exact' END AS source FROM n LEFT JOIN f USING (fid) WHERE n.fid % 100 = 0""")
 def q56(spark, d):
     n = v.formulas(spark, d).select("fid", clean("latex").alias("key"), clean("latex", "basic").alias("skel"))
-    found = audit.first_match(n.where("fid % 3 = 0").select("fid", "key"), n.where("fid % 3 <> 0"), "key", "skel", "fid")
+    found = audit.first_match(n.where("fid % 100 = 0").select("fid", "key"), n, "key", "skel", "fid")
     return found.select("fid", F.coalesce("skel", F.lit("")).alias("skel"), F.when(F.col("skel").isNull(), "pseudo_mathml").otherwise("corpus_exact").alias("source"))
