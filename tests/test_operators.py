@@ -221,3 +221,12 @@ def test_an_encoder_of_ones_own(spark):
     own = ranking.with_embeddings(rows, "text", lambda c: F.array(F.coalesce(F.length(c), F.lit(0)).cast("double")))
     assert [r.embedding for r in own.orderBy("doc_id").collect()] == [[3.0], [0.0]]
     assert [round(sum(x * x for x in r.embedding), 9) for r in ranking.with_embeddings(rows, "text").orderBy("doc_id").collect()] == [1.0, 0.0]
+
+
+def test_a_row_is_no_match_of_its_own(spark):
+    rows = spark.createDataFrame([(1, "k", "a"), (2, "k", "b"), (3, "k", "c"), (4, "z", "d"), (5, None, "e")], "fid long, key string, skel string")
+    got = {r.fid: r.skel for r in audit.first_match(rows.select("fid", "key"), rows, "key", "skel", "fid").collect()}
+    assert got == {1: "b", 2: "a", 3: "a", 4: None, 5: None}
+    skeletons = spark.createDataFrame([("x y", "x", 1, 1), ("x y", "y", 1, 1), ("x y z", "x", 2, 3), ("x y z", "y", 2, 3), ("x y z", "z", 2, 3)], "skel string, path string, low long, high long")
+    queries = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (2, "q")], "qid long, path string")
+    assert [(r.qid, r.skel, r.score) for r in search.token_votes(queries, skeletons).collect()] == [(1, "x y z", 0.7)]
