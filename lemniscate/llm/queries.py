@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, imatch, language, line_dedup, pieces, ppm, simhash, substring_dedup, toxicity, url_filter
+from . import common, decontaminate, divergence, imatch, language, line_dedup, merkle, pieces, ppm, simhash, substring_dedup, toxicity, url_filter
 from .common import fold
 from .url_filter import Rule
 
@@ -73,8 +73,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", sha256(F.col("kept")).alias("kept_sha256"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    changed = F.when(tampered, merkle.leaf(n_chars=F.col("n_chars") + 1)).otherwise(merkle.leaf())
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), changed=changed)
+    found = rows.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings("proof")).alias("proof_sha256"), merkle.folded("changed", "proof").alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_imatch, op3_toxicity, op4_ppm, op5_line_dedup, op6_decontaminate, op7_language, op8_pieces, op9_simhash, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_url_filter, op2_imatch, op3_toxicity, op4_ppm, op5_line_dedup, op6_decontaminate, op7_language, op8_pieces, op9_simhash, op10_substring_dedup, op11_divergence, op13_merkle)}
 
 
 def quoted(text: str) -> str:
@@ -138,5 +150,59 @@ WINDOWS_SQL = """
     FROM d LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)"""
 
 
+DIVERGENCE_SQL = f"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+    kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+    c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+    a AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n FROM g JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    p AS (SELECT a.lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY a.lang, source) + 5 * v) AS p FROM a JOIN v USING (lang)),
+    l AS (SELECT lang, term, sum(n) AS n FROM a GROUP BY lang, term),
+    q AS (SELECT l.lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY l.lang) + 5 * v) AS q FROM l JOIN v USING (lang)),
+    f AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source),
+    pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+              LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source),
+    terms AS (SELECT p.lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+    SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
+def merkle_sql() -> str:
+    def leaf(n_chars: str) -> str:
+        texts = ("doc_id::VARCHAR", "source", "lang", n_chars, "text")
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}))::VARCHAR || ':' || {c}, '-')" for c in texts) + ")"
+
+    plain, more = leaf("n_chars::VARCHAR"), leaf("(n_chars + 1)::VARCHAR")
+    ups = """
+        UNION ALL
+        SELECT {g}, k + 1, p // 2, ceil(n / 2)::BIGINT, sha256(h || coalesce(nh, '')) FROM (
+            SELECT {g}, k, p, n, h, lead(h) OVER (PARTITION BY {g} ORDER BY p) AS nh FROM {t} WHERE n > 1) WHERE p % 2 = 0"""
+    return f"""
+        WITH RECURSIVE crc AS (SELECT i, list_reduce(list_concat([i::UBIGINT], [x::UBIGINT for x in range(8)]), lambda c, s: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END) AS v FROM range(256) r(i)),
+        tab AS (SELECT list(v ORDER BY i) AS crcs FROM crc),
+        d AS (SELECT doc_id, lang, {plain} AS leaf, CASE WHEN xor(list_reduce(list_concat([4294967295::UBIGINT], [ascii(x)::UBIGINT for x in string_split(doc_id::VARCHAR, '')]), lambda c, b: xor(c // 256, crcs[(xor(c, b) % 256 + 1)::BIGINT])), 4294967295::UBIGINT) % 7 = 0 THEN {more} ELSE {plain} END AS changed FROM documents, tab),
+        o AS (SELECT doc_id, lang, leaf, changed, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM d),
+        t AS (SELECT g, 0 AS k, pos AS p, n, leaf AS h FROM o {ups.format(g="g", t="t")}),
+        s AS (SELECT g, h, k FROM t WHERE n = 1),
+        u AS (SELECT 0 AS z, 0 AS k, g AS p, (SELECT count(*) FROM s) AS n, h FROM s {ups.format(g="z", t="u")}),
+        r AS (SELECT h AS root FROM u WHERE n = 1),
+        path AS (SELECT o.doc_id, o.lang, o.pos, t.k AS step, (o.pos >> t.k) % 2 AS side, t.h AS sib FROM o JOIN (SELECT DISTINCT g, k FROM t WHERE n > 1) lv USING (g) LEFT JOIN t ON t.g = o.g AND t.k = lv.k AND t.p = xor(o.pos >> lv.k, 1)
+                 WHERE t.k IS NOT NULL
+                 UNION ALL SELECT o.doc_id, o.lang, o.pos, 1000 + u.k, (o.g >> u.k) % 2, u.h FROM o JOIN (SELECT DISTINCT k FROM u WHERE n > 1) lv ON true JOIN u ON u.k = lv.k AND u.p = xor(o.g >> lv.k, 1)),
+        steps AS (SELECT o.doc_id, o.lang, o.pos, lv.step, coalesce(path.side, 0) AS side, coalesce(path.sib, '') AS sib
+                  FROM o JOIN (SELECT DISTINCT g, k AS step FROM t WHERE n > 1 UNION SELECT DISTINCT o.g, 1000 + u.k FROM o, u WHERE u.n > 1) lv USING (g)
+                  LEFT JOIN path ON path.lang IS NOT DISTINCT FROM o.lang AND path.pos = o.pos AND path.step = lv.step),
+        proof AS (SELECT lang, pos, string_agg(sib, '' ORDER BY step) AS proof, list(struct_pack(side := side, sib := sib) ORDER BY step) AS steps FROM steps GROUP BY lang, pos),
+        fold AS (SELECT lang, pos, 0 AS i, changed AS h FROM o
+                 UNION ALL SELECT fold.lang, fold.pos, i + 1, CASE WHEN steps[i + 1].side = 1 THEN sha256(steps[i + 1].sib || h) ELSE sha256(h || steps[i + 1].sib) END
+                 FROM fold JOIN proof ON proof.lang IS NOT DISTINCT FROM fold.lang AND proof.pos = fold.pos WHERE i < len(steps))
+        SELECT o.doc_id, o.leaf, s.h AS subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, fold.h AS folded_root, fold.h = root AS verified
+        FROM o JOIN s USING (g) CROSS JOIN r LEFT JOIN proof ON proof.lang IS NOT DISTINCT FROM o.lang AND proof.pos = o.pos
+        JOIN fold ON fold.lang IS NOT DISTINCT FROM o.lang AND fold.pos = o.pos AND fold.i = coalesce(len(steps), 0)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_sql(), "op5_line_dedup": LINES_SQL, "op6_decontaminate": LEAKS_SQL, "op10_substring_dedup": WINDOWS_SQL}
+    return {"op11_divergence": DIVERGENCE_SQL, "op13_merkle": merkle_sql(), "op1_url_filter": url_sql(), "op5_line_dedup": LINES_SQL, "op6_decontaminate": LEAKS_SQL, "op10_substring_dedup": WINDOWS_SQL}
