@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, divergence, imatch, language, line_dedup, merkle, pieces, ppm, simhash, substring_dedup, toxicity, url_filter
+from . import common, decontaminate, divergence, imatch, language, line_dedup, merkle, ngram_join, pieces, ppm, simhash, substring_dedup, toxicity, url_filter
 from .common import fold
 from .url_filter import Rule
 
@@ -77,6 +77,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
     changed = F.when(tampered, merkle.leaf(n_chars=F.col("n_chars") + 1)).otherwise(merkle.leaf())
@@ -86,7 +90,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_imatch, op3_toxicity, op4_ppm, op5_line_dedup, op6_decontaminate, op7_language, op8_pieces, op9_simhash, op10_substring_dedup, op11_divergence, op13_merkle)}
+    return {f.__name__: f for f in (op1_url_filter, op2_imatch, op3_toxicity, op4_ppm, op5_line_dedup, op6_decontaminate, op7_language, op8_pieces, op9_simhash, op10_substring_dedup, op11_divergence, op12_ngram_join, op13_merkle)}
 
 
 def quoted(text: str) -> str:
@@ -170,6 +174,16 @@ DIVERGENCE_SQL = f"""
     SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
 
 
+JOIN_SQL = f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)] END) AS g FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+    links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+    reach AS (SELECT doc_id, doc_id AS r FROM w UNION SELECT links.a, reach.r FROM reach JOIN links ON links.b = reach.doc_id)
+    SELECT w.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(r) AS component_id FROM w JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY w.doc_id"""
+
+
 def merkle_sql() -> str:
     def leaf(n_chars: str) -> str:
         texts = ("doc_id::VARCHAR", "source", "lang", n_chars, "text")
@@ -205,4 +219,4 @@ def merkle_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_divergence": DIVERGENCE_SQL, "op13_merkle": merkle_sql(), "op1_url_filter": url_sql(), "op5_line_dedup": LINES_SQL, "op6_decontaminate": LEAKS_SQL, "op10_substring_dedup": WINDOWS_SQL}
+    return {"op11_divergence": DIVERGENCE_SQL, "op12_ngram_join": JOIN_SQL, "op13_merkle": merkle_sql(), "op1_url_filter": url_sql(), "op5_line_dedup": LINES_SQL, "op6_decontaminate": LEAKS_SQL, "op10_substring_dedup": WINDOWS_SQL}
