@@ -231,13 +231,14 @@ def group_pairs(open_: DataFrame, groups: DataFrame, indexed, least: tuple[int,
     """(a, b) of groups that share an n-gram of a probe prefix there and an index prefix here, in sizes that fit, and aren't of
     one component only."""
     rows = open_.join(groups.select("id", "gid"), "id")
-    sides = []
+    sides, room = [], F.col("n") - F.col("at")  # the n-gram and those after it, which a pair's overlap can't exceed
     for s, own in (("a", rows), ("b", rows.where(indexed))):
-        facts = {"low": F.min("n"), "high": F.max("n"), "first": F.min("root"), "last": F.max("root")}
+        facts = {"low": F.min("n"), "high": F.max("n"), "room": F.max(room), "first": F.min("root"), "last": F.max("root")}
         sides.append(own.groupBy("token", F.col("gid").alias(s)).agg(*[f.alias(f"{c}_{s}") for c, f in facts.items()]))
     fits = (F.col("low_b") <= F.col("high_a")) & (F.col("high_b") * least[1] >= F.col("low_a") * least[0])
     apart = F.least("first_a", "first_b") != F.greatest("last_a", "last_b")
-    return sides[0].join(sides[1], "token").where(fits & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    enough = F.least("room_a", "room_b").cast("long") * (least[0] + least[1]) >= (F.col("low_a") + F.col("low_b")).cast("long") * least[0]
+    return sides[0].join(sides[1], "token").where(fits & enough & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def group_links(pairs: DataFrame, groups: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -286,8 +287,9 @@ def joined(docs: DataFrame, width: int = 3, least: tuple[int, int] = (90, 100),
     alike = F.when(F.col("linked"), F.xxhash64("root")).otherwise(F.col("alike")).alias("alike")
     members_of = open_.select("id", "n", "root", "linked").distinct().join(nodes.select("id", "alike"), "id").select("id", "n", "root", alike)
     groups = stored(grouped(members_of, members, tokens))
-    table = matrix(groups, sets_of(groups.select("id"), nodes, rows, width, small))
-    more = group_links(stored(group_pairs(open_, groups, indexed, least)), table, least)
+    meeting = stored(group_pairs(open_, groups, indexed, least))
+    groups = stored(groups.join(meeting.select(F.explode(F.array("a", "b")).alias("gid")).distinct(), "gid", "left_semi"))
+    more = group_links(meeting, matrix(groups, sets_of(groups.select("id"), nodes, rows, width, small)), least)
     reached = stored(components(stored(links.union(more))))
 
     classes = nodes.select("id", "key", "first").join(reached, F.col("id") == F.col("node"), "left").select("key", "first", F.coalesce("root", "id").alias("root"))
