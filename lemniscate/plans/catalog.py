@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import mathml, paths
 from ..functions.normalize import clean, sql, text_hash, was_changed
 from ..functions.normalize import DELIMITERS, SQUEEZE
-from ..operators import audit, index, metrics, ranking, search
+from ..operators import audit, block_index, index, metrics, ranking, search, vector_index
+from ..sources.shared import shared_path
 from ..sources.sinks import trec_lines
 from . import views as v
 
@@ -51,8 +52,10 @@ def six(*columns: str) -> list:
     s AS (SELECT qid, doc_id, s / sqrt(len(t) - 1) AS score FROM h JOIN c_t ON c_t.id = doc_id)
     SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10""")
 def q01(spark, d):
-    own = index.bigram_index(v.spread(v.table(spark, d, "documents").select("doc_id", "text")), "doc_id", F.col("text"))
-    return search.bigram_search(v.table(spark, d, "benchmark"), "item_id", F.col("text"), own, 10).select("qid", "doc_id", *big("rank"), *six("score"))
+    docs = v.spread(v.table(spark, d, "documents").select("doc_id", "text"))
+    own = block_index.write_block_index(docs, "doc_id", F.col("text"), shared_path(spark, "bigrams"))
+    run, _ = block_index.block_search(v.table(spark, d, "benchmark"), "item_id", F.col("text"), own, 10)
+    return run.select("qid", "doc_id", *big("rank"), *six("score"))
 
 
 @query("q02_stackpath_index", f"""WITH {v.FORMULAS}, {v.STACK_INDEX} SELECT path, df, sum(tf)::BIGINT AS tf, round(idf, 6) AS idf FROM s_p JOIN s_idf USING (path) GROUP BY ALL""")
@@ -382,7 +385,8 @@ def q36(spark, d):
 
 @query("q37_ivf_vector_topk")
 def q37(spark, d):
-    return search.ivf_top_k(v.vector_queries(spark, d), v.vectors(spark, d), 10, probes=12).select("qid", "doc_id", *big("rank"), *six("score"))
+    own = vector_index.write_vector_index(v.vectors(spark, d), shared_path(spark, "vectors"))
+    return vector_index.search_vectors(v.vector_queries(spark, d), own, 10).select("qid", "doc_id", *big("rank"), *six("score"))
 
 
 @query("q38_fuzzy_ratio")

@@ -230,3 +230,70 @@ def test_a_row_is_no_match_of_its_own(spark):
     skeletons = spark.createDataFrame([("x y", "x", 1, 1), ("x y", "y", 1, 1), ("x y z", "x", 2, 3), ("x y z", "y", 2, 3), ("x y z", "z", 2, 3)], "skel string, path string, low long, high long")
     queries = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (2, "q")], "qid long, path string")
     assert [(r.qid, r.skel, r.score) for r in search.token_votes(queries, skeletons).collect()] == [(1, "x y z", 0.7)]
+
+
+def bigram_corpus(n, seed):
+    import random
+
+    rng = random.Random(seed)
+    rare = [f"\\{x}" for x in ("alpha", "beta", "gamma", "delta", "mu", "nu", "xi")]
+    return [(i, None if i % 41 == 3 else "".join(rng.choice("abcde+-^_{}" if rng.random() < 0.9 else rare) for _ in range(rng.choice((0, 1, 2, 20, 60, 300))))) for i in range(n)]
+
+
+def index_paths(c):
+    from lemniscate.functions import paths
+
+    return paths.ngrams(paths.symbols(c))
+
+
+def test_block_index_gives_the_dense_search_and_skips(spark, tmp_path):
+    from lemniscate.operators import block_index
+
+    docs = spark.createDataFrame(bigram_corpus(900, 1), "id long, latex string").repartition(5)
+    queries = spark.createDataFrame(bigram_corpus(40, 2), "fid long, latex string")
+    want = search.bigram_search(queries, "fid", F.col("latex"), index.bigram_index(docs, "id", F.col("latex")), 7)
+    block_index.write_block_index(docs, "id", F.col("latex"), str(tmp_path / "index"), size=8)
+    held = block_index.load_block_index(spark, str(tmp_path / "index"))
+    assert held.documents.count() == docs.where(F.size(index_paths(F.col("latex"))) > 0).count()
+    key = lambda rows: sorted((r.qid, r["rank"], r.doc_id, round(r.score, 8)) for r in rows)
+    for seeds, chunk in ((1, 7), (4, 256)):
+        run, effort = block_index.block_search(queries, "fid", F.col("latex"), held, 7, seeds, chunk)
+        assert key(run.collect()) == key(want.collect())
+    scored = {r.qid: r.scored for r in effort.collect()}
+    assert set(scored) == {r.qid for r in want.select("qid").distinct().collect()} and sum(scored.values()) < 0.6 * 900 * len(scored)
+
+
+def test_block_index_of_nothing(spark, tmp_path):
+    from lemniscate.operators import block_index
+
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "x")], "id long, latex string")
+    held = block_index.write_block_index(docs, "id", F.col("latex"), str(tmp_path / "index"))
+    run, effort = block_index.block_search(docs, "id", F.col("latex"), held, 3)
+    assert run.count() == 0 and effort.count() == 0 and run.columns == ["qid", "doc_id", "score", "rank"]
+
+
+def test_vector_index_on_disk(spark, tmp_path):
+    import numpy as np
+
+    from lemniscate.operators import vector_index
+
+    m = np.random.default_rng(3).normal(size=(1500, 32))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, embedding array<float>").repartition(3)
+    q = v.where("id % 50 = 0").withColumnRenamed("id", "qid")
+    path = str(tmp_path / "index")
+    held = vector_index.write_vector_index(v.where("id < 1000"), path, parts=8, codes=64)
+    vector_index.append_vectors(v.where("id >= 1000"), held, path)
+    held = vector_index.load_vector_index(spark, path)
+    assert held.cells.shape == (1, 32, 32) and held.book.shape == (8, 64, 4)
+    assert held.codes.count() == held.vectors.count() == 1500 and held.codes.select("id").distinct().count() == 1500
+    cell = {r.id: r.cell for r in held.vectors.select("id", "cell").collect()}
+    assert all(cell[i] == vector_index.nearest(m[i : i + 1].astype(np.float32).astype(float), held.cells)[0, 0, 0] for i in range(0, 1500, 7))
+    exact = {(r.qid, r.doc_id): r.score for r in search.vector_top_k(q, v, 10).collect()}
+    found = {(r.qid, r.doc_id): r.score for r in vector_index.search_vectors(q, held, 10, chunk=7).collect()}
+    assert len(exact.keys() & found.keys()) >= 0.9 * len(exact) and len(found) == 300  # from 200 of 1,500 vectors a query
+    assert all(abs(found[x] - exact[x]) < 1e-9 for x in exact.keys() & found.keys())
+    whole = {(r.qid, r.doc_id) for r in vector_index.search_vectors(q, held, 10, refine=1500).collect()}
+    assert whole == set(exact)
+    probed = vector_index.search_vectors(q, held, 10, probes=4).collect()
+    assert all(len({cell[r.doc_id] for r in probed if r.qid == i}) <= 4 for i in range(0, 1500, 50)) and len(probed) > 250
+    assert vector_index.search_vectors(q.limit(0), held, 10).count() == 0
