@@ -28,6 +28,7 @@ in groups of their own.  An empty table has no rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -138,33 +139,30 @@ def signed(docs: DataFrame, levels: np.ndarray, width: int, least: tuple[int, in
     return docs.mapInArrow(sign, KEYS)
 
 
-def sets_of(ids: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, small: int) -> DataFrame:
-    """(id, tokens: the ascending hashes of the node's n-grams) of some nodes."""
+def texts_of(ids: DataFrame, nodes: DataFrame, rows: DataFrame, small: int) -> DataFrame:
+    """(id, blob: the text, compressed) of some nodes."""
     keys = stored(nodes.join(ids, "id", "left_semi").select("id", "key"))
     keys = F.broadcast(keys) if keys.count() <= small else keys
-    texts = rows.join(keys, "key").groupBy("id").agg(F.first("blob").alias("blob"))
+    return stored(rows.join(keys, "key").groupBy("id").agg(F.first("blob").alias("blob")))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
-        for batch in in_slices(batches, "blob", 2 << 20):
-            texts = pa.array([expand.decompress(b) for b in batch.column("blob").to_pylist()], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([h.tobytes() for h in token_sets(texts, width)], pa.binary())], names=["id", "tokens"])
 
-    return stored(texts.select("id", "blob").mapInArrow(hashed, "id long, tokens binary"))
+def sets_of(blobs: list[bytes], width: int) -> list[np.ndarray]:
+    expand = zstandard.ZstdDecompressor()
+    return token_sets(pa.array([expand.decompress(b) for b in blobs], pa.binary()).cast(pa.string()), width)
 
 
-def similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+def similar(pairs: DataFrame, texts: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of nodes that have the similarity."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches, "x", 16 << 20):
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                keep += [k] if within(y, x).sum() >= needed(len(x), len(y), least) else []
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
+        for batch in in_slices(batches, "x", 1 << 20):
+            a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
+            blobs = dict(zip(a, x)) | dict(zip(b, y))
+            sets = dict(zip(blobs, sets_of(list(blobs.values()), width)))
+            alike = [within(sets[i], sets[j]).sum() >= needed(len(sets[i]), len(sets[j]), least) for i, j in zip(a, b)]
+            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("blob").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("blob").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
@@ -175,34 +173,35 @@ def within(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
 
 
 class Group:
-    """Members with their components, sets one after the other, and the union of these."""
+    """Members with their components and texts, and the union of their n-grams; texts become sets when first asked for."""
+
+    def __init__(self, width: int, ids: list[int], roots: list[int], sizes: list[int], blobs: list[bytes], union: bytes):
+        self.width, self.ids, self.roots, self.sizes, self.blobs = width, ids, roots, np.array(sizes, np.int64), blobs
+        self.union = np.frombuffer(union, np.uint32)
 
-    def __init__(self, ids, roots, sizes, tokens, union):
-        self.ids, self.roots, self.sizes = (np.array(x.as_py(), np.int64) for x in (ids, roots, sizes))
-        self.tokens, self.union = (np.frombuffer(x.as_buffer(), np.uint64) for x in (tokens, union))
-        self.starts = np.cumsum(self.sizes) - self.sizes
+    @cached_property
+    def sets(self) -> list[np.ndarray]:
+        return sets_of(self.blobs, self.width)
 
     def links(self, other: Group, least: tuple[int, int]) -> Iterator[tuple[int, int]]:
         """Links between members here and there; one is enough for two components."""
         low = np.maximum(other.sizes.min(), -(-least[0] * self.sizes // least[1]))
-        bound = np.add.reduceat(within(self.tokens, other.union).astype(np.int64), self.starts)
-        same = {r: r for r in {*self.roots.tolist(), *other.roots.tolist()}}
+        fits = (other.sizes.min() * least[0] <= self.sizes * least[1]) & (low <= other.sizes.max())
+        same: dict[int, int] = {}
 
         def top(r: int) -> int:
-            while same[r] != r:
+            while r in same:
                 r = same[r]
             return r
 
-        for i in np.flatnonzero((bound >= needed(self.sizes, low, least)) & (other.sizes.min() * least[0] <= self.sizes * least[1]) & (low <= other.sizes.max())).tolist():
-            n, own = int(self.sizes[i]), self.tokens[self.starts[i] : self.starts[i] + self.sizes[i]]
-            open_ = [j for j in range(len(other.ids)) if top(int(other.roots[j])) != top(int(self.roots[i])) and least[1] * min(n, m := int(other.sizes[j])) >= least[0] * max(n, m)]
-            for j in open_:
-                if top(int(other.roots[j])) == top(int(self.roots[i])):
-                    continue
-                theirs = other.tokens[other.starts[j] : other.starts[j] + other.sizes[j]]
-                if within(theirs, own).sum() >= needed(n, len(theirs), least):
-                    same[top(int(other.roots[j]))] = top(int(self.roots[i]))
-                    yield int(self.ids[i]), int(other.ids[j])
+        for i in np.flatnonzero(fits).tolist():
+            own, n = self.sets[i], int(self.sizes[i])
+            if within(short(own), other.union).sum() < needed(n, int(low[i]), least):
+                continue
+            for j in np.flatnonzero(least[1] * np.minimum(n, other.sizes) >= least[0] * np.maximum(n, other.sizes)).tolist():
+                if top(other.roots[j]) != top(self.roots[i]) and within(other.sets[j], own).sum() >= needed(n, int(other.sizes[j]), least):
+                    same[top(other.roots[j])] = top(self.roots[i])
+                    yield self.ids[i], other.ids[j]
 
 
 def grouped(nodes: DataFrame, members: int, tokens: int) -> DataFrame:
@@ -212,19 +211,22 @@ def grouped(nodes: DataFrame, members: int, tokens: int) -> DataFrame:
     return nodes.join(size, "alike").select("id", "n", "root", F.xxhash64("alike", F.pmod(F.xxhash64("id"), "parts")).alias("gid"))
 
 
-def matrix(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """(gid, ids, roots, sizes, tokens, union) of every group (id, n, root, gid)."""
+def short(h: np.ndarray) -> np.ndarray:
+    """The upper halves of hashes: a union of these is as good a bound and half as large."""
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
+def matrix(groups: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(gid, ids, roots, sizes, blobs, union) of every group (id, n, root, gid)."""
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unions = [np.unique(np.frombuffer(b"".join(blobs), np.uint64)).tobytes() for blobs in batch.column("sets").to_pylist()]
-            joined = [b"".join(blobs) for blobs in batch.column("sets").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("gid", "ids", "roots", "sizes")], pa.array(joined, pa.binary()), pa.array(unions, pa.binary())], names=["gid", "ids", "roots", "sizes", "tokens", "union"])
+            unions = [np.unique(short(np.concatenate(sets_of(blobs, width)))).tobytes() for blobs in batch.column("blobs").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(unions, pa.binary())], names=[*batch.schema.names, "union"])
 
-    each = F.transform("all", lambda x: x["tokens"])
-    rows = groups.join(sets, "id").groupBy("gid").agg(F.collect_list(F.struct("id", "root", "n", "tokens")).alias("all"))
-    rows = rows.select("gid", F.col("all.id").alias("ids"), F.col("all.root").alias("roots"), F.col("all.n").alias("sizes"), each.alias("sets"))
-    return stored(rows.mapInArrow(unite, "gid long, ids array<long>, roots array<long>, sizes array<int>, tokens binary, union binary"))
+    rows = groups.join(texts, "id").groupBy("gid").agg(F.collect_list(F.struct("id", "root", "n", "blob")).alias("all"))
+    rows = rows.select("gid", F.col("all.id").alias("ids"), F.col("all.root").alias("roots"), F.col("all.n").alias("sizes"), F.col("all.blob").alias("blobs"))
+    return stored(rows.mapInArrow(unite, "gid long, ids array<long>, roots array<long>, sizes array<int>, blobs array<binary>, union binary"))
 
 
 def group_pairs(open_: DataFrame, groups: DataFrame, indexed, least: tuple[int, int]) -> DataFrame:
@@ -241,15 +243,15 @@ def group_pairs(open_: DataFrame, groups: DataFrame, indexed, least: tuple[int,
     return sides[0].join(sides[1], "token").where(fits & enough & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def group_links(pairs: DataFrame, groups: DataFrame, least: tuple[int, int]) -> DataFrame:
+def group_links(pairs: DataFrame, groups: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
     """(a, b): links of nodes between each pair of groups."""
-    fields = ("ids", "roots", "sizes", "tokens", "union")
+    fields = ("ids", "roots", "sizes", "blobs", "union")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[int, int]] = []
             for k in range(batch.num_rows):
-                left, right = (Group(*[batch.column(f"{c}_{s}")[k] for c in fields]) for s in "ab")
+                left, right = (Group(width, *[batch.column(f"{c}_{s}")[k].as_py() for c in fields]) for s in "ab")
                 found += left.links(right, least)
             yield pa.RecordBatch.from_arrays([pa.array([x[s] for x in found], pa.int64()) for s in (0, 1)], names=["a", "b"])
 
@@ -259,7 +261,7 @@ def group_links(pairs: DataFrame, groups: DataFrame, least: tuple[int, int]) ->
     return rows.select(*[f"{c}_{s}" for s in "ab" for c in fields]).mapInArrow(compare, "a long, b long")
 
 
-def joined(docs: DataFrame, width: int = 3, least: tuple[int, int] = (90, 100), cells: int = 1 << 22, members: int = 64, tokens: int = 1 << 18, small: int = 250_000) -> DataFrame:
+def joined(docs: DataFrame, width: int = 3, least: tuple[int, int] = (90, 100), cells: int = 1 << 24, members: int = 64, tokens: int = 1 << 18, small: int = 250_000) -> DataFrame:
     """(doc_id, n_shingles, component_id: the least doc_id that links reach) of every row; least is a fraction."""
     rows = docs.select(long_id().alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(signed(rows, frequencies(rows, width, cells), width, least))
@@ -277,8 +279,8 @@ def joined(docs: DataFrame, width: int = 3, least: tuple[int, int] = (90, 100),
     rest = F.least(F.col("n") - F.col("at"), F.col("hub.n") - F.col("hub.at"))  # this n-gram and those after it
     tried = met.where((F.col("id") != F.col("hub.id")) & sizes_fit & (rest >= least_overlap(F.col("n"), F.col("hub.n"))))
     tried = stored(tried.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct())
-    met_sets = sets_of(tried.select(F.explode(F.array("a", "b")).alias("id")).distinct(), nodes, rows, width, small)
-    links = stored(similar(tried, met_sets, least))
+    texts = texts_of(tried.select(F.explode(F.array("a", "b")).alias("id")).distinct(), nodes, rows, small)
+    links = stored(similar(tried, texts, width, least))
     reached = stored(components(links))
 
     named = met.where("many > 2").join(reached, F.col("id") == F.col("node"), "left").select("token", "id", "n", "at", F.coalesce("root", "id").alias("root"), F.col("node").isNotNull().alias("linked"))
@@ -289,7 +291,7 @@ def joined(docs: DataFrame, width: int = 3, least: tuple[int, int] = (90, 100),
     groups = stored(grouped(members_of, members, tokens))
     meeting = stored(group_pairs(open_, groups, indexed, least))
     groups = stored(groups.join(meeting.select(F.explode(F.array("a", "b")).alias("gid")).distinct(), "gid", "left_semi"))
-    more = group_links(meeting, matrix(groups, sets_of(groups.select("id"), nodes, rows, width, small)), least)
+    more = group_links(meeting, matrix(groups, texts_of(groups.select("id"), nodes, rows, small), width), width, least)
     reached = stored(components(stored(links.union(more))))
 
     classes = nodes.select("id", "key", "first").join(reached, F.col("id") == F.col("node"), "left").select("key", "first", F.coalesce("root", "id").alias("root"))

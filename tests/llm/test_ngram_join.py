@@ -108,9 +108,14 @@ def test_token_sets():
 
 
 def test_the_bound_opens_few_groups():
-    def group(first, *sets):
-        sets = [np.sort(np.array(s, np.uint64)) for s in sets]
-        return ngram_join.Group(*[pa.scalar(x) for x in (list(range(first, first + len(sets))), list(range(first, first + len(sets))), [len(s) for s in sets], b"".join(s.tobytes() for s in sets), np.unique(np.concatenate(sets)).tobytes())])
+    import zstandard
 
-    a, b = group(0, range(100), range(1000, 1100)), group(7, range(5, 105), range(50, 150))
+    def group(first, *texts):
+        sets, ids = ngram_join.token_sets(pa.array(texts), 1), list(range(first, first + len(texts)))
+        union = np.unique(ngram_join.short(np.concatenate(sets))).tobytes()
+        return ngram_join.Group(1, ids, ids, [len(x) for x in sets], [zstandard.compress(t.encode()) for t in texts], union)
+
+    say = lambda a, b: " ".join(map(str, range(a, b)))
+    a, b, c = group(0, say(0, 100), say(1000, 1100)), group(7, say(5, 105), say(50, 150)), group(9, say(20, 120))
     assert list(a.links(b, (90, 100))) == [(0, 7)] and not list(a.links(b, (95, 100)))
+    assert not list(a.links(c, (90, 100))) and "sets" not in c.__dict__  # bounded away, not opened
