@@ -87,7 +87,7 @@ def frequencies(docs: DataFrame, width: int, cells: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, some = np.zeros(cells, np.uint32), False
-        for batch in in_slices(batches, "text", 8 << 20):
+        for batch in in_slices(batches, "text", 4 << 20):
             for h in token_sets(batch.column("text"), width):
                 np.add.at(n, cell_of(h, cells), 1)
                 some = True
@@ -96,16 +96,24 @@ def frequencies(docs: DataFrame, width: int, cells: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([squeeze.compress(x.tobytes()) for x in np.split(n, SLICES)])], names=["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        expand = zstandard.ZstdDecompressor()
+        """Rows come slice by slice, so one slice's sums are held at a time."""
+        expand, own, total = zstandard.ZstdDecompressor(), None, np.zeros(cells // SLICES, np.uint64)
+
+        def level() -> pa.RecordBatch:
+            levels = np.minimum(255, 8 * np.log2(1.0 + total)).astype(np.uint8).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([levels], pa.binary())], names=["slice", "levels"])
+
         for batch in batches:
             for k, blob in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-                n = np.frombuffer(expand.decompress(blob), np.uint32)
-                total[k] = total.get(k, 0) + n.astype(np.uint64)
-        levels = [np.minimum(255, 8 * np.log2(1.0 + n)).astype(np.uint8).tobytes() for n in total.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(levels, pa.binary())], names=["slice", "levels"])
-
-    found = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(add, "slice int, levels binary").toArrow()
+                if k != own:
+                    if own is not None:
+                        yield level()
+                    own, total = k, np.zeros_like(total)
+                total += np.frombuffer(expand.decompress(blob), np.uint32)
+        if own is not None:
+            yield level()
+
+    found = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, levels binary").toArrow()
     out = np.zeros((SLICES, cells // SLICES), np.uint8)
     for k, levels in zip(found.column("slice").to_pylist(), found.column("levels").to_pylist()):
         out[k] = np.frombuffer(levels, np.uint8)
@@ -122,8 +130,8 @@ def signed(docs: DataFrame, levels: np.ndarray, width: int, least: tuple[int, in
     shared, cells = docs.sparkSession.sparkContext.broadcast(levels), len(levels)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in in_slices(batches, "text", 8 << 20):
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in in_slices(batches, "text", 4 << 20):
             keys, sizes, alike, firsts = [], [], [], []
             for h in token_sets(batch.column("text"), width):
                 n = len(h)
@@ -175,7 +183,7 @@ def within(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
 class Group:
     """Members with their components and texts, and the union of their n-grams; texts become sets when first asked for."""
 
-    def __init__(self, width: int, ids: list[int], roots: list[int], sizes: list[int], blobs: list[bytes], union: bytes):
+    def __init__(self, width: int, ids: list[int], roots: list[int], sizes: list[int], blobs: list[bytes], union: bytes = b""):
         self.width, self.ids, self.roots, self.sizes, self.blobs = width, ids, roots, np.array(sizes, np.int64), blobs
         self.union = np.frombuffer(union, np.uint32)
 
@@ -245,20 +253,20 @@ def group_pairs(open_: DataFrame, groups: DataFrame, indexed, least: tuple[int,
 
 def group_links(pairs: DataFrame, groups: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
     """(a, b): links of nodes between each pair of groups."""
-    fields = ("ids", "roots", "sizes", "blobs", "union")
+    fields = {"a": ("ids", "roots", "sizes", "blobs"), "b": ("ids", "roots", "sizes", "blobs", "union")}  # here, there
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[int, int]] = []
             for k in range(batch.num_rows):
-                left, right = (Group(width, *[batch.column(f"{c}_{s}")[k].as_py() for c in fields]) for s in "ab")
+                left, right = (Group(width, *[batch.column(f"{c}_{s}")[k].as_py() for c in fields[s]]) for s in "ab")
                 found += left.links(right, least)
             yield pa.RecordBatch.from_arrays([pa.array([x[s] for x in found], pa.int64()) for s in (0, 1)], names=["a", "b"])
 
     rows = pairs
     for s in "ab":
-        rows = rows.join(groups.select(F.col("gid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in fields]), s)
-    return rows.select(*[f"{c}_{s}" for s in "ab" for c in fields]).mapInArrow(compare, "a long, b long")
+        rows = rows.join(groups.select(F.col("gid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in fields[s]]), s)
+    return rows.select(*[f"{c}_{s}" for s in "ab" for c in fields[s]]).mapInArrow(compare, "a long, b long")
 
 
 def joined(docs: DataFrame, width: int = 3, least: tuple[int, int] = (90, 100), cells: int = 1 << 24, members: int = 64, tokens: int = 1 << 18, small: int = 250_000) -> DataFrame:
