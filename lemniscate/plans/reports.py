@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.normalize import clean, sql, text_hash
-from ..operators import audit, metrics, ranking, search, vector_index
+from ..operators import audit, graph, metrics, ranking, search, vector_index
 from ..sources import records
 from ..sources.shared import shared_path
 from . import views as v
@@ -311,3 +311,26 @@ def q83(spark, d):
 def q84(spark, d):
     rows = metrics.set_family(*vector_judged(spark, d)).withColumn("bin", F.least(F.floor(F.col("recall") * 4), F.lit(3)).cast("int"))
     return rows.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("recall"), 6).alias("recall"))
+
+
+def prior_sql(rounds: int) -> str:
+    """Formulas (parts) and threads (orders) point at each other; ids are even for formulas, odd for threads."""
+    steps = "".join(f""",
+    d{k} AS (SELECT coalesce(sum(rank), 0) AS mass FROM r{k} WHERE n_out = 0),
+    r{k + 1} AS (SELECT r.id, r.n_out, (0.15 + 0.85 * (SELECT mass FROM d{k})) / (SELECT n FROM c) + 0.85 * coalesce(g.gift, 0) AS rank
+        FROM r{k} r LEFT JOIN (SELECT dst, sum(rank / n_out) AS gift FROM e JOIN r{k} ON id = src GROUP BY dst) g ON g.dst = r.id)""" for k in range(rounds))
+    return f"""WITH p AS (SELECT DISTINCT l_partkey * 2 AS f, l_orderkey * 2 + 1 AS t FROM lineitem), e AS (SELECT f AS src, t AS dst FROM p UNION ALL SELECT t, f FROM p WHERE t % 8 <> 1),
+    v AS (SELECT p_partkey * 2 AS id FROM part UNION ALL SELECT o_orderkey * 2 + 1 FROM orders), c AS (SELECT count(*)::DOUBLE AS n FROM v), o AS (SELECT src, count(*) AS n_out FROM e GROUP BY src),
+    r0 AS (SELECT id, coalesce(n_out, 0) AS n_out, 1 / (SELECT n FROM c) AS rank FROM v LEFT JOIN o ON src = id){steps}
+    SELECT id // 2 AS fid, round(rank * (SELECT n FROM c), 6) AS prior FROM r{rounds} WHERE id % 2 = 0"""
+
+
+@query("q85_graph_prior", prior_sql(5))
+def q85(spark, d):
+    """Five rounds of the prior of every formula; threads of every fourth order key are read but quote nothing, so they dangle."""
+    pairs = v.table(spark, d, "lineitem").select((F.col("l_partkey") * 2).alias("f"), (F.col("l_orderkey") * 2 + 1).alias("t")).distinct()
+    edges = pairs.select(F.col("f").alias("src"), F.col("t").alias("dst")).union(pairs.where("t % 8 <> 1").select("t", "f"))
+    nodes = v.table(spark, d, "part").select((F.col("p_partkey") * 2).alias("id")).union(v.table(spark, d, "orders").select(F.col("o_orderkey") * 2 + 1))
+    n = nodes.count()
+    ranks = graph.page_rank(nodes, edges, rounds=5, tolerance=0.0)
+    return ranks.where("id % 2 = 0").select(F.call_function("div", F.col("id"), F.lit(2)).alias("fid"), F.round(F.col("rank") * n, 6).alias("prior"))

@@ -297,3 +297,25 @@ def test_vector_index_on_disk(spark, tmp_path):
     probed = vector_index.search_vectors(q, held, 10, probes=4).collect()
     assert all(len({cell[r.doc_id] for r in probed if r.qid == i}) <= 4 for i in range(0, 1500, 50)) and len(probed) > 250
     assert vector_index.search_vectors(q.limit(0), held, 10).count() == 0
+
+
+def test_page_rank(spark):
+    import numpy as np
+
+    from lemniscate.operators import graph
+
+    rng = np.random.default_rng(4)
+    n, pairs = 60, {(int(a), int(b)) for a, b in zip(rng.integers(0, 45, 200), rng.integers(0, 60, 200))} | {(a, 7) for a in range(40)}
+    m, out = np.zeros((n, n)), np.zeros(n)
+    for a, b in pairs:
+        m[b, a], out[a] = 1, out[a] + 1
+    want = np.full(n, 1 / n)
+    for _ in range(300):
+        want = (0.15 + 0.85 * want[out == 0].sum()) / n + 0.85 * m @ (want / np.maximum(out, 1))
+    nodes = spark.createDataFrame([(i, "x") for i in range(n)] + [(3, "y"), (None, "z")], "id long, rank string")
+    edges = spark.createDataFrame([*pairs, *list(pairs)[:9], (1, 999), (999, 1), (None, 2)], "src long, dst long")
+    got = {r.id: r.rank for r in graph.page_rank(nodes, edges, tolerance=1e-7).collect()}
+    assert sorted(got) == list(range(n)) and max(abs(got[i] - want[i]) for i in range(n)) < 1e-6 and abs(sum(got.values()) - 1) < 1e-9
+    assert graph.page_rank(nodes.limit(0), edges).count() == 0
+    alone = graph.page_rank(nodes.where("id < 4"), edges.limit(0)).collect()
+    assert {r.id: round(r.rank, 9) for r in alone} == {i: 0.25 for i in range(4)}
