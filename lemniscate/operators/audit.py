@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved
 from .search import containment, top_k
 
 
@@ -81,9 +82,33 @@ def similarity(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
-def length_bands(column: Column, least: float) -> Column:
-    """Bands of text length such that texts of ratio above `least` share a band with a neighbour's."""
-    return F.floor(F.log(F.greatest(F.length(column), F.lit(1))) / F.log(F.lit((2 - least) / least)))
+def letters(texts: DataFrame) -> DataFrame:
+    """(text, c, k): one row for the k-th time that a distinct text holds the letter c."""
+    each = texts.select("text").where("text IS NOT NULL").distinct().select("text", F.explode(F.split("text", "")).alias("c")).where("c <> ''")
+    return each.groupBy("text", "c").agg(F.count("*").alias("n")).select("text", "c", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
+
+
+def fuzzy_candidates(queries: DataFrame, texts: DataFrame, least: float = 0.85) -> DataFrame:
+    """(q, t): pairs of distinct texts whose letters allow a ratio above `least`, for texts of both tables (text).
+
+    Matching blocks can't hold more of a letter than both texts do, so the ratio is at most twice the common letters, counted
+    with repeats, by both lengths.  As rows (letter, k-th time) that is an overlap of sets, for which a prefix filter is
+    exact: texts a ratio above r apart share more than n * r / (2 - r) letters of n, so they meet within the
+    n - that + 1 rarest of each.  Those who meet are counted in full; only pairs that pass go on to be compared.
+    """
+    own = letters(queries.select("text").union(texts.select("text")))
+    rare = letters(texts).groupBy("c", "k").agg(F.count("*").alias("df"))
+    order = W.partitionBy("text").orderBy(F.coalesce("df", F.lit(0)), "c", "k")
+    placed = own.join(rare, ["c", "k"], "left").withColumns({"at": F.row_number().over(order), "n": F.char_length("text")})
+    prefix = saved(placed.where(F.col("at") <= F.col("n") - F.floor(F.col("n") * (least / (2 - least)) - 1e-9) + 1).select("text", "c", "k", "n"))
+    q = prefix.join(queries.select("text").distinct(), "text", "left_semi").select(F.col("text").alias("q"), "c", "k", F.col("n").alias("n_q"))
+    t = prefix.join(texts.select("text").distinct(), "text", "left_semi").select(F.col("text").alias("t"), "c", "k", F.col("n").alias("n_t"))
+    met = q.join(t, ["c", "k"]).where(2 * F.least("n_q", "n_t") > least * (F.col("n_q") + F.col("n_t")) - 1e-9).select("q", "t").distinct()
+    sets = saved(own.groupBy("text").agg(F.collect_list(F.concat("c", F.col("k").cast("string"))).alias("own")))
+    both = met.join(sets.select(F.col("text").alias("q"), F.col("own").alias("x")), "q").join(sets.select(F.col("text").alias("t"), F.col("own").alias("y")), "t")
+    near = both.where(2 * F.size(F.array_intersect("x", "y")) > least * (F.size("x") + F.size("y")) - 1e-9).select("q", "t")
+    empty = queries.where("text = ''").select(F.col("text").alias("q")).distinct().join(texts.where("text = ''").select(F.col("text").alias("t")).distinct(), F.col("q") == F.col("t"))
+    return near.union(empty)
 
 
 def with_holders(texts: DataFrame) -> DataFrame:
@@ -100,14 +125,14 @@ def only_own() -> Column:
 def fuzzy_best(queries: DataFrame, texts: DataFrame, least: float = 0.85) -> DataFrame:
     """(qid, text, score): the most similar text above `least`, the least text on ties.
 
-    Where texts have an id, the query's own row is no match, but other rows of the same text are.  A ratio above r needs
-    lengths within a factor (2 - r) / r, so texts need to meet only within their own length band and its neighbours, which
-    loses none.
+    Where texts have an id, the query's own row is no match, but other rows of the same text are.  Only the pairs of
+    fuzzy_candidates are compared, which loses none.
     """
-    q = queries.select("qid", F.col("text").alias("q"), F.explode(F.array(*[length_bands(F.col("text"), least) + d for d in (-1, 0, 1)])).alias("band"))
-    t = with_holders(texts).withColumnRenamed("text", "t").withColumn("band", length_bands(F.col("t"), least))
-    scored = q.join(t, "band").where(~only_own()).select("qid", F.col("t").alias("doc_id"), similarity(F.col("q"), F.col("t")).alias("score"))
-    return top_k(scored.where(F.col("score") > least), 1).select("qid", F.col("doc_id").alias("text"), "score")
+    t = with_holders(texts).withColumnRenamed("text", "t")
+    pairs = saved(fuzzy_candidates(queries, texts, least))
+    scored = pairs.select("q", "t", similarity(F.col("q"), F.col("t")).alias("score")).where(F.col("score") > least)
+    found = queries.select("qid", F.col("text").alias("q")).join(scored, "q").join(t, "t").where(~only_own())
+    return top_k(found.select("qid", F.col("t").alias("doc_id"), "score"), 1).select("qid", F.col("doc_id").alias("text"), "score")
 
 
 def first_match(queries: DataFrame, corpus: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -127,9 +152,9 @@ def match_waterfall(queries: DataFrame, texts: DataFrame, tokens, least: float =
     tokens(column) gives a text's distinct tokens.  Where texts have an id, the query's own row is no match.
     """
     t = with_holders(texts)
-    exact = queries.join(t, "text").where(~only_own()).select("qid", "text", F.lit(1.0).alias("score"), F.lit("exact").alias("strategy"))
+    exact = saved(queries.join(t, "text").where(~only_own()).select("qid", "text", F.lit(1.0).alias("score"), F.lit("exact").alias("strategy")))
     rest = queries.join(exact.select("qid"), "qid", "left_anti")
-    fuzzy = fuzzy_best(rest, texts, least).withColumn("strategy", F.lit("fuzzy"))
+    fuzzy = saved(fuzzy_best(rest, texts, least).withColumn("strategy", F.lit("fuzzy")))
     rest = rest.join(fuzzy.select("qid"), "qid", "left_anti")
     own = rest.select("qid", F.explode(tokens(F.col("text"))).alias("path"))
     hits = containment(own, t.select(F.col("text").alias("doc_id"), F.explode(tokens(F.col("text"))).alias("path")))

@@ -319,3 +319,32 @@ def test_page_rank(spark):
     assert graph.page_rank(nodes.limit(0), edges).count() == 0
     alone = graph.page_rank(nodes.where("id < 4"), edges.limit(0)).collect()
     assert {r.id: round(r.rank, 9) for r in alone} == {i: 0.25 for i in range(4)}
+
+
+def test_fuzzy_candidates_lose_no_match(spark):
+    import difflib
+    import random
+
+    rng = random.Random(6)
+    say = lambda n: "".join(rng.choice("aabcdéxyz+^_{}\\0 1") for _ in range(n))
+    texts = [say(rng.choice((1, 3, 7, 12, 20, 40))) for _ in range(120)] + ["", "", None, "x" * 300]
+    for t in list(texts[:60]):
+        own = list(t)
+        for _ in range(rng.randint(1, 3)):
+            own[rng.randrange(len(own))] = rng.choice("abé+")
+        texts.append("".join(own))
+    t = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    q = t.where("id % 3 = 0").withColumnRenamed("id", "qid")
+    got = {r.qid: (r.text, round(r.score, 9)) for r in audit.fuzzy_best(q, t).collect()}
+    want, near = {}, set()
+    for i, x in enumerate(texts):
+        if i % 3 or x is None:
+            continue
+        found = [(-round(difflib.SequenceMatcher(None, x, y).ratio(), 9), y) for j, y in enumerate(texts) if y is not None and j != i]
+        found = [(s, y) for s, y in found if -s > 0.85]
+        near |= {(x, y) for _, y in found}
+        if found:
+            want[i] = (min(found)[1], -min(found)[0])
+    assert got == want and len(want) > 20
+    pairs = {(r.q, r.t) for r in audit.fuzzy_candidates(q, t).collect()}
+    assert near <= pairs and len(pairs) < 0.1 * len(texts) * q.count()
