@@ -1,24 +1,29 @@
 """Near copies: all pairs of texts whose sets of five-word shingles have a Jaccard similarity of at least `least`, connected.
 
-Two sets that are this similar share a shingle among the first n - ceil(least * n) + 1 of each, n being its size, whatever
-the order of all shingles (prefix filter), so no similar pair is lost.  The order puts shingles of frequent hash cells
-last, so that common passages seldom bring texts together; the cells are counted on a sample, which changes the order
-only, never the result.
-
-Equal sets are one node.  A set's fingerprint has a bit for each hash cell, set where an odd number of its shingles fall.
-Two sets that differ in d shingles have fingerprints that differ in d bits at most, and similar ones of sizes m and n differ
-in (m + n) * (1 - least) / (1 + least) shingles at most: that is the radius, and again no similar pair is lost.  Blocks of
-one prefix shingle are compared as the SimHash operator's are, in bit planes with carry-save counters, abandoned words and
-sub-blocks.  Only pairs within the radius are verified, on the shingles themselves, in three rounds: each text with the
-least one of its blocks; then each with the nearest text there that isn't yet in its component; then all pairs that are left
-between different components.  So a large group of copies costs a few pairs for each member, not one for each two.
+Order all shingles from rare to frequent and call n - ceil(least * n) + 1 first ones of a set of n its prefix, and those of
+them with at most n - ceil(2 * least * n / (1 + least)) before them its index prefix.  The first shingle that two similar
+sets have in common stands in the prefix of the larger and in the index prefix of the smaller one, and neither has fewer
+shingles from there on than the two must share (prefix and position filters).  So a set only meets sets of its size or less
+at shingles of their index prefixes, and a row (set, shingle) that no such set can reach is dropped before any comparison: of
+pages made from one template only those that may be near copies stay, however many there are.  Frequencies are counted
+over all documents, in hash cells; a cell that several shingles share changes the order, never the result.
+
+Equal sets are one node, known by 128 bits of hash.  A set's fingerprint has a bit for each hash cell, set where an odd
+number of its shingles fall.  Two sets that differ in d shingles have fingerprints that differ in d bits at most, and similar
+ones of sizes m and n differ in (m + n) * (1 - least) / (1 + least) shingles at most: that is the radius, and again no similar
+pair is lost.  Blocks of one shingle are compared as the SimHash operator's are, in bit planes with carry-save counters,
+abandoned words and sub-blocks.  Only pairs within the radius are verified, on the shingles themselves, in three rounds: each
+text with one set, the hub, of each of its blocks; then each with the nearest text there that isn't yet in its component; then
+all pairs that are left between different components.  So a large group of copies costs a few pairs for each member, not one
+for each two.
 
 Fingerprints have `CELLS_A_SHINGLE` bits a shingle and more, in powers of two from 512 to 16,384; beyond about 8,000
 distinct shingles the filter is less sharp, which costs comparisons and changes no result.
 
-Nulls and ties: a text of fewer words has one shingle of all its words, a null or empty one is a copy of every other such
-text; words are split at ASCII white space, with A-Z lower-cased.  Equal sets are recognised by 64 bits of hash.  Ids that
-are no whole numbers count as null; rows that share an id are told apart by their text's hash.
+Nulls and the like: a text of fewer words has one shingle of all its words, a null or empty one is a copy of every other such
+text; words are split at ASCII white space, with A-Z lower-cased.  Ids that are no whole numbers count as null; rows that share
+an id are told apart by their text's hash, and repeated rows stay rows of their own.  Very long texts are sets like any other.
+Of ties the hub of the least node counts.  An empty table has no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,15 +35,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import as_bytes, in_slices, long_id, stored
-from .simhash import Blocks, components, in_sub_blocks
+from .ngram_join import cell_of, frequencies, texts_of, token_sets
+from .simhash import Blocks, components
 
-#: Cells in which shingles are counted for their order, and the share of the documents that are counted.
-CELLS, SAMPLE = 1 << 18, 8
+#: Cells in which shingles are counted for their order.
+CELLS = 1 << 24
 #: Bits of fingerprints for each shingle, the smallest size, and how often it is doubled.
 CELLS_A_SHINGLE, SMALLEST, DOUBLED = 4, 512, 5
 
@@ -49,13 +54,6 @@ def shingles(text: bytes, width: int = 5) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
 
 
-def hashed(text: bytes, width: int) -> np.ndarray:
-    """The distinct XXH64 of a text's shingles, ascending."""
-    own = shingles(text, width)
-    h = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own)))
-    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
-
-
 def size_class(n: int) -> int:
     """Fingerprints of n shingles have SMALLEST << class bits."""
     return min(DOUBLED, max(0, (CELLS_A_SHINGLE * n - 1).bit_length() - SMALLEST.bit_length() + 1))
@@ -76,57 +74,48 @@ def folded(blobs: list[bytes], bits: int) -> np.ndarray:
     return out
 
 
-def cell_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """How many shingles of a sample of the documents fall into each cell."""
+def needed(n: Column, m: Column, least: float) -> Column:
+    """How many shingles sets of n and m must share."""
+    return F.ceil((n + m) * F.lit(least / (1 + least)) - 1e-6)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(CELLS, np.int64)
-        for batch in in_slices(batches, "text", 8 << 20):
-            for text in as_bytes(batch.column("text")):
-                np.add.at(n, (hashed(text, width) % np.uint64(CELLS)).astype(np.int64), 1)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["cell", "n"])
 
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
-    found = sample.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CELLS, np.int64)
-    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return out
+def indexed(least: float) -> Column:
+    """Does a row (n, at: the shingles before this one) stand in the index prefix?"""
+    return F.col("n") - F.col("at") >= needed(F.col("n"), F.col("n"), least)
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, width: int, least: float) -> DataFrame:
-    """(doc_id, row: the text's hash, node: hash of the set, n: its size, fp: its fingerprint, own and lower: the size classes at
+def prefixes(docs: DataFrame, levels: np.ndarray, width: int, least: float) -> DataFrame:
+    """(doc_id, row: the text's hash, key: hash of the set, n: its size, fp: its fingerprint, own and lower: the size classes at
     which it is compared, prefix: its first shingles, blob: the words, compressed) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-    names = ["doc_id", "row", "node", "n", "fp", "own", "lower", "prefix", "blob"]
+    shared, cells = docs.sparkSession.sparkContext.broadcast(levels), len(levels)
+    names = ["doc_id", "row", "key", "n", "fp", "own", "lower", "prefix", "blob"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in in_slices(batches, "text", 8 << 20):
-            nodes, sizes, prints, firsts, blobs = [], [], [], [], []
-            for text in as_bytes(batch.column("text")):
-                h = hashed(text, width)
-                nodes.append(xxhash.xxh64_intdigest(h.tobytes()))
+        for batch in in_slices(batches, "text", 4 << 20):
+            keys, sizes, prints, firsts = [], [], [], []
+            for h in token_sets(batch.column("text"), width):
+                keys.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(len(h))
                 prints.append(fingerprint(h, SMALLEST << size_class(len(h))))
-                order = np.argsort(shared.value[(h % np.uint64(CELLS)).astype(np.int64)], kind="stable")
+                order = np.argsort(shared.value[cell_of(h, cells)], kind="stable")
                 firsts.append(h[order[: len(h) - ceil(least * len(h) - 1e-9) + 1]].view(np.int64))
-                blobs.append(squeeze.compress(text))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prints, pa.binary()), pa.array(map(size_class, sizes), pa.int32()), pa.array([size_class(ceil(least * n - 1e-9)) for n in sizes], pa.int32()), lists, pa.array(blobs, pa.binary())], names=names)
+            blobs = [squeeze.compress(text) for text in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.binary()), pa.array(map(size_class, sizes), pa.int32()), pa.array([size_class(ceil(least * n - 1e-9)) for n in sizes], pa.int32()), lists, pa.array(blobs, pa.binary())], names=names)
 
-    return docs.mapInArrow(sign, "doc_id long, row long, node long, n int, fp binary, own int, lower int, prefix array<long>, blob binary")
+    return docs.mapInArrow(sign, "doc_id long, row long, key binary, n int, fp binary, own int, lower int, prefix array<long>, blob binary")
 
 
-def small_pairs(rows: DataFrame, prints: DataFrame, least: float, small: int) -> DataFrame:
-    """candidates() of blocks of fewer than `small` nodes: their pairs, a few for each row, each tested once however many
-    blocks it stands in."""
+def small_pairs(asking: DataFrame, asked: DataFrame, prints: DataFrame, least: float, small: int) -> DataFrame:
+    """candidates() of blocks in which fewer than `small` nodes ask: their pairs, a few for each row, each tested once however
+    many blocks it stands in."""
     by = ["size_class", "shingle"]
-    few = rows.groupBy(*by).count().where(F.col("count").between(2, small - 1)).select(*by)
-    rows = rows.join(few, by, "left_semi")
-    a, b = (rows.select(*by, *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root")]) for s in "ab")
-    alike = F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b") - 1e-9
-    pairs = a.join(b, by).where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & alike).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    few = asking.groupBy(*by).count().where(F.col("count") < small).select(*by)
+    a, b = (rows.select(*by, *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "at", "root")]) for s, rows in (("a", asking.join(few, by, "left_semi")), ("b", asked)))
+    alike = (F.col("n_b") <= F.col("n_a")) & (F.col("n_b") >= F.lit(least) * F.col("n_a") - 1e-9)
+    reach = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= needed(F.col("n_a"), F.col("n_b"), least)
+    pairs = a.join(b, by).where((F.col("root_a") != F.col("root_b")) & alike & reach).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     for s in "ab":
         pairs = pairs.join(prints.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("fp").alias(f"fp_{s}")), s)
     slack = (1 - least) / (1 + least)
@@ -143,42 +132,62 @@ def small_pairs(rows: DataFrame, prints: DataFrame, least: float, small: int) ->
     return pairs.select("a", "b", "n_a", "n_b", "fp_a", "fp_b").mapInArrow(near, "a long, b long")
 
 
+def dealt(asking: DataFrame, asked: DataFrame, most: Column, small: int) -> DataFrame:
+    """Rows of blocks in which `small` and more ask, those asked with `right`, in sub-blocks (p, q): part p of those asked meets part q
+    of those that ask, each of about `most` rows."""
+    by = ["size_class", "shingle"]
+    size = asking.groupBy(*by).agg(F.count("*").alias("asks")).where(F.col("asks") >= small)
+    size = size.join(asked.groupBy(*by).agg(F.count("*").alias("answers")), by)
+    size = size.select(*by, F.ceil(F.col("answers") / most).cast("int").alias("ps"), F.ceil(F.col("asks") / most).cast("int").alias("qs"))
+    sides = []
+    for rows, own, other, right in ((asking, "q", "p", False), (asked, "p", "q", True)):
+        cut = F.pmod(F.xxhash64("node"), F.col(f"{own}s")).cast("int").alias(own)
+        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other)
+        sides.append(rows.join(size, by).select(*rows.columns, cut, every).withColumn("right", F.lit(right)))
+    return sides[0].unionByName(sides[1])
+
+
 def candidates(rows: DataFrame, prints: DataFrame, least: float, nearest: bool, block_rows: int = 4096, small: int = 8) -> DataFrame:
     """(a, b), a < b: pairs of nodes of different roots under one shingle whose fingerprints allow the similarity.
 
-    rows: (shingle, node, n, root, own, lower); prints: (node, n, fp), which only rows of larger blocks and pairs of smaller
+    rows: (shingle, at, node, n, root, own, lower); prints: (node, n, fp), which only rows of larger blocks and pairs of smaller
     ones are joined to.  With `nearest`, a node brings its nearest partner in each block only, but
-    for blocks of fewer than `small` nodes.  Sets of two fingerprint sizes meet at the smaller one, so a set also stands
-    among those that are a class smaller if it may have a partner there.
+    for blocks of fewer than `small` nodes.  A set asks those of its index prefix that are no larger.  Sets of two
+    fingerprint sizes meet at the smaller one, so a set also asks those that are a class smaller if it may have a partner there.
     """
-    classed = rows.withColumn("size_class", F.explode(F.array_distinct(F.array("own", "lower")))).drop("own", "lower")
+    asking = rows.withColumn("size_class", F.explode(F.array_distinct(F.array("own", "lower")))).drop("own", "lower")
+    asked = rows.where(indexed(least)).withColumn("size_class", F.col("own")).drop("own", "lower")
     most = F.greatest(F.lit(float(min(64, block_rows))), block_rows / F.pow(F.lit(2.0), F.col("size_class")))
     by = ["size_class", "shingle", "p", "q"]
-    dealt = in_sub_blocks(classed, by[:2], "node", F.ceil(F.col("count") / most), small)
-    dealt = dealt.join(prints.select("node", "fp"), "node").repartition(*by).sortWithinPartitions(*by)
+    blocks = dealt(asking, asked, most, small).join(prints.select("node", "fp"), "node").repartition(*by).sortWithinPartitions(*by)
     slack = (1 - least) / (1 + least)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["size_class", "shingle", "p", "q", "right", "node", "n", "root"]
+        names = ["size_class", "shingle", "p", "q", "right", "node", "n", "at", "root"]
         kind = np.dtype([(c, bool if c == "right" else np.int64) for c in names])
 
         def found(table: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
             key = table[by]
-            starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
-            n, fp = table["n"], folded(blobs, SMALLEST << int(table["size_class"][0]))
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            block, node, n, root = np.cumsum(new), table["node"], table["n"], table["root"]
+            rest, fp = n - table["at"], folded(blobs, SMALLEST << int(table["size_class"][0]))
             parts = [np.zeros((3, 0), np.int64)]
-            for i, j in Blocks(fp, starts, table["p"] == table["q"], table["right"]).near(np.floor(n * (1 + 1 / least) * slack + 1e-6).astype(np.int64)):
+            blocks = Blocks(fp, np.flatnonzero(new), np.zeros(len(n), bool), table["right"]) if table["right"].any() else None
+            for i, j in blocks.near(np.floor(2 * n * slack + 1e-6).astype(np.int64)) if blocks else ():
                 far = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64)
-                ok = (far <= (n[i] + n[j]) * slack + 1e-6) & (table["root"][i] != table["root"][j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9)
+                both = n[i] + n[j]
+                ok = (far <= both * slack + 1e-6) & (root[i] != root[j]) & (n[j] <= n[i]) & (n[j] >= least * n[i] - 1e-9)
+                ok &= np.minimum(rest[i], rest[j]) >= np.ceil(both * (least / (1 + least)) - 1e-6)
                 parts.append(np.stack([i[ok], j[ok], far[ok]]))
             i, j, far = np.concatenate(parts, axis=1)
+            a, b = node[i], node[j]
             if nearest:
-                i, j, far = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([far, far])
-                order = np.lexsort((table["node"][j], far, i))
-                i, j = i[order], j[order]
-                first = np.concatenate([[True], i[1:] != i[:-1]])[: len(i)]
-                i, j = i[first], j[first]
-            a, b = table["node"][i], table["node"][j]
+                where, far = np.tile(block[i], 2), np.tile(far, 2)
+                a, b = np.concatenate([a, b]), np.concatenate([b, a])
+                order = np.lexsort((b, far, a, where))
+                a, b, where = a[order], b[order], where[order]
+                first = np.concatenate([[True], (a[1:] != a[:-1]) | (where[1:] != where[:-1])])[: len(a)]
+                a, b = a[first], b[first]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         held, blobs = np.zeros(0, kind), []
@@ -203,11 +212,11 @@ def candidates(rows: DataFrame, prints: DataFrame, least: float, nearest: bool,
         if len(held):
             yield found(held, blobs)
 
-    return dealt.select("size_class", "shingle", "p", "q", "right", "node", "n", "root", "fp").mapInArrow(compare, "a long, b long").union(small_pairs(classed, prints, least, small)).distinct()
+    return blocks.select(*by, "right", "node", "n", "at", "root", "fp").mapInArrow(compare, "a long, b long").union(small_pairs(asking, asked, prints, least, small)).distinct()
 
 
 def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar; texts: (node, blob)."""
+    """The pairs (a, b) whose texts are similar; texts: (id, blob)."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
@@ -222,38 +231,49 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = stored(texts.join(needed, "node", "left_semi").groupBy("node").agg(F.first("blob").alias("blob")))
-    rows = pairs.join(texts.select(F.col("node").alias("b"), F.col("blob").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("blob").alias("x")), "a")
+    rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("blob").alias("y")), "b").join(texts.select(F.col("id").alias("a"), F.col("blob").alias("x")), "a")
     return rows.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, block_rows: int = 4096, small: int = 8) -> DataFrame:
-    """(doc_id, row: the text's xxhash64, node: hash of its shingles, component_id: the least doc_id that similar pairs
-    reach) of every row."""
+def met_at(nodes: DataFrame, least: float) -> DataFrame:
+    """Rows (shingle, at, node, n, own, lower, hub) of the nodes' prefixes that may have a partner under their shingle; hub is the
+    least node (node, n, at) whose index prefix has it."""
+    rows = nodes.select("node", "n", "own", "lower", F.posexplode("prefix").alias("at", "shingle"))
+    hub = F.min(F.when(indexed(least), F.struct("node", "n", "at"))).alias("hub")
+    low = F.min(F.when(indexed(least), F.col("n"))).alias("low")
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("many"), hub, low).where("many > 1 AND hub IS NOT NULL").drop("many")
+    smallest = F.greatest(F.col("low"), F.ceil(F.col("n") * least - 1e-9))  # the least set that this one can be like
+    open_ = indexed(least) | ((F.col("low") <= F.col("n")) & (F.col("n") - F.col("at") >= needed(F.col("n"), smallest, least)))
+    return rows.join(shared, "shingle").where(open_).drop("low")
+
+
+def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, block_rows: int = 4096, small: int = 8, cells: int = CELLS, few: int = 250_000) -> DataFrame:
+    """(doc_id, row: the text's xxhash64, node: number of its set of shingles, component_id: the least doc_id that similar pairs
+    reach) of every row.  Keys of texts to fetch are broadcast while they are at most `few`; more of them are joined."""
     text = F.col("text").cast("string")
     rows = docs.select(long_id().alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
-    signed = stored(prefixes(rows, cell_counts(rows, width), width, least))
-    texts = signed.select("node", "blob")
-    prints = stored(signed.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp")))
-    nodes = signed.groupBy("node", "n", "own", "lower").agg(F.first("prefix").alias("prefix"))
-    own = Window.partitionBy("shingle")
-    met = nodes.select("node", "n", "own", "lower", F.explode("prefix").alias("shingle")).withColumn("hub", F.min(F.struct("node", "n")).over(own)).withColumn("last", F.max("node").over(own))
-    met = stored(met.where(F.col("hub.node") < F.col("last")).select("shingle", "node", "n", "own", "lower", "hub"))
-    alike = lambda a, b: F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1e-9
-    tried = stored(met.where((F.col("hub.node") < F.col("node")) & alike("hub.n", "n")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct())
-    links = stored(similar(tried, texts, width, least))
+    signed = stored(prefixes(rows, frequencies(rows, width, cells), width, least))
+    nodes = signed.groupBy("key").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "own", "lower", "fp", "prefix")])
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
+    prints, named_keys = nodes.select("node", "n", "fp"), nodes.select(F.col("node").alias("id"), "key")
+    fetched = lambda pairs: texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), named_keys, signed, few)
+    met = stored(met_at(nodes, least))
+    n, m = F.col("n"), F.col("hub.n")
+    fits = (F.least(n, m) >= F.lit(least) * F.greatest(n, m) - 1e-9) & (F.least(n - F.col("at"), m - F.col("hub.at")) >= needed(n, m, least))
+    tried = met.where((F.col("hub.node") != F.col("node")) & fits)
+    tried = stored(tried.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
+    links = stored(similar(tried, fetched(tried), width, least))
     reached = stored(components(links))
-    kept = ["shingle", "node", "n", "own", "lower"]
+    kept = ["shingle", "at", "node", "n", "own", "lower"]
     left = met.select(*kept)
     for nearest in (True, False):
         named = left.join(reached, "node", "left").select(*kept, F.coalesce("root", "node").alias("root"))
         mixed = named.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
         open_ = stored(named.join(mixed, "shingle", "left_semi"))
         pairs = stored(candidates(open_, prints, least, nearest, block_rows, small).join(tried, ["a", "b"], "left_anti"))
-        more = stored(similar(pairs, texts, width, least))
+        more = stored(similar(pairs, fetched(pairs), width, least))
         links, tried, left = links.union(more), tried.union(pairs), open_.select(*kept)
         reached = stored(components(links))
-    classes = signed.groupBy("node").agg(F.min("doc_id").alias("least")).join(reached.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return signed.select("doc_id", "row", "node").join(classes.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "row", "node", "component_id")
+    classes = nodes.select("key", "node", "first").join(reached.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("key", "node", "first", F.coalesce("root", "node").alias("root"))
+    ids = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    return signed.select("doc_id", "row", "key").join(classes.join(ids, "root").select("key", "node", "component_id"), "key").select("doc_id", "row", "node", "component_id")

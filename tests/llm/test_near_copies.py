@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lemniscate.llm import near_copies
 
-from .helpers import awkward, table
+from .helpers import awkward, clashing, table
 
 
 def grams(text):
@@ -90,12 +90,50 @@ def test_a_group_of_near_copies_makes_few_pairs(spark):
     want, alike = brute(texts, range(len(texts)))
     rows = near_copies.near_copies(table(spark, texts))
     assert [r.component_id for r in rows.orderBy("doc_id").collect()] == want and len(alike) > 2000
-    signed = near_copies.prefixes(table(spark, texts).select("doc_id", F.lit(0).cast("long").alias("row"), "text"), np.zeros(near_copies.CELLS, np.int64), 5, 0.8)
-    open_ = signed.select("node", F.col("node").alias("root"), "n", "own", "lower", F.explode("prefix").alias("shingle"))
+    signed = near_copies.prefixes(table(spark, texts).select("doc_id", F.lit(0).cast("long").alias("row"), "text"), np.zeros(1 << 10, np.uint8), 5, 0.8).withColumn("node", F.xxhash64("key"))
+    open_ = signed.select("node", F.col("node").alias("root"), "n", "own", "lower", F.posexplode("prefix").alias("at", "shingle"))
     every, nearest = (near_copies.candidates(open_, signed.select("node", "n", "fp"), 0.8, one).count() for one in (False, True))
     assert len(alike) <= every < 1.5 * len(alike) and nearest < 20 * 300
 
 
+def pages(n, many=2):
+    """Pages of one template of 70 words; `many` words of each are its own, so two of them have a similarity of 0.74."""
+    out = []
+    for k in range(n):
+        words = [f"t{i}" for i in range(70)]
+        for i in range(many):
+            words[20 + 25 * i] = f"own{k}x{i}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_pages_of_a_template_meet_nowhere(spark):
+    texts = pages(400)
+    docs = table(spark, texts).select("doc_id", F.lit(0).cast("long").alias("row"), "text")
+    signed = near_copies.prefixes(docs, near_copies.frequencies(docs, 5, 1 << 20), 5, 0.8).withColumn("node", F.xxhash64("key"))
+    assert near_copies.met_at(signed, 0.8).count() == 0
+    assert [r.component_id for r in near_copies.near_copies(table(spark, texts)).orderBy("doc_id").collect()] == list(range(400))
+
+
+def test_template_with_shorter_pages_and_copies(spark):
+    """A page without words of its own, or cut short, has all its shingles in common with the others."""
+    base = pages(1, 0)[0].split()
+    texts = pages(60) + pages(8, 1) + [" ".join(base), " ".join(base[:62]), " ".join(base[3:])] + [t + " end" for t in pages(3)]
+    want, _ = brute(texts, range(len(texts)))
+    for limits in ({}, {"block_rows": 5, "small": 2}):
+        assert [r.component_id for r in near_copies.near_copies(table(spark, texts), **limits).orderBy("doc_id").collect()] == want
+
+
+def test_odd_tables(spark):
+    """An empty table, a very long text, rows repeated whole, and extra columns with clashing names."""
+    assert near_copies.near_copies(table(spark, ["a b"]).limit(0)).collect() == []
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(120_000))
+    rows = clashing(table(spark, [long, long + " tail", "a b c", "a b c", None, ""], [7, 3, 5, 5, None, 9])).withColumn("node", F.lit("x")).withColumn("n", F.lit(1))
+    got = {(r.doc_id, r.component_id) for r in near_copies.near_copies(rows).collect()}
+    assert got == {(7, 3), (3, 3), (5, 5), (None, 9), (9, 9)}
+
+
 def test_pipeline_drops_near_copies(spark, tmp_path):
     import corpus_pipeline
 
