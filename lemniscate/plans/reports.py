@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.normalize import clean, sql, text_hash
-from ..operators import audit, graph, metrics, ranking, search, vector_index
+from ..operators import audit, graph, learn, metrics, ranking, scorers, search, vector_index
 from ..sources import records
-from ..sources.shared import shared_path
+from ..sources.shared import saved, shared_path
 from . import views as v
 from .catalog import JV, SETS, T_RUNS, big, formula_qrels, query, six, vector_judged
 
@@ -334,3 +334,60 @@ def q85(spark, d):
     n = nodes.count()
     ranks = graph.page_rank(nodes, edges, rounds=5, tolerance=0.0)
     return ranks.where("id % 2 = 0").select(F.call_function("div", F.col("id"), F.lit(2)).alias("fid"), F.round(F.col("rank") * n, 6).alias("prior"))
+
+
+COMMON = "CASE WHEN len(list_distinct(list_concat(a.{0}, b.{0}))) = 0 THEN 1 ELSE len(list_intersect(a.{0}, b.{0})) / len(list_distinct(list_concat(a.{0}, b.{0}))) END"
+EDIT = "CASE WHEN greatest(length(a.{0}), length(b.{0})) = 0 THEN 1 ELSE 1 - levenshtein(a.{0}, b.{0}) / greatest(length(a.{0}), length(b.{0})) END"
+NEAR = "CASE WHEN greatest(a.{0}, b.{0}) = 0 THEN 1 ELSE least(a.{0}, b.{0}) / greatest(a.{0}, b.{0}) END"
+FEATURE_SQL = rf"""WITH {v.BIGRAM_RUN}, e AS (SELECT fid, regexp_extract_all(lower(latex), '[a-z0-9]+') AS w FROM formulas),
+    m AS (SELECT f.fid, f.latex, p_size, {v.SYMBOLS_SQL.format("latex")} AS sy, list_transform(range(1, len(sy)), lambda i: sy[i] || '->' || sy[i + 1]) AS bi, regexp_extract_all(latex, '\\[a-zA-Z]+') AS co,
+        regexp_extract_all(regexp_replace(latex, '\\[a-zA-Z]+', ' ', 'g'), '[a-zA-Z]|[0-9]+') AS li, {SKEL} AS sk, len(sy) AS n, len(list_filter(sy, lambda t: t = '{{')) AS gr,
+        list_transform(range(0, 16), lambda k: len(list_filter(w, lambda x: strpos('0123456789abcdef', substr(md5(x), 1, 1)) - 1 = k))::DOUBLE) AS ve FROM formulas f JOIN e USING (fid) JOIN part ON p_partkey = f.fid),
+    x AS (SELECT r.qid, r.doc_id, r.rank, r.score, 1 / r.rank AS reciprocal_rank,
+        CASE WHEN len(list_filter(a.ve, lambda t: t > 0)) = 0 OR len(list_filter(b.ve, lambda t: t > 0)) = 0 THEN 0 ELSE list_cosine_similarity(a.ve, b.ve) END AS cosine, {EDIT.format("latex")} AS edit,
+        {COMMON.format("sy")} AS symbols, {COMMON.format("bi")} AS bigrams, {NEAR.format("n")} AS length, {NEAR.format("gr")} AS groups, {COMMON.format("co")} AS commands, {COMMON.format("li")} AS literals,
+        (a.sk = b.sk)::DOUBLE AS same_skeleton, {EDIT.format("sk")} AS skeleton_edit, (a.fid % 8 = b.fid % 8)::INT + (a.fid % 26 = b.fid % 26)::INT + (a.p_size = b.p_size)::INT AS label
+        FROM b_run r JOIN m a ON a.fid = r.qid JOIN m b ON b.fid = r.doc_id)"""
+
+
+def labelled_features(spark, d) -> DataFrame:
+    """Features of the formulas that the bigram search finds, with a label of 0 to 3: how many of template, letter and number
+    the two were made from alike.  The search's own score and the texts are all that the features see."""
+    f = v.formulas(spark, d).select(F.col("fid").alias("doc_id"), "latex")
+    rows = learn.with_features(v.bigram_run(spark, d), v.formula_queries(spark, d).select(F.col("fid").alias("qid"), "latex"), f)
+    size = v.table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), "p_size")
+    rows = rows.join(size, "doc_id").join(size.select(F.col("doc_id").alias("qid"), F.col("p_size").alias("q_size")), "qid")
+    same = lambda c: (c == 0).cast("int")
+    apart = F.col("qid") - F.col("doc_id")
+    label = same(apart % 8) + same(apart % 26) + same(F.col("p_size") - F.col("q_size"))
+    return rows.withColumn("label", label).drop("p_size", "q_size")
+
+
+@query("q86_ranking_features", FEATURE_SQL + f" SELECT qid, doc_id, rank, label, {', '.join(f'round({c}, 6) AS {c}' for c in learn.FEATURES)} FROM x")
+def q86(spark, d):
+    return labelled_features(spark, d).select("qid", "doc_id", "rank", "label", *six(*learn.FEATURES))
+
+
+@query("q87_ranker_report")
+def q87(spark, d):
+    """Mean nDCG@10, over the queries whose crc32(qid) mod 3 is 1, of each feature and of a ranker fitted on the others."""
+    rows = saved(labelled_features(spark, d), "features")
+    held = F.crc32(F.col("qid").cast("string")) % 3 == 1
+    ranker = learn.fit_ranker(rows.where(~held))
+    models = {c: F.col(c) for c in learn.FEATURES} | {"ranker": ranker.score()}
+    return learn.ndcg_of_scores(rows.where(held), models).select("model", "n", *six("ndcg"))
+
+
+def shared_characters():
+    """A scorer that needs no model file: what share of the two texts' distinct characters both have."""
+    return lambda lefts, rights: [len(set(a) & set(b)) / len(set(a) | set(b)) for a, b in zip(lefts, rights)]
+
+
+@query("q88_pair_scores", f"""WITH {v.BIGRAM_RUN}, t AS (SELECT fid, CASE WHEN issue = 'd' THEN '' ELSE latex END AS s, list_distinct(string_split(s, '')) AS c FROM formulas)
+    SELECT qid, doc_id, round(CASE WHEN a.s = '' OR b.s = '' THEN 0 WHEN a.s = b.s THEN 1 ELSE len(list_intersect(a.c, b.c)) / len(list_distinct(list_concat(a.c, b.c))) END, 6) AS prob
+    FROM b_run JOIN t a ON a.fid = qid JOIN t b ON b.fid = doc_id""")
+def q88(spark, d):
+    """The pair scorer over the bigram search's rows, for a scorer that SQL can say."""
+    t = v.formulas(spark, d).select("fid", F.when(F.col("issue") != "d", F.col("latex")).alias("text"))
+    pairs = v.bigram_run(spark, d).select("qid", "doc_id").join(t.select(F.col("fid").alias("qid"), F.col("text").alias("a")), "qid").join(t.select(F.col("fid").alias("doc_id"), F.col("text").alias("b")), "doc_id")
+    return scorers.with_pair_scores(pairs, "a", "b", shared_characters).select("qid", "doc_id", *six("prob"))

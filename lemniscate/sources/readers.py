@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,6 +75,34 @@ def id_map(rows: DataFrame, ids: str) -> DataFrame:
     return rows.select(F.posexplode(ids).alias("position", "id"))
 
 
+def raw_vectors(spark: SparkSession, paths: str | list[str], dims: int) -> DataFrame:
+    """(position, embedding) of files of fixed-width rows: dims little-endian float32 numbers each, without a header.
+
+    Positions go on from file to file in the order of paths; join them with id_map.  Spark splits each file at row borders, on
+    any file system that it reads, so a large file is many tasks; a first pass over the splits counts their rows.  A file
+    whose length is no multiple of a row is an error.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    width, before = 4 * dims, 0
+    parts = [spark.createDataFrame([], "position long, row binary")]
+    for path in paths:  # a handful of files
+        length = spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        if length % width:
+            raise ValueError(f"{path} has {length} bytes, which are no rows of {dims} numbers")
+        if length:
+            rows = spark.sparkContext.binaryRecords(path, width).zipWithIndex()
+            parts.append(spark.createDataFrame(rows.map(lambda r, before=before: (r[1] + before, r[0])), "position long, row binary"))
+        before += length // width
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = np.frombuffer(b"".join(batch.column("row").to_pylist()), "<f4")
+            cuts = pa.array(range(0, len(flat) + 1, dims), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("position"), pa.ListArray.from_arrays(cuts, pa.array(flat))], names=["position", "embedding"])
+
+    return reduce(DataFrame.union, parts).mapInArrow(numbers, "position long, embedding array<float>")
+
+
 def latex_of(latex_norm: Column, latex: Column) -> Column:
     """The normalised text, else the raw one, else an empty text."""
     blank = lambda c: F.when(F.length(c) > 0, c)

@@ -1,5 +1,7 @@
 """Readers and sinks on temporary files."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,3 +71,28 @@ def test_two_columns_ids_and_features(spark, tmp_path):
     sinks.write_features(spark.createDataFrame([(1, [1.0, 2.0], 1), (1, None, 0)], "qid int, features array<float>, label long"), str(tmp_path / "x"))
     back = spark.read.parquet(str(tmp_path / "x"))
     assert dict(back.dtypes) == {"qid": "int", "features": "array<double>", "label": "int"} and back.count() == 2
+
+
+def test_raw_vectors(spark, tmp_path):
+    """Several files, one of many splits, one empty; positions go on from file to file and meet the id map."""
+    old = spark.sparkContext._jsc.hadoopConfiguration().get("fs.local.block.size")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.local.block.size", "1000")  # splits that rows of 12 bytes don't fill
+    try:
+        want = np.arange(3 * 1002, dtype="<f4").reshape(-1, 3) / 7
+        names = []
+        for i, (low, high) in enumerate([(0, 1000), (1000, 1000), (1000, 1002)]):
+            (tmp_path / f"{i}").mkdir()
+            want[low:high].tofile(tmp_path / f"{i}" / "v.bin")
+            names.append(str(tmp_path / f"{i}" / "v.bin"))
+        rows = readers.raw_vectors(spark, names, 3)
+        assert rows.rdd.getNumPartitions() > 4
+        got = rows.orderBy("position").collect()
+        assert [r.position for r in got] == list(range(1002))
+        assert np.array_equal(np.array([r.embedding for r in got], "<f4"), want)
+        ids = readers.id_map(spark.createDataFrame([([f"d{i}" for i in range(1002)],)], "ids array<string>"), "ids")
+        assert rows.join(ids, "position").where("position = 1001").first().id == "d1001"
+        assert readers.raw_vectors(spark, names[1], 3).count() == 0 and readers.raw_vectors(spark, [], 3).count() == 0
+        with pytest.raises(ValueError, match="no rows of 7"):
+            readers.raw_vectors(spark, names[0], 7)
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().set("fs.local.block.size", old or str(32 << 20))
