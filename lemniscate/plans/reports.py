@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions.normalize import clean, sql, text_hash
 from ..operators import audit, graph, learn, metrics, ranking, scorers, search, vector_index
-from ..sources import records
+from ..sources import buckets, records
 from ..sources.shared import saved, shared_path
 from . import views as v
 from .catalog import JV, SETS, T_RUNS, big, formula_qrels, query, six, vector_judged
@@ -391,3 +391,15 @@ def q88(spark, d):
     t = v.formulas(spark, d).select("fid", F.when(F.col("issue") != "d", F.col("latex")).alias("text"))
     pairs = v.bigram_run(spark, d).select("qid", "doc_id").join(t.select(F.col("fid").alias("qid"), F.col("text").alias("a")), "qid").join(t.select(F.col("fid").alias("doc_id"), F.col("text").alias("b")), "doc_id")
     return scorers.with_pair_scores(pairs, "a", "b", shared_characters).select("qid", "doc_id", *six("prob"))
+
+
+@query("q89_bucketed_upsert", "SELECT user_id, arg_max(event_type, (epoch_us(ts), event_id)) AS event_type, arg_max(event_id, (epoch_us(ts), event_id)) AS event_id FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def q89(spark, d):
+    """Each user's last event: a bucketed table of all events but the last day's, and that day upserted into it."""
+    e = v.table(spark, d, "events").select("user_id", "event_type", "event_id", "ts", F.struct("ts", "event_id").alias("seq"))
+    last = e.agg((F.max("ts") - F.expr("INTERVAL 1 DAY")).alias("last_day"))  # one row
+    e = e.join(F.broadcast(last)).withColumn("late", F.col("ts") > F.col("last_day")).drop("last_day", "ts")
+    first, then = buckets.table_name("events"), buckets.table_name("events")
+    buckets.write_buckets(buckets.newest(e.where("NOT late").drop("late"), "user_id", "seq"), "user_id", 16, first)
+    held = buckets.upsert_buckets(spark, first, e.where("late").drop("late"), "user_id", "seq", then)
+    return held.select("user_id", "event_type", "event_id")
