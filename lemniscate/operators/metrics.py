@@ -107,6 +107,30 @@ def any_judged_mrr(run: DataFrame, qrels: DataFrame, depth: int = 10) -> DataFra
     return judged(run.where(F.col("rank") <= depth), qrels).groupBy("qid").agg(reciprocal_rank(F.col("is_judged")).alias("mrr"))
 
 
+def first_hits(run: DataFrame, hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """linear_family's mrr and p1 where only the run's own relevant pairs are known: hits (qid, doc_id), and the queries
+    (qid) that have a relevant document at all, so the judgments of documents that never came aren't read."""
+    found = run.join(hits.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi").groupBy("qid").agg(F.min("rank").alias("rank"))
+    rows = queries.select("qid").join(found, "qid", "left")
+    return rows.select("qid", F.coalesce(1.0 / F.col("rank"), F.lit(0.0)).alias("mrr"), F.when(F.col("rank") == 1, 1.0).otherwise(0.0).alias("p1"))
+
+
+def dual_hash_recall(queries: DataFrame, docs: DataFrame, group: str, hashes: tuple[str, str]) -> DataFrame:
+    """(qid, n_truth, hits, recall) where the documents of a query's group are its truths and those of either hash its answers:
+    set_family over dual_lookup, counted by cells of group and hashes, so that neither side's pairs are made."""
+    a, b = hashes
+    cells = docs.groupBy(group, a, b).agg(F.count("*").alias("n"))
+    rows = queries.select("qid", group, a, b).join(cells.groupBy(group).agg(F.sum("n").alias("n_truth")), group)
+    for keys, name in (([group, a], "n_a"), ([group, b], "n_b"), ([group, a, b], "n_both")):
+        held = cells if len(keys) == 3 else cells.groupBy(*keys).agg(F.sum("n").alias("n"))
+        for h in keys[1:]:
+            held = held.where(F.col(h) != "")
+        rows = rows.join(held.withColumnRenamed("n", name), keys, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    hits = (zero("n_a") + zero("n_b") - zero("n_both")).cast("long")
+    return rows.select("qid", "n_truth", hits.alias("hits"), (hits / F.col("n_truth")).alias("recall"))
+
+
 def half_open_histogram(rows: DataFrame, column: str, edges: list[float]) -> DataFrame:
     """(low, high, n) of bins [low, high) that aren't empty; the last edge itself is in no bin."""
     bins = F.array(*[F.struct(F.lit(a).alias("low"), F.lit(b).alias("high")) for a, b in zip(edges, edges[1:])])
@@ -185,7 +209,12 @@ def with_p_values(report: DataFrame) -> DataFrame:
 
 def by_complexity(run: DataFrame, qrels: DataFrame, queries: DataFrame, edges: tuple[int, ...] = (20, 50, 999), size: str = "n_tokens") -> DataFrame:
     """(bin, n, mrr, p1) of queries (qid, size) in bins below the first edge, up to the next, and so on; larger ones are left out."""
-    own = linear_family(run, qrels).join(queries.select("qid", size), "qid")
+    return in_bins(linear_family(run, qrels), queries, edges, size)
+
+
+def in_bins(measures: DataFrame, queries: DataFrame, edges: tuple[int, ...], size: str = "n_tokens") -> DataFrame:
+    """by_complexity of measures (qid, mrr, p1) that are there already."""
+    own = measures.join(queries.select("qid", size), "qid")
     label, low = None, 0
     for high in edges:
         inside = (F.col(size) >= low) & (F.col(size) < high)
