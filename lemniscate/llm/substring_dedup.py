@@ -11,8 +11,9 @@ several documents are set in a bitmap, which is broadcast; it has about an eight
 
 Hot passages: equal super-k-mers of a task are one row before the shuffle, so a passage in a third of all documents is one
 row for each task; the result goes back to the documents by the string's hash, in a join that splits skewed keys.
-A bucket of more than `hot_rows` super-k-mers never meets whole: its strings stay where they are and send each window's
-128-bit XXH3, whose smallest doc_id is aggregated by hash and joined back.
+A bucket of more than `hot_rows` super-k-mers never meets whole: its distinct strings are spread by their own hash, each once
+however many tasks hold copies of it, and send each window's 128-bit XXH3, whose smallest doc_id is aggregated by hash
+and joined back.
 
 Nulls and ties: a null text has no words; rows of a null doc_id count as one document, smaller than all others; rows that
 repeat a doc_id are one document and don't remove each other's words; a document of fewer than `width` words keeps all.
@@ -258,7 +259,8 @@ def covered_spans(docs: DataFrame, width: int = 50, gram: int = 8, filter_bits:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["string", "w", "h", "least", "most"])
 
     distinct = strings.join(hot, "bucket", "left_anti").mapInArrow(combine, fields)
-    apart = stored(strings.join(hot, "bucket", "left_semi").mapInArrow(combine, fields).mapInArrow(windows, "string binary, w int, h binary, least long, most long"))
+    spread = strings.join(hot, "bucket", "left_semi").mapInArrow(combine, fields).groupBy("string").agg(F.first("packed").alias("packed"), F.min("least").alias("least"), F.max("most").alias("most"))
+    apart = stored(spread.mapInArrow(windows, "string binary, w int, h binary, least long, most long"))
     owners = apart.join(apart.groupBy("h").agg(F.min("least").alias("first")), "h")
     by_string = owners.groupBy("string").agg(F.max("most").alias("most"), F.sort_array(F.collect_set(F.struct("w", "first"))).alias("own"))
     apart_answers = by_string.select("string", "most", F.col("own.w").alias("starts"), F.col("own.first").alias("firsts")).where(F.array_min("firsts") < F.col("most")).drop("most")
