@@ -16,7 +16,7 @@ items that repeat an id are one item; every input row gives one row.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -152,13 +152,18 @@ class Phrases:
         self.items = [sorted(x) for x in windows.values()]
         self.sigma = len(self.number) + 2
 
-    def hits(self, texts: list[list[bytes]]) -> Iterator[tuple[int, int, int, int]]:
-        """(document, first word, end, phrase) of every occurrence in a shard."""
+    def hits(self, texts: Iterable[list[bytes]]) -> Iterator[tuple[int, int, int, int]]:
+        """(document, first word, end, phrase) of every occurrence in a shard; a text's words become numbers before the next
+        text is taken, so a shard's words are never held together."""
         if not len(self.rows):
             return
         number = self.number.get
-        symbols = np.array([number(w, 1) for words in texts for w in [*words, b""]], np.int64)
-        sizes = np.array([len(words) + 1 for words in texts])
+        parts = [np.array([*(number(w, 1) for w in words), 1], np.int64) for words in texts]
+        if not parts:
+            return
+        sizes = np.array([len(p) for p in parts])
+        symbols = np.concatenate(parts)
+        del parts
         own = np.flatnonzero((symbols > 1) | np.concatenate([[True], symbols[:-1] > 1]))  # one separator for each run
         if symbols.max(initial=1) == 1:
             return
@@ -262,10 +267,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, block
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in in_slices(batches, "text", shard_bytes):
                 texts = batch.column("text").cast(pa.binary()).to_pylist()
-                words = [words_of(t or b"") for t in texts]
                 spans = [[] if first else [(s["a"], s["b"]) for s in own] for own in ([()] * len(texts) if first else batch.column(at).to_pylist())]
                 for block in blocks:
-                    for doc, a, b, _ in block.value.hits(words):
+                    for doc, a, b, _ in block.value.hits(words_of(t or b"") for t in texts):
                         spans[doc].append((a, b))
                 spans = [[{"a": a, "b": b} for a, b in merged(own)] for own in spans]
                 if not last:
