@@ -151,3 +151,39 @@ def test_pipeline_keeps_other_texts_under_a_repeated_id(spark, tmp_path):
     kept = dict(corpus_pipeline.STAGES)["simhash"](spark, rows, str(tmp_path)).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, a), (2, b), (2, b), (3, c), (0, a + " tail"), (4, ""), (4, "")])
     assert dict(corpus_pipeline.STAGES)["simhash"](spark, rows.limit(0), str(tmp_path)).collect() == []
+
+
+def test_shingles_of_one_set_are_not_shuffled(spark):
+    """Only shingles of several sets leave the bitmap, whatever its size, and one that is full loses none."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(120)) for _ in range(60)] + pages(20)
+    docs = table(spark, texts).select("doc_id", F.lit(0).cast("long").alias("row"), "text")
+    nodes = near_copies.prefixes(docs, near_copies.frequencies(docs, 5, 1 << 20), 5, 0.8).withColumn("node", F.xxhash64("key"))
+    plain = nodes.select("node", "n", "own", "lower", F.posexplode("prefix").alias("at", "shingle"))
+    want = {tuple(r) for r in plain.select("node", "n", "own", "lower", "at", "shingle").collect()}
+    many = {}
+    for r in want:
+        many[r[5]] = many.get(r[5], 0) + 1
+    shared = {r for r in want if many[r[5]] > 1}
+    for bits in (4, 22):
+        got = {tuple(r) for r in near_copies.prefix_rows(nodes, bits).collect()}
+        assert shared <= got <= want
+    assert shared and len(got - shared) < 0.01 * len(want) and len(want) > 1000
+
+
+def test_hubs_do_not_meet_their_shingles_again(spark, monkeypatch):
+    hubs, later, plain = [], [], near_copies.stored
+
+    def kept(df, *by):
+        out = plain(df, *by)
+        if "hub" in out.columns:
+            hubs.extend((r.shingle, r.hub.node) for r in out.collect())
+        elif {"shingle", "root"} <= set(out.columns):
+            later.extend((r.shingle, r.node) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(near_copies, "stored", kept)
+    texts = corpus()
+    want, _ = brute(texts, range(len(texts)))
+    assert [r.component_id for r in near_copies.near_copies(table(spark, texts)).orderBy("doc_id").collect()] == want
+    assert hubs and later and not set(hubs) & set(later)
