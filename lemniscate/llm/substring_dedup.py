@@ -11,9 +11,9 @@ several documents are set in a bitmap, which is broadcast; it has about an eight
 
 Hot passages: equal super-k-mers of a task are one row before the shuffle, so a passage in a third of all documents is one
 row for each task; the result goes back to the documents by the string's hash, in a join that splits skewed keys.
-A bucket of more than `hot_rows` super-k-mers never meets whole: its distinct strings are spread by their own hash, each once
-however many tasks hold copies of it, and send each window's 128-bit XXH3, whose smallest doc_id is aggregated by hash
-and joined back.
+A bucket of more than `hot_rows` super-k-mers never meets whole: its distinct strings are dealt by their own hash to parts of
+about `part_rows`.  A part sends the 128-bit XXH3 of each distinct window once, whose smallest doc_id is aggregated by hash;
+only where it is smaller than the part's own does it come back to the part.
 
 Nulls and ties: a null text has no words; rows of a null doc_id count as one document, smaller than all others; rows that
 repeat a doc_id are one document and don't remove each other's words; a document of fewer than `width` words keeps all.
@@ -204,6 +204,35 @@ def by_words(flat: np.ndarray, at: np.ndarray, owner: np.ndarray, width: int) ->
     return np.array([least[key] for key in keys], np.int64)
 
 
+def as_answers(rows: Iterator[tuple[bytes, np.ndarray, int]]) -> pa.RecordBatch:
+    """Of each (string, smallest id of each window, the largest id that holds the string) the runs of windows with one smallest id."""
+    strings, starts, firsts = [], [], []
+    for string, own, most in rows:
+        if own.min() < most:  # else no document loses these windows
+            at = runs_of(own)
+            strings.append(string)
+            starts.append(at[:-1].astype(np.int32))
+            firsts.append(own[at[:-1]])
+    return pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), pa.array(starts, pa.list_(pa.int32())), pa.array(firsts, pa.list_(pa.int64()))], names=["string", "starts", "firsts"])
+
+
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[tuple[bytes, bytes, int, int]], dict[bytes, int]]]:
+    """(bucket, part), its strings (string, packed, least, most), and the smaller ids (hash: id) that other parts have for its windows."""
+    key, strings, first = None, [], {}
+    for batch in batches:
+        for bucket, part, string, packed, least, most, h in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "string", "packed", "least", "most", "h"))):
+            if (bucket, part) != key:
+                if key:
+                    yield key, strings, first
+                key, strings, first = (bucket, part), [], {}
+            if h is None:
+                strings.append((string, packed, least, most))
+            else:
+                first[h] = least
+    if key:
+        yield key, strings, first
+
+
 def bits_for(docs: DataFrame) -> int:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     return min(31, max(20, int(size // 8).bit_length()))
@@ -215,7 +244,7 @@ def with_keys(docs: DataFrame) -> DataFrame:
     return docs.select(long_id().alias("doc_id"), text.alias("text"), F.coalesce(long_id(), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("row"))
 
 
-def covered_spans(docs: DataFrame, width: int = 50, gram: int = 8, filter_bits: int | None = None, combine_bytes: int = 48 << 20, hot_rows: int = 256) -> DataFrame:
+def covered_spans(docs: DataFrame, width: int = 50, gram: int = 8, filter_bits: int | None = None, combine_bytes: int = 48 << 20, hot_rows: int = 256, part_rows: int = 512) -> DataFrame:
     """(id, row, spans: arrays of word positions [a, b), which may overlap) of the documents that lose words."""
     rows = with_keys(docs).select("id", "row", "text")
     filter_bits = filter_bits or bits_for(rows)
@@ -246,39 +275,49 @@ def covered_spans(docs: DataFrame, width: int = 50, gram: int = 8, filter_bits:
         kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "string", "packed", "least", "most"])
 
+    def hashes(packed: bytes) -> list[bytes]:
+        """The hash of every window."""
+        ends = np.flatnonzero(np.frombuffer(packed + b" ", np.uint8) == 32).tolist()
+        starts = [0, *(e + 1 for e in ends)]
+        return [xxhash.xxh3_128_digest(packed[starts[w] : ends[w + width - 1]]) for w in range(len(ends) - width + 1)]
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(string, w: number of the window in it, h: its hash, least, most) of every window."""
-        for batch in in_slices(batches, "packed", 1 << 18):
-            out = []
-            for string, packed, least, most in zip(*(batch.column(c).to_pylist() for c in ("string", "packed", "least", "most"))):
-                ends = np.flatnonzero(np.frombuffer(packed + b" ", np.uint8) == 32).tolist()
-                starts = [0, *(e + 1 for e in ends)]
-                out += [(string, w, xxhash.xxh3_128_digest(packed[starts[w] : ends[w + width - 1]]), least, most) for w in range(len(ends) - width + 1)]
-            if out:
-                kinds = (pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["string", "w", "h", "least", "most"])
+        """(bucket, part, string, w, h, least) of every distinct window of a part: where it stands first, its hash and its least id."""
+        for key, strings, _ in parts_of(batches):
+            held: dict[bytes, list] = {}
+            for string, packed, least, _ in strings:
+                for w, h in enumerate(hashes(packed)):
+                    own = held.setdefault(h, [*key, string, w, h, least])
+                    own[5] = min(own[5], least)
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held.values()), kinds)], names=["bucket", "part", "string", "w", "h", "least"])
+
+    def resolve_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The answers for a part's strings, from the part itself and from what smaller ids other parts have."""
+        for _, rows, first in parts_of(batches):
+            known = [hashes(packed) for _, packed, _, _ in rows]
+            for (_, _, least, _), own in zip(rows, known):
+                for h in own:
+                    first[h] = min(least, first.get(h, least))
+            yield as_answers((string, np.array([first[h] for h in own], np.int64), most) for (string, _, _, most), own in zip(rows, known))
 
     distinct = strings.join(hot, "bucket", "left_anti").mapInArrow(combine, fields)
-    spread = strings.join(hot, "bucket", "left_semi").mapInArrow(combine, fields).groupBy("string").agg(F.first("packed").alias("packed"), F.min("least").alias("least"), F.max("most").alias("most"))
-    apart = stored(spread.mapInArrow(windows, "string binary, w int, h binary, least long, most long"))
-    owners = apart.join(apart.groupBy("h").agg(F.min("least").alias("first")), "h")
-    by_string = owners.groupBy("string").agg(F.max("most").alias("most"), F.sort_array(F.collect_set(F.struct("w", "first"))).alias("own"))
-    apart_answers = by_string.select("string", "most", F.col("own.w").alias("starts"), F.col("own.first").alias("firsts")).where(F.array_min("firsts") < F.col("most")).drop("most")
+    combined = strings.join(hot, "bucket", "left_semi").mapInArrow(combine, fields)
+    spread = stored(combined.groupBy("string").agg(F.first("bucket").alias("bucket"), F.first("packed").alias("packed"), F.min("least").alias("least"), F.max("most").alias("most")))
+    sizes = spread.groupBy("bucket").agg(F.ceil(F.count("*") / part_rows).alias("n_parts"))
+    dealt = spread.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("string"), "n_parts").cast("int").alias("part"), "string", "packed", "least", "most", F.lit(None).cast("binary").alias("h"))
+    by_part = lambda rows: rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    apart = stored(by_part(dealt).mapInArrow(windows, "bucket long, part int, string binary, w int, h binary, least long"))
+    firsts = apart.groupBy("h").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first < last").select("h", "first")
+    elsewhere = apart.join(firsts, "h").where("least > first").select("bucket", "part", F.lit(None).cast("binary").alias("string"), F.lit(None).cast("binary").alias("packed"), F.col("first").alias("least"), F.lit(None).cast("long").alias("most"), "h")
+    apart_answers = by_part(dealt.union(elsewhere)).mapInArrow(resolve_parts, "string binary, starts array<int>, firsts array<long>")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, bytes, int, int]] = []
 
         def answer(rows) -> pa.RecordBatch:
             owners, cuts = first_owners([(p, least, 0) for _, p, _, least, _ in rows], width)
-            strings, starts, firsts = [], [], []
-            for (_, _, string, _, most), a, b in zip(rows, cuts.tolist(), cuts[1:].tolist()):
-                own = owners[a:b]
-                if own.min() < most:  # else no document loses these windows
-                    at = runs_of(own)
-                    strings.append(string)
-                    starts.append(at[:-1].astype(np.int32))
-                    firsts.append(own[at[:-1]])
-            return pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), pa.array(starts, pa.list_(pa.int32())), pa.array(firsts, pa.list_(pa.int64()))], names=["string", "starts", "firsts"])
+            return as_answers((string, owners[a:b], most) for (_, _, string, _, most), a, b in zip(rows, cuts.tolist(), cuts[1:].tolist()))
 
         size = 0
         for batch in in_slices(batches, "packed", 1 << 20):
