@@ -91,10 +91,14 @@ def hard_negatives(run: DataFrame, qrels: DataFrame, corpus: DataFrame, per_quer
     return head.withColumn("pick", at).where(F.col("pick") <= per_query).select("qid", "doc_id", "pick")
 
 
-def training_pairs(run: DataFrame, qrels: DataFrame, corpus: DataFrame, per_query: int = 5, depth: int = 50) -> DataFrame:
-    """(qid, doc_id, label): every judged document in the corpus is 1, hard negatives are 0."""
-    good = qrels.join(corpus.select("doc_id"), "doc_id", "left_semi").select("qid", "doc_id", F.lit(1).alias("label"))
-    return good.union(hard_negatives(run, qrels, corpus, per_query, depth).select("qid", "doc_id", F.lit(0).alias("label")))
+def training_pairs(run: DataFrame, qrels: DataFrame, corpus: DataFrame, per_query: int = 5, depth: int = 50, own: DataFrame | None = None) -> DataFrame:
+    """(qid, doc_id, label): every judged document in the corpus is 1, hard negatives are 0.
+
+    own: the judgments of the run's own pairs; with them, qrels are taken to be of the corpus's documents and not joined at all.
+    """
+    good = qrels if own is not None else qrels.join(corpus.select("doc_id"), "doc_id", "left_semi")
+    negatives = hard_negatives(run, qrels if own is None else own, corpus, per_query, depth)
+    return good.select("qid", "doc_id", F.lit(1).alias("label")).union(negatives.select("qid", "doc_id", F.lit(0).alias("label")))
 
 
 def rrf_of_first(first: DataFrame, second: DataFrame, k: int = 60, limit: int | None = None) -> DataFrame:

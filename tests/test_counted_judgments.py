@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lemniscate.operators import audit, metrics, search
+from lemniscate.operators import audit, metrics, ranking, search
 from lemniscate.plans import catalog, reports  # noqa: F401  (the reports register themselves)
 from lemniscate.plans import views as v
 
@@ -70,13 +70,16 @@ def test_no_step_makes_all_pairs_of_a_label(spark, vectors_dir, name):
     assert 0 < rows_made(catalog.queries()[name](spark, vectors_dir)) <= 900
 
 
-def test_missed_pairs(spark, vectors_dir):
+def test_missed_pairs_and_training_pairs(spark, vectors_dir):
     run = v.vector_run(spark, vectors_dir)
     qrels = v.vector_qrels(spark, vectors_dir, run)
     q, own = v.vector_queries(spark, vectors_dir), v.vectors(spark, vectors_dir)
     truths = search.product_pairs(q, own, "label", block=2)
     scores = q.select("qid", F.col("embedding").alias("q")).join(own.select(F.col("id").alias("doc_id"), "embedding")).select("qid", "doc_id", search.dot(F.col("q"), F.col("embedding")).alias("score"))
     assert near(audit.missed_pairs(run, truths)) == near(audit.missed_truths(run, qrels.where("rel > 0"), scores))
+    ids = own.select(F.col("id").alias("doc_id"))
+    given = ranking.training_pairs(run, qrels, ids, own=v.run_judgments(spark, vectors_dir, run))
+    assert near(given) == near(ranking.training_pairs(run, qrels, ids))
 
 
 def test_vectors_of_one_row_group_are_dealt_out(spark, vectors_dir):
