@@ -1,13 +1,14 @@
 """Source divergence audit: which sources of a language use other words, and which words.
 
-Each language keeps the terms that occur in at least `least` of its rows.  A kept term becomes one row whose wide vector
+Tasks count their rows' terms by source and send one row for each; these are dealt by language and term, so that one shuffle
+serves both the sources' and the language's sums.  Each language keeps the terms that occur in at least `least` of its rows.  A kept term becomes one row whose wide vector
 has its count in every source of the language, in the order of the sources' names.  Higher-order functions of the JVM turn
 a vector into smoothed shares, one for each source, and those into the contributions |p - q| of all pairs of sources; they
 are summed on the map side, so a pair of sources leaves each task as one number.  Everything is a whole number: shares are
 parts of 10^9, divided exactly as decimals.
 
 What grows: a vector is as long as its language has sources, and the result has a row for each two sources of a
-language, which is asked for.  The languages' list of sources is broadcast up to `small` sources in all and joined beyond.
+language, which is asked for.  A task holds some 500,000 terms before it gives them out, and the distinct terms of one text.  The languages' list of sources is broadcast up to `small` sources in all and joined beyond.
 
 Nulls, empty and very long texts: null text, lang and source count as ''; a text without terms makes its group occur and
 adds nothing.  A row is a document, so repeated rows count each time.  Ties in a rank go by the item's UTF-8 bytes.  A
@@ -17,24 +18,61 @@ source are not read, whatever their names.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import stored
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Terms are runs of [^\x00-\x40\x5B-\x60\x7B-\x7F]: A-Z go to a-z, other ASCII that is no letter to a space, the bytes of all else stay.
+TERM_BYTES = bytes(ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(128)) + bytes(range(128, 256))
 SCALE, SMOOTHING = 1_000_000_000, 5
 
 
+def tallies(batches: Iterator[pa.RecordBatch], most: int = 500_000, piece: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, n, df) of a task's rows, given out whenever about `most` terms are held."""
+    groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    held = 0
+
+    def given() -> pa.RecordBatch:
+        size = np.repeat(np.arange(len(groups)), [len(n) for n, _ in groups.values()])
+        lang, source = (pa.array(list(x), pa.string()).take(pa.array(size)) for x in zip(*groups))
+        term = pa.array([t for n, _ in groups.values() for t in n], pa.binary())
+        n = pa.array([x for n, _ in groups.values() for x in n.values()], pa.int64())
+        df = pa.array([df[t] for n, df in groups.values() for t in n], pa.int64())
+        return pa.RecordBatch.from_arrays([lang, source, term, n, df], names=["lang", "source", "term", "n", "df"])
+
+    for batch in batches:
+        for *group, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
+            n, df = groups.setdefault(tuple(group), (Counter(), Counter()))
+            before, seen, at, text = len(n), set(), 0, text.translate(TERM_BYTES)
+            while at < len(text):
+                end = text.find(b" ", at + piece)
+                terms = text[at : end if end >= 0 else len(text)].split()
+                n.update(terms)
+                seen.update(terms)
+                at = end if end >= 0 else len(text)
+            df.update(seen)
+            held += len(n) - before
+            if held >= most:
+                yield given()
+                groups, held = {}, 0
+    if held:
+        yield given()
+
+
 def counted(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n: occurrences, df: rows that hold it).  A row's terms are sorted, so that the first of each run
-    of equal ones counts the row, and one pass counts both."""
+    """(lang, source, term, n: occurrences, df: rows that hold it), dealt by language and term.  Tasks count their own rows
+    first, so what is shuffled, once, is a row for each term of a task's group."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    words = docs.select(text("lang").alias("lang"), text("source").alias("source"), F.sort_array(F.regexp_extract_all(ascii_lower(text("text")), F.lit(TERM), 0)).alias("words"))
-    before = F.concat(F.array(F.lit("")), F.col("words"))
-    runs = words.select("lang", "source", F.explode(F.zip_with("words", before, lambda t, b: F.struct(t.alias("term"), (t != b).cast("int").alias("first")))).alias("t"))
-    return runs.where("t.term IS NOT NULL").groupBy("lang", "source", "t.term").agg(F.count("*").alias("n"), F.sum("t.first").alias("df"))
+    rows = docs.select(text("lang").alias("lang"), text("source").alias("source"), text("text").cast("binary").alias("text"))
+    own = rows.mapInArrow(tallies, "lang string, source string, term binary, n long, df long").withColumn("term", F.col("term").cast("string"))
+    return own.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,35 @@ def test_divergence_of_long_counts_and_nothing(spark):
     assert got == {(s, p, i): v for _, s, p, i, v, _ in audited_by_force(rows, 1, 50)}
 
 
+@pytest.mark.parametrize("most, piece", [(1, 1), (7, 5), (500_000, 1 << 20)])
+def test_tallies_give_out_and_cut_without_loss(most, piece):
+    rows = rows_of(awkward(n=40) + ["".join(map(chr, range(0x250))) + "\u2028\u3000x\x1cy\x85z"])
+    own = [(lang or "", source or "", (text or "").encode()) for _, text, lang, source, _ in rows]
+    batches = [pa.RecordBatch.from_pydict(dict(zip(("lang", "source", "text"), map(list, zip(*own[i : i + 9]))))) for i in range(0, len(own), 9)]
+    got, want = Counter(), Counter()
+    for b in divergence.tallies(iter(batches), most, piece):
+        for r in b.to_pylist():
+            got.update({(r["lang"], r["source"], r["term"].decode(), k): r[k] for k in ("n", "df")})
+    for lang, source, text in own:
+        terms = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(text.decode()))
+        want.update((lang, source, t, "n") for t in terms)
+        want.update((lang, source, t, "df") for t in set(terms))
+    assert got == want
+
+
+def test_divergence_shuffles_terms_once(spark):
+    """A task sends one row for each term of a group, and the language's sums need no second exchange."""
+    docs = spark.createDataFrame([(i, "b a B", "en", "s", 0) for i in range(40)], COLUMNS).coalesce(1)
+    kept = divergence.vectors(docs, spark.createDataFrame([("en", ["s"])], "lang string, sources array<string>").hint("broadcast"), 1)
+    assert sorted(map(tuple, kept.collect())) == [("en", "a", [40]), ("en", "b", [80])]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        again = kept.select("*")
+        assert again._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def sha(x):
     return hashlib.sha256(x.encode()).hexdigest()
 
