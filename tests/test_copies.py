@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lemniscate.functions import paths
 from lemniscate.operators import index, metrics, search
+from lemniscate.plans import catalog
 
 TEXTS = ["a+b", "a+c", "x_1+x_2", "a+b+a+b", "", None, r"\frac{a}{b}", "x_1+x_3"]
 
@@ -61,6 +62,27 @@ def test_containment_of_texts(spark):
     assert sorted(search.containment_of_texts(queries, docs).collect()) == sorted(want.collect())
 
 
+def test_containment_makes_and_rounds_scores_before_copies(spark, tmp_path):
+    """Rows of one text come from several tasks, and none of them is rounded by itself; null ids and single copies stay."""
+    spark.range(6000).select(F.col("id").alias("p_partkey"), F.lit(7).alias("p_size")).write.parquet(str(tmp_path / "part.parquet"))
+    plan = catalog.queries()["q34_containment"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and "round(" not in plan
+    docs = spark.range(4000).select("id", F.lit("a+b+c").alias("text")).union(spark.createDataFrame([(4000, "b+c"), (None, "b+c"), (4001, "z")], "id long, text string"))
+    queries = docs.where("id % 50 = 0").withColumnRenamed("id", "qid")
+    got = search.containment_of_texts(queries, docs, 3)
+    want = {(q, d, 1.0) for q in range(0, 4000, 50) for d in range(4000)} | {(q, d, 0.5) for q in range(0, 4000, 50) for d in (4000, None)} | {(4000, d, 1.0) for d in range(4001)} | {(4000, None, 1.0)}
+    found = got.collect()
+    assert len(found) == len(want) and set(map(tuple, found)) == want
+    shares = [r["count"] for r in got.where("score = 1 and qid < 4000 and doc_id < 4000").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) >= 4 and max(shares) < sum(shares) / 2
+
+
+def test_containment_rounds_once(spark):
+    docs = spark.createDataFrame([(0, "a+b+"), (1, "a+"), (2, "+b+")], "id long, text string")
+    found = search.containment_of_texts(docs.where("id = 0").withColumnRenamed("id", "qid"), docs, 3).collect()
+    assert {(r.doc_id, r.score) for r in found} == {(0, 1.0), (1, 0.333), (2, 0.667)}
+
+
 def test_exact_lookup_cuts_buckets_before_the_join(spark):
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("h").alias("hash"))
     found = search.exact_lookup(docs.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "qid"), docs, limit=4)
